@@ -204,9 +204,12 @@ def flags(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = 1
 
 
 def without(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """The texts without the given runs of words."""
+    """The texts without the given runs of words; null where there are none."""
     out = []
     for t, runs in zip(text, spans, strict=True):
+        if not len(runs):
+            out.append(None)
+            continue
         t = bytes(t)
         at = [m.span() for m in re.finditer(rb"[^ ]+", t.translate(NORMAL))]
         last, kept = 0, []
@@ -221,7 +224,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     """docs without contamination: a row with more than `coverage` of its words hit goes; of the others the hit
     runs are cut from the text (and n_chars, if there is one, is counted again). Clean rows stay as they are."""
     out = contamination(docs, benchmark, window, most).where(F.col("_hit") <= coverage * F.col("_words"))
-    out = out.withColumn("_clean", F.when(F.col("_hit") > 0, F.pandas_udf(without, "string")("_text", "_spans")))
+    out = out.withColumn("_clean", F.pandas_udf(without, "string")("_text", "_spans"))
     names = {c: F.col(f"_{i}") for i, c in enumerate(docs.columns)}
     text = next(c for c in names if c.lower() == "text")
     names[text] = F.coalesce(F.col("_clean"), names[text])

@@ -7,6 +7,7 @@ from .decontaminate import op7_decontaminate
 from .linedup import op5_linedup
 from .minhash import op8_minhash
 from .mixing import op10_mix
+from .oracles import ORACLES
 from .secrets import op1_secrets
 from .sharding import op3_shard
 from .suffix import op9_suffix
@@ -15,4 +16,4 @@ from .toxicity import op6_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_tokens, op3_shard, op4_topk, op5_linedup, op6_toxicity, op7_decontaminate, op8_minhash, op9_suffix, op10_mix)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

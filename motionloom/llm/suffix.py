@@ -96,6 +96,12 @@ class Part:
         self.key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each stretch of equal numbers."""
+    cut = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(x)], strict=True)) if len(x) else []
+
+
 def bytes_of(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The bytes of many ranges, one after another."""
     if not len(first):
@@ -262,9 +268,7 @@ def _keys(size: int, buckets: int, schema: pa.Schema):
         bucket = (mix(key.copy()) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         key, docs, bucket = key[by], docs[by], bucket[by]
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
-        ends = np.append(cut[1:], len(bucket))
-        rows = [(int(bucket[a]), pack_numbers(np.diff(key[a:b], prepend=np.uint64(0))), zstandard.compress(np.minimum(docs[a:b], 255).astype(np.uint8).tobytes(), 1)) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+        rows = [(int(bucket[a]), pack_numbers(np.diff(key[a:b], prepend=np.uint64(0))), zstandard.compress(np.minimum(docs[a:b], 255).astype(np.uint8).tobytes(), 1)) for a, b in stretches(bucket)]
         number = table["part"][0].as_py() if table.num_rows else 0
         return pa.Table.from_arrays([pa.array([number] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary())))], schema=schema)
 
@@ -336,8 +340,7 @@ def _segments(size: int, buckets: int, schema: pa.Schema):
             bucket = (mix(key[order]) % np.uint64(buckets)).astype(np.int64)
             order = order[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
-            for x, y in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist(), strict=True):
+            for x, y in stretches(bucket):
                 s = order[x:y]
                 text = zstandard.compress(bytes_of(part.data, first[s], length[s]).tobytes(), 3)
                 rows.append((int(bucket[x]), number, pack_numbers(ids[doc[s]]), pack_numbers(first[s] - part.offsets[doc[s]]), pack_numbers(length[s]), pack_numbers(np.diff(key[s], prepend=np.uint64(0))), text))
@@ -390,8 +393,7 @@ def _matches(size: int, schema: pa.Schema):
         by = np.argsort(part, kind="stable")
         part, doc, first, last = part[by], doc[by], first[by], last[by]
         rows = []
-        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: len(part)]
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True):
+        for a, b in stretches(part):
             x, y, z = runs_of(doc[a:b], first[a:b], last[a:b])
             rows.append((int(part[a]), pack_numbers(x), pack_numbers(y), pack_numbers(z)))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 3))], schema=schema)
@@ -406,8 +408,7 @@ def _cut(schema: pa.Schema):
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if right.num_rows:
             doc, first, last = runs_of(*(np.concatenate([unpack_numbers(x) for x in right[c].to_pylist()]).view(np.int64) for c in ("docs", "first", "last")))
-            cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[: len(doc)]
-            for a, b in zip(cut.tolist(), np.append(cut[1:], len(doc)).tolist(), strict=True):
+            for a, b in stretches(doc):
                 found[int(doc[a])] = (first[a:b], last[a:b])
         z = zstandard.ZstdDecompressor()
         out = [[], [], [], []]
