@@ -3,8 +3,7 @@ log-count ratios (Wang & Manning 2012), trained on labelled text.
 
 A feature is an n-gram (4 to 6 characters, A-Z as a-z) that a text has or hasn't. Training takes at
 most `most` labelled texts, whole, chosen by a hash of doc_id; that bound is what keeps the fit in
-one task and its rows in memory. Executors find the n-grams; a first aggregation counts, for each
-n-gram, the texts of either label. N-grams of at least `least` texts whose presence tells the labels
+one task and its rows in memory. It counts, for each n-gram, the texts of either label. N-grams of at least `least` texts whose presence tells the labels
 apart (a likelihood ratio above `gain`) become features. The fit is a logistic regression with an
 L2 penalty on presence times log-count ratio. Scoring passes once over the table, without a shuffle.
 
@@ -18,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,21 +57,18 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray):
             yield doc[: len(total)][same], mix(total[same] + tags[n])
 
 
-def _grams(schema: pa.Schema):
-    """For each labelled text: its label and its distinct n-grams."""
+def _pack(batches):
+    z = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        text = [z.compress(t or b"") for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())], names=["id", "toxic", "packed"])
 
-    def run(batches):
-        for batch in batches:
-            data, offsets = binary(batch, "text")
-            label = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).to_pylist()
-            for i in range(len(label)):
-                part = data[offsets[i] : offsets[i + 1]]
-                found = [h for _, h in gram_hashes(part, np.array([0, len(part)]))]
-                h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]], pa.int64()), pa.array([int(label[i])], pa.int32()), pa.array([h.tobytes()], pa.binary())], schema=schema)
 
-    return run
+def grams_of(packed: bytes) -> np.ndarray:
+    """The distinct n-grams of a text."""
+    text = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    found = [h for _, h in gram_hashes(text, np.array([0, len(text)]))]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def _fit(least: int, gain: float, penalty: float, rounds: int, features: int, schema: pa.Schema):
@@ -80,24 +77,23 @@ def _fit(least: int, gain: float, penalty: float, rounds: int, features: int, sc
     def run(batches):
         rows = sorted((i, y, g) for b in batches for i, y, g in zip(*(c.to_pylist() for c in b.columns), strict=True))
         y = np.array([r[1] for r in rows], np.float64)
-        grams = [np.frombuffer(r[2], np.uint64) for r in rows]
-        del rows
         n1, n0 = y.sum(), len(y) - y.sum()
         if not n1 or not n0:
             base = float(y.mean()) if len(y) else 0.0
             bias = np.log(base / (1 - base)) if 0 < base < 1 else (40.0 if base else -40.0)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((bias, pa.float64()), (b"", pa.binary()), (b"", pa.binary()))], schema=schema)
             return
-        ones = np.sort(np.concatenate([g for g, t in zip(grams, y, strict=True) if t]))
-        keys, p = np.unique(ones, return_counts=True)
-        del ones
+        keys, p = np.unique(np.concatenate([grams_of(r[2]) for r in rows if r[1]]), return_counts=True)
         keys, p = keys[p >= least], p[p >= least].astype(np.float64)  # an n-gram of no toxic text tells too little to count
         q = np.zeros(len(keys))
-        for g, t in zip(grams, y, strict=True):
-            if not t and len(keys):
-                at = np.searchsorted(keys, g)
-                at[at == len(keys)] = 0
-                q[at[keys[at] == g]] += 1
+        held = []  # of each text, the n-grams that may become features
+        for r in rows:
+            g = grams_of(r[2])
+            at = np.searchsorted(keys, g)
+            at[at == len(keys)] = 0
+            held.append(at[keys[at] == g].astype(np.int32) if len(keys) else at[:0].astype(np.int32))
+            if not r[1]:
+                q[held[-1]] += 1
         # log-count ratio and likelihood ratio of presence
         r = np.log(((p + 1) / (n1 + 2)) / ((q + 1) / (n0 + 2)))
         tot, share = p + q, (p + q) / len(y)
@@ -105,15 +101,12 @@ def _fit(least: int, gain: float, penalty: float, rounds: int, features: int, sc
             ll = 2 * np.nansum([p * np.log(p / (n1 * share)), q * np.log(q / (n0 * share)), (n1 - p) * np.log((n1 - p) / (n1 * (1 - share))), (n0 - q) * np.log((n0 - q) / (n0 * (1 - share)))], axis=0)
         keep = np.flatnonzero((tot >= least) & (ll >= gain) & (r > 0))
         keep = np.sort(keep[np.argsort(-ll[keep], kind="stable")[:features]])
+        number = np.full(len(keys), -1)
+        number[keep] = np.arange(len(keep))
         keys, r = keys[keep], r[keep]
-        doc, col = [], []
-        for i, g in enumerate(grams):
-            at = np.searchsorted(keys, g)
-            at[at == len(keys)] = 0
-            hit = at[keys[at] == g] if len(keys) else at[:0]
-            doc.append(np.full(len(hit), i))
-            col.append(hit)
-        doc, col = np.concatenate(doc), np.concatenate(col)
+        doc = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        col = number[np.concatenate(held)]
+        doc, col = doc[col >= 0], col[col >= 0]
         value = r[col]
         w, bias = np.zeros(len(keys)), float(np.log(n1 / n0))
         norm = np.bincount(doc, value**2, len(y)).max(initial=1.0)
@@ -141,11 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000, least: int = 8,
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
     own = own.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(own), "id").select("id", "toxic", "text")
-    ddl = "id long, toxic int, grams binary"
-    grams = scratch.cut(rows.mapInArrow(_grams(arrow_schema(ddl)), ddl), "grams")
-    grams = grams.groupBy("id").agg(F.min(F.struct("toxic", "grams")).alias("g")).select("id", "g.toxic", "g.grams")
+    sample = scratch.cut(rows.mapInArrow(_pack, "id long, toxic int, packed binary"), "sample")
+    sample = sample.groupBy("id", "toxic").agg(F.min("packed").alias("packed"))  # repeated rows are learnt from once
     ddl = "bias double, features binary, weights binary"
-    got = grams.repartition(1).mapInArrow(_fit(least, gain, penalty, rounds, features, arrow_schema(ddl)), ddl).collect()
+    got = sample.repartition(1).mapInArrow(_fit(least, gain, penalty, rounds, features, arrow_schema(ddl)), ddl).collect()
     return (got[0][0], bytes(got[0][1]), bytes(got[0][2])) if got else (-40.0, b"", b"")
 
 
