@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Dynamics, Tracking
 from ..functions.columns import ucm
-from ..operators import circle, cleaning, contours, image, kinematics, linking, plotdata, runs, signal
+from ..operators import circle, cleaning, contours, image, linking, plotdata, runs, signal
 
 KEYS = ("run_id",)
 
@@ -29,14 +32,49 @@ def track(detections: DataFrame, c: Tracking = Tracking(), keys=KEYS) -> DataFra
     return linking.to_tracking(linked, keys, c)
 
 
+def observables(time: np.ndarray, x: np.ndarray, y: np.ndarray, theta: np.ndarray, d: Dynamics) -> tuple | None:
+    """omega_fft, omega_noise, v_msd and R of one run in order; None where one of them can't be had."""
+    n = len(time)
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return None
+    fft = signal.filtered_omega(time, theta, d.cutoff, d.order)
+    if fft is None:
+        return None
+    dt = (time[-1] - time[0]) / (n - 1)
+    taus = np.arange(1, min(int(d.max_tau_seconds / dt), n))
+    fit = int(d.taus_percentage * len(taus))
+    if not fit:
+        return None
+    msd = np.array([((x[t:] - x[:-t]) ** 2 + (y[t:] - y[:-t]) ** 2).mean() for t in taus[:fit]])
+    lag2 = (taus[:fit] * dt) ** 2
+    slope = ((lag2 - lag2.mean()) * (msd - msd.mean())).sum() / ((lag2 - lag2.mean()) ** 2).sum() if fit > 1 else 0.0
+    middle = time[n // 2]
+    near = (time >= middle - d.t_subset) & (time <= middle + d.t_subset)
+    noise = abs(np.gradient(np.unwrap(np.deg2rad(theta)), time).mean())
+    return fft, float(noise), float(np.sqrt(max(slope, 0.0))), circle.fit_circle(x[near], y[near])[2]
+
+
+def _observe(keys, d: Dynamics, schema: pa.Schema):
+    def run(table: pa.Table) -> pa.Table:
+        time, x, y, theta = (table[c].to_numpy() for c in ("time", "x", "y", "theta"))
+        by = np.argsort(time, kind="stable")
+        got = observables(time[by], x[by], y[by], theta[by], d)
+        head = table.select(list(keys)).slice(0, 1 if got else 0)
+        for k, name in enumerate(("omega_fft", "omega_noise", "v_msd", "R")):
+            head = head.append_column(name, pa.array([got[k]] if got else [], pa.float64()))
+        return head.cast(schema)
+
+    return run
+
+
 def physics(clean: DataFrame, keys=KEYS, d: Dynamics = Dynamics()) -> DataFrame:
     """(keys, omega_fft, omega_noise, v_msd, R, omega_ucm) for each run that gives all of them; too short, too coarse or
-    unfitted runs aren't there. The parts meet by run, as they are already dealt out."""
-    v = kinematics.msd_fit(kinematics.msd_curve(clean, keys, d), keys, d).select(*keys, "v_msd")
-    fft = signal.omega_fft(clean, keys, d).where("omega_fft IS NOT NULL")
-    noise = kinematics.omega_noise(clean, keys)
-    fit = circle.circle_fit(clean, keys, d).where("R IS NOT NULL").select(*keys, "R")
-    out = fft.join(noise, list(keys)).join(v, list(keys)).join(fit, list(keys))
+    unfitted runs aren't there. Filter and fit need a kernel anyway, so all five come from one pass over a run's rows,
+    which cleaning has dealt out by run already: no join and no further exchange."""
+    rows = clean.select(*keys, *(F.col(c).cast("double").alias(c) for c in ("time", "x", "y", "theta")))
+    none = F.lit(None).cast("double")
+    schema = rows.select(*keys, *(none.alias(c) for c in ("omega_fft", "omega_noise", "v_msd", "R"))).schema
+    out = rows.groupBy(*keys).applyInArrow(_observe(keys, d, to_arrow_schema(schema)), schema)
     return out.withColumn("omega_ucm", ucm(F.col("v_msd"), F.col("R")))
 
 
