@@ -10,11 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one vectorised step works on.
-STEP = 2 << 20
+#: Bytes of text that one vectorised step works on.
+STEP = 1 << 20
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Long texts otherwise make Arrow batches of 64 MB, on both sides of the boundary and for each core."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").strip().lower().removesuffix("b")
+    size = int(now.rstrip("kmgt")) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(now[-1], 0)
+    if size <= 0 or size > most:
+        spark.conf.set(name, str(most))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -35,6 +45,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor is then no reason to compute them again."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:

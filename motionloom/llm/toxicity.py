@@ -101,12 +101,14 @@ def _fit(least: int, gain: float, penalty: float, rounds: int, features: int, sc
             ll = 2 * np.nansum([p * np.log(p / (n1 * share)), q * np.log(q / (n0 * share)), (n1 - p) * np.log((n1 - p) / (n1 * (1 - share))), (n0 - q) * np.log((n0 - q) / (n0 * (1 - share)))], axis=0)
         keep = np.flatnonzero((tot >= least) & (ll >= gain) & (r > 0))
         keep = np.sort(keep[np.argsort(-ll[keep], kind="stable")[:features]])
-        number = np.full(len(keys), -1)
-        number[keep] = np.arange(len(keep))
+        number = np.full(len(keys), -1, np.int32)
+        number[keep] = np.arange(len(keep), dtype=np.int32)
         keys, r = keys[keep], r[keep]
-        doc = np.repeat(np.arange(len(held)), [len(h) for h in held])
-        col = number[np.concatenate(held)]
-        doc, col = doc[col >= 0], col[col >= 0]
+        for i, h in enumerate(held):  # text by text, so that little is held twice
+            h = number[h]
+            held[i] = h[h >= 0]
+        doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
+        col = np.concatenate(held)
         value = r[col]
         w, bias = np.zeros(len(keys)), float(np.log(n1 / n0))
         norm = np.bincount(doc, value**2, len(y)).max(initial=1.0)
@@ -154,7 +156,7 @@ def _score(sent, schema: pa.Schema):
             data, offsets = binary(batch, batch.schema.names[0])
             score = np.full(batch.num_rows, bias)
             if len(feature):
-                for i, j in steps(offsets, 1 << 20):
+                for i, j in steps(offsets, 1 << 19):
                     for doc, h in gram_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                         likely = np.flatnonzero(slot[h >> shift])
                         doc, h = doc[likely], h[likely]
