@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     rights = mix_rows.where("other").select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
     both = lefts.select("family", "i", "j", "side", "rep", "component", "sig", "packed").union(rights.select("family", "i", "j", "side", "rep", "component", "sig", "packed"))
     more = both.groupBy("family", "i", "j").applyInArrow(_rest(words, percent, agree, arrow_schema("u long, v long")), "u long, v long")
-    last = components(links.union(more), scratch)
+    last = components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)  # stars already, but for what is new
 
     # A class and its documents.
     lowest = reps.select("set_a", "set_b", "n_shingles", "rep").join(last.select(F.col("node").alias("rep"), F.col("component").alias("low")), "rep", "left")
