@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -111,6 +112,12 @@ class Encoder:
         return [b"".join([*map(cache.__getitem__, p), self.end]) for p in parts]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end: int) -> Encoder:
+    """One encoder for all tasks of a worker: the vocabulary is read once, and words that were met stay in its bounded cache."""
+    return Encoder(path, end)
+
+
 def _write(folder: str, tokenizer: str, end: int, schema: pa.Schema):
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -126,7 +133,7 @@ def _write(folder: str, tokenizer: str, end: int, schema: pa.Schema):
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(tokenizer, end)
+                encoder = encoder_of(tokenizer, end)
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 out = store.open_output_stream(temp)
             for i in range(0, batch.num_rows, 256):
