@@ -18,14 +18,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = scratch.cut(pairs.where("u <> v").distinct(), "edges")
     while True:
+        # of each node: its smallest neighbour or itself, how many neighbours are smaller, and whether one is larger
+        both = now.union(now.select("v", "u"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("lo"), F.sum((F.col("v") < F.col("u")).cast("int")).alias("down"), F.max((F.col("v") > F.col("u")).cast("int")).alias("up"))
+        low = scratch.cut(low, "low")
         # done when all are stars: no node has two smaller neighbours, or a smaller and a larger one
-        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("v", F.lit(0), F.lit(1)))
-        open_ = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down + up > 1")
-        if open_.isEmpty():
+        if low.where("down > 1 OR down + up > 1").isEmpty():
+            scratch.drop(low)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        both = now.union(now.select("v", "u"))
-        low = scratch.cut(both.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("lo")), "low")
-        large = scratch.cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("lo").alias("v")).distinct(), "large")
+        large = scratch.cut(both.join(low.select("u", "lo"), "u").where("v > u").select(F.col("v").alias("u"), F.col("lo").alias("v")).distinct(), "large")
         low2 = scratch.cut(large.groupBy("u").agg(F.min("v").alias("lo")), "low2")
         small = large.join(low2, "u").select(F.when(F.col("v") == F.col("lo"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("lo").alias("v"))
         after = scratch.cut(small.where("u <> v").distinct(), "edges")

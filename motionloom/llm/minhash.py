@@ -6,9 +6,9 @@ band keys and a one-byte-a-minimum signature. (2) Documents with equal sets are
 its smallest doc_id goes on, so a group of exact copies costs one row. (3) In each bucket (band, key)
 one member is the pivot, another in each band; every other member is compared with it: as many pairs
 as members. Pairs whose signatures agree enough are confirmed on the full sets. (4) Where a family
-(documents joined by shared buckets) still holds several components, the members outside of the
-family's largest component are compared with all members, in blocks, and only links that join two
-components are kept. So no link between different components is lost, and no cap is set.
+(components tied by shared buckets) holds several components, the members outside of its largest
+component are compared with all members, in blocks, and only links that join two components are
+kept. So no link between different components is lost, and no cap is set.
 
 Of two sets with similarity s at least 0.85, the banding misses 1 in 5e7 (24 bands of 4 minima).
 The signature test is five standard deviations below the limit (at 0.85: 64 of 96 minima agree).
@@ -179,6 +179,26 @@ def _rest(words: int, percent: int, agree: int, schema: pa.Schema):
     return run
 
 
+def _joined(placed: DataFrame, ties: DataFrame, part: DataFrame, signed: DataFrame, packed: DataFrame, words: int, percent: int, agree: int, block: int, scratch: Scratch) -> DataFrame:
+    """The components of part after the links between components of one family, compared in blocks, are added."""
+    family = components(ties, scratch)
+    tied = ties.select(F.col("u").alias("node")).union(ties.select("v")).distinct().join(family, "node", "left")
+    tied = tied.select(F.col("node").alias("component"), F.coalesce("component", "node").alias("family"))
+    placed = scratch.cut(placed.join(tied, "component").select("rep", "family", "component"), "tied")
+    by_part = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    mixed = by_part.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+    mixed = scratch.cut(mixed.select("family", "size", F.col("top.component").alias("most"), (F.col("size") - F.col("top.n")).alias("others")), "mixed")
+    mix_rows = placed.join(mixed, "family").join(signed, "rep").join(packed, "rep")
+    mix_rows = mix_rows.select("family", "rep", "component", "sig", "packed", (F.col("component") != F.col("most")).alias("other"), F.ceil(F.col("size") / block).cast("int").alias("nl"), F.ceil(F.col("others") / block).cast("int").alias("nr"))
+    lefts = mix_rows.select("*", F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), F.col("nl")).cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
+    rights = mix_rows.where("other").select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
+    both = lefts.select("family", "i", "j", "side", "rep", "component", "sig", "packed").union(rights.select("family", "i", "j", "side", "rep", "component", "sig", "packed"))
+    more = scratch.cut(both.groupBy("family", "i", "j").applyInArrow(_rest(words, percent, agree, arrow_schema("u long, v long")), "u long, v long"), "more")
+    if more.isEmpty():
+        return part
+    return components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)  # stars already, but for what is new
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, seed: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; see the module's text."""
     spark = docs.sparkSession
@@ -205,24 +225,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     full = pairs.join(packed.select(F.col("rep").alias("u"), F.col("packed").alias("pu")), "u").join(packed.select(F.col("rep").alias("v"), F.col("packed").alias("pv")), "v").select("v", "u", "pv", "pu")
     links = scratch.cut(full.mapInArrow(_confirm(words, percent), "u long, v long"), "links")
 
-    family = components(stars, scratch)
     part = components(links, scratch)
-    placed = (
-        members.join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep", "left")
-        .join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("rep", F.coalesce("family", "rep").alias("family"), F.coalesce("component", "rep").alias("component"))
-    )
-    placed = scratch.cut(placed, "placed")
-    by_part = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
-    mixed = by_part.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = scratch.cut(mixed.select("family", "size", F.col("top.component").alias("most"), (F.col("size") - F.col("top.n")).alias("others")), "mixed")
-    mix_rows = placed.join(mixed, "family").join(signed, "rep").join(packed, "rep")
-    mix_rows = mix_rows.select("family", "rep", "component", "sig", "packed", (F.col("component") != F.col("most")).alias("other"), F.ceil(F.col("size") / block).cast("int").alias("nl"), F.ceil(F.col("others") / block).cast("int").alias("nr"))
-    lefts = mix_rows.select("*", F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), F.col("nl")).cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
-    rights = mix_rows.where("other").select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
-    both = lefts.select("family", "i", "j", "side", "rep", "component", "sig", "packed").union(rights.select("family", "i", "j", "side", "rep", "component", "sig", "packed"))
-    more = both.groupBy("family", "i", "j").applyInArrow(_rest(words, percent, agree, arrow_schema("u long, v long")), "u long, v long")
-    last = components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)  # stars already, but for what is new
+    placed = scratch.cut(members.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "placed")
+    # buckets that hold several components tie these together: a family is a component of components
+    of = {x: placed.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "uv"}
+    ties = scratch.cut(stars.join(of["u"], "u").join(of["v"], "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "ties")
+    last = part if ties.isEmpty() else _joined(placed, ties, part, signed, packed, words, percent, agree, block, scratch)
 
     # A class and its documents.
     lowest = reps.select("set_a", "set_b", "n_shingles", "rep").join(last.select(F.col("node").alias("rep"), F.col("component").alias("low")), "rep", "left")
