@@ -2,9 +2,12 @@
 log-count ratios (Wang & Manning 2012), trained on labelled text.
 
 A feature is an n-gram (4 to 6 characters, A-Z as a-z) that a text has or hasn't. Training takes at
-most `most` labelled texts, whole, chosen by a hash of doc_id; that bound is what keeps the fit in
-one task and its rows in memory. It counts, for each n-gram, the texts of either label. N-grams of at least `least` texts whose presence tells the labels
-apart (a likelihood ratio above `gain`) become features. The fit is a logistic regression with an
+most `most` labelled texts, whole; that bound is what keeps the fit in one task and its rows in
+memory. The rarer label goes first, up to half of them; within a label a hash of doc_id chooses, and
+the intercept is corrected for the shares taken. It counts, for each n-gram, the texts of either
+label. N-grams of at least `least` texts of both labels together whose presence tells the labels
+apart (a likelihood ratio above `gain`), for either label, become features; where a label has few
+texts, both limits shrink with it. The fit is a logistic regression with an
 L2 penalty on presence times log-count ratio, by Newton steps until the gradient vanishes. Scoring passes once over the table, without a shuffle.
 
 Defined results. Null and empty texts have no feature: they get the score of the intercept. Rows are
@@ -15,6 +18,8 @@ there are none). Labels that are null or not 0 or 1 are not learnt from. An empt
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,6 +32,8 @@ from .common import Scratch, arrow_schema, binary, constants, load, mix, steps
 GRAMS = (4, 5, 6)
 #: Bits of the table that finds a feature's number from an n-gram's hash.
 BITS = 22
+#: Bits of the table that bounds n-grams' counts, and how many n-grams are put together at a time.
+NEAR, MERGE = 24, 1 << 21
 #: Scores from here on are label 1.
 NOT_TOXIC = 0.5
 
@@ -110,6 +117,10 @@ def least_loss(doc: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarra
     return w[:-1], float(w[-1])
 
 
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - NEAR)).astype(np.int64)
+
+
 def _fit(least: int, gain: float, penalty: float, features: int, schema: pa.Schema):
     """One task over the bounded sample: counts, log-count ratios, choice of features, fit."""
 
@@ -122,30 +133,38 @@ def _fit(least: int, gain: float, penalty: float, features: int, schema: pa.Sche
             bias = np.log(base / (1 - base)) if 0 < base < 1 else (40.0 if base else -40.0)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((bias, pa.float64()), (b"", pa.binary()), (b"", pa.binary()))], schema=schema)
             return
-        keys, p = np.unique(np.concatenate([grams_of(r[2]) for r in rows if r[1]]), return_counts=True)
-        keys, p = keys[p >= least], p[p >= least].astype(np.float64)  # an n-gram of no toxic text tells too little to count
-        q = np.zeros(len(keys))
-        held = []  # of each text, the n-grams that may become features
+        limit = max(2, min(least, -(-min(n1, n0) // 10)))  # texts that an n-gram needs: no more than a tenth of the rarer label
+        near = np.zeros(1 << NEAR, np.int32)  # at least as many texts as any n-gram of that slot has
         for r in rows:
+            near[slots(grams_of(r[2]))] += 1
+        keys, p, tot = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        wait = []
+        for i, r in enumerate(rows):
             g = grams_of(r[2])
-            at = np.searchsorted(keys, g)
-            at[at == len(keys)] = 0
-            held.append(at[keys[at] == g].astype(np.int32) if len(keys) else at[:0].astype(np.int32))
-            if not r[1]:
-                q[held[-1]] += 1
+            wait.append((g[near[slots(g)] >= limit], r[1]))
+            if sum(len(x) for x, _ in wait) > MERGE or i == len(rows) - 1:  # counts so far and new texts become one
+                every = np.concatenate([keys, *(x for x, _ in wait)])
+                one = np.concatenate([p, *(np.full(len(x), float(k)) for x, k in wait)])
+                all_ = np.concatenate([tot, *(np.ones(len(x)) for x, _ in wait)])
+                keys, at = np.unique(every, return_inverse=True)
+                p, tot, wait = np.bincount(at, one, len(keys)), np.bincount(at, all_, len(keys)), []
+        keys, p, tot = keys[tot >= limit], p[tot >= limit], tot[tot >= limit]
+        q = tot - p
         # log-count ratio and likelihood ratio of presence
         r = np.log(((p + 1) / (n1 + 2)) / ((q + 1) / (n0 + 2)))
-        tot, share = p + q, (p + q) / len(y)
+        share = tot / len(y)
         with np.errstate(divide="ignore", invalid="ignore"):
             ll = 2 * np.nansum([p * np.log(p / (n1 * share)), q * np.log(q / (n0 * share)), (n1 - p) * np.log((n1 - p) / (n1 * (1 - share))), (n0 - q) * np.log((n0 - q) / (n0 * (1 - share)))], axis=0)
-        keep = np.flatnonzero((tot >= least) & (ll >= gain) & (r > 0))
+        best = 2 * (n1 * np.log(len(y) / n1) + n0 * np.log(len(y) / n0))  # of an n-gram that all texts of one label have, and no other
+        keep = np.flatnonzero(ll >= min(gain, best / 2))
         keep = np.sort(keep[np.argsort(-ll[keep], kind="stable")[:features]])
-        number = np.full(len(keys), -1, np.int32)
-        number[keep] = np.arange(len(keep), dtype=np.int32)
         keys, r = keys[keep], r[keep]
-        for i, h in enumerate(held):  # text by text, so that little is held twice
-            h = number[h]
-            held[i] = h[h >= 0]
+        held = []  # of each text, its features
+        for row in rows:
+            g = grams_of(row[2])
+            at = np.searchsorted(keys, g)
+            at[at == len(keys)] = 0
+            held.append(at[keys[at] == g].astype(np.int32) if len(keys) else at[:0].astype(np.int32))
         doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
         col = np.concatenate(held)
         w, bias = least_loss(doc, col, r[col], y, len(keys), penalty)
@@ -154,21 +173,30 @@ def _fit(least: int, gain: float, penalty: float, features: int, schema: pa.Sche
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 6000, least: int = 8, gain: float = 30.0, penalty: float = 2.0, features: int = 20000) -> tuple[float, bytes, bytes]:
+def train(docs: DataFrame, labels: DataFrame, most: int = 6000, least: int = 8, gain: float = 10.0, penalty: float = 2.0, features: int = 20000) -> tuple[float, bytes, bytes]:
     """Intercept, hashes of the features and their weights. labels: doc_id and toxic, already without held-out rows.
 
-    At most `most` labelled documents are fitted, those of smallest xxhash64(doc_id); so the rows that
-    are broadcast, and those of the one fitting task, have that bound.
+    At most `most` labelled documents are fitted: of the rarer label all, or as many as half of `most`
+    where both labels have more, and of the other as many as are left; each time those of smallest
+    xxhash64(doc_id). So the rows that are broadcast, and those of the one fitting task, have that bound.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
-    own = own.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(most)
+    own = scratch.cut(own.groupBy("id").agg(F.max("toxic").alias("toxic")), "labels")
+    have = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    take = {k: min(have[k], max(most - have[1 - k], most // 2)) for k in have}
+    zero, one = (own.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(take[k]) for k in (0, 1))
+    own = zero.unionByName(one)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(own), "id").select("id", "toxic", "text")
     sample = scratch.cut(rows.mapInArrow(_pack, "id long, toxic int, packed binary"), "sample")
     sample = sample.groupBy("id", "toxic").agg(F.min("packed").alias("packed"))  # repeated rows are learnt from once
     ddl = "bias double, features binary, weights binary"
     got = sample.repartition(1).mapInArrow(_fit(least, gain, penalty, features, arrow_schema(ddl)), ddl).collect()
-    return (got[0][0], bytes(got[0][1]), bytes(got[0][2])) if got else (-40.0, b"", b"")
+    if not got:
+        return -40.0, b"", b""
+    # of each label another share was taken: back to the labels' own odds
+    shift = math.log(take[0] / have[0]) - math.log(take[1] / have[1]) if all(take.values()) else 0.0
+    return got[0][0] + shift, bytes(got[0][1]), bytes(got[0][2])
 
 
 def _score(sent, schema: pa.Schema):
