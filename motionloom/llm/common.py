@@ -7,8 +7,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType, VariantType
 
 #: Bytes of text that one vectorised step works on.
 STEP = 1 << 20
@@ -28,6 +29,47 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def place(docs: DataFrame, name: str) -> int:
+    """Where a column is: the one of exactly this name, else one of another case."""
+    names = docs.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the columns _0, _1, ..: whatever names it has, even repeated ones or names with dots, clash with nothing.
+    toDF(*docs.columns) gives the names back."""
+    return docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+
+
+def pick(docs: DataFrame, *names: str) -> DataFrame:
+    """These columns alone, by exact name where there is one."""
+    return numbered(docs).select(*(F.col(f"_{place(docs, n)}").alias(n) for n in names))
+
+
+def identity(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all of a row. Rows that agree in both are repeats of one row: doubles go by their text
+    (-0.0 isn't 0.0), nested values by their JSON, and nulls count."""
+    parts = []
+    for f in docs.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, ArrayType | MapType | StructType | VariantType):
+            c = F.to_json(F.struct(c), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"})
+        elif isinstance(f.dataType, FloatType | DoubleType):
+            c = c.cast("string")
+        parts.append(c)
+    nulls = [c.isNull() for c in parts]
+    return [F.xxhash64(F.lit(salt), *parts, *nulls) for salt in (71, 72)]
+
+
+def repeated(rows: DataFrame, n: str, chunk: int = 1024) -> DataFrame:
+    """Each row n times, with nth from 0. Rows of many repeats are dealt out anew in chunks, so no task makes them all."""
+    parts = partitions(rows.sparkSession)
+    some = rows.where(F.col(n) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / chunk))))
+    some = some.repartition(parts, F.xxhash64(F.col("_chunk"), F.col(rows.columns[0])))
+    last = F.least(F.col(n), (F.col("_chunk") + 1) * chunk) - 1
+    return some.withColumn("nth", F.explode(F.sequence(F.col("_chunk") * chunk, last))).drop("_chunk")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a new local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -159,7 +201,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def texts(docs: DataFrame, *more) -> DataFrame:
     """doc_id and the text as bytes, and nothing else that the table may have."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 
 
 def one_each(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -168,7 +210,7 @@ def one_each(docs: DataFrame) -> tuple[DataFrame, bool]:
     Of several rows the text with the smallest md5 stands for all. Ids are usually unique: then
     the texts aren't shuffled.
     """
-    docs = docs.select("doc_id", "text")
+    docs = pick(docs, "doc_id", "text")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         return docs, False
     one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"))
@@ -177,5 +219,5 @@ def one_each(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def spread(docs: DataFrame, result: DataFrame) -> DataFrame:
     """A result row for each row of docs, after one_each()."""
-    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    ids = pick(docs, "doc_id").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(result, "doc_id").select(result.columns).unionByName(result.where("doc_id IS NULL"))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, binary, constants, load, mix, one_each, spread, steps, texts, word_hashes
+from .common import Scratch, arrow_schema, binary, constants, load, mix, numbered, one_each, place, spread, steps, texts, word_hashes
 from .graph import components
 
 BANDS, ROWS = 24, 4
@@ -50,7 +50,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
         if b - a >= words:
             out.append(np.unique(full[a : b - words + 1]))
         elif b > a:  # the whole sequence is the one shingle
-            out.append(mix(np.array([(h[a:b] * c[: b - a]).sum(dtype=np.uint64) + c[words] * np.uint64(b - a)], np.uint64)))
+            out.append(mix((h[a:b] * c[: b - a]).sum(dtype=np.uint64, keepdims=True) + c[words : words + 1] * np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -242,6 +242,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return spread(docs, out) if repeated else out
 
 
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id, and their columns whatever the names. Rows of one
+    doc_id stay or go together; rows with null doc_ids stay."""
+    gone = near_duplicates(docs, words, percent).where("NOT kept").select("doc_id").distinct()
+    rows = numbered(docs)
+    return rows.join(gone, rows[f"_{place(docs, 'doc_id')}"] == gone["doc_id"], "left_anti").toDF(*docs.columns)
+
+
 def _agreeing(agree: int):
     def run(batches):
         for batch in batches:

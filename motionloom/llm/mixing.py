@@ -1,23 +1,30 @@
 """Mixing sources to target weights by Pareto order sampling (Rosen 1997), in DataFrame operations only.
 
 Every source gets a target of words: shares by weight of the words of the whole corpus, where no
-source takes more than `most` times its own size; what is cut off is shared again by weight. A
-document's expected copies are target / size of its source: the whole part is allocated for
-certain, the fraction p is an inclusion probability. Documents get a random u from a hash of
-seed and doc_id, and are ranked by (u / (1 - u)) / (p / (1 - p)), smallest first. The sample's
-size is fixed in words: long documents first (over their source's mean size; up to their own share
-of the words), then the short ones up to what is left of the target, each time at the rank whose running total comes
-nearest. So a source misses its target by about half a short document's size.
-
-Plan. One pass counts words, and what follows works on (doc_id, source, size) alone. No source is
-collected or ordered in one task: ranks are cut into bins of equal width of u, the bins' sums give
-the bin in which the total is reached, and only that bin is ordered.
+source takes more than `most` times its own size; what is cut off is shared again by weight. Within a
+source a document's expected copies go with the number of binary digits of its size (a document of
+1,000 words, 10 digits, is expected 10/7 times as often as one of 100), up to `most`, at the level at
+which expected words add up to the target. The whole part of that number is allocated for certain;
+the fraction p is the document's inclusion probability. Documents get a random u from a hash of
+seed, doc_id and text, and are ranked by odds(u) / odds(p), smallest first: documents of one source have
+different p, so the odds decide. The sample's size is fixed in words: long documents first (over their
+source's mean size; up to the words expected of them), then the short ones up to what is left of the
+target, each time at the rank whose running total comes nearest. So a source misses its target by
+about half a short document's size.
+
+Plan. One pass counts words, and the choice works on narrow rows without texts. No source is
+collected or ordered in one task: ranks are cut into bins, the bins' sums give the bin in
+which the total is reached, that bin is cut again, three times by 128, and only what is left (a
+two-millionth of a source) is ordered. What comes out is a limit for each source, a few bytes, and a
+document's copies follow from its own rank and that limit: texts aren't shuffled. Sources meet their
+limits in a join that Spark may broadcast by its size or split by skew. Targets and weights order the
+sources themselves, a narrow row each.
 
 Defined results. Null, empty or blank texts have size 0 and are taken 0 times. A null source is a
-source like others, the last in order. Rows are units of their own; rows of one doc_id have the same u
-and are ordered by size, so of exact repeats the copies may all stand at the boundary: they are
-taken or left one by one. A null doc_id has a u like any other id. If no text has a word every target is 0. An
-empty table gives no rows.
+source like others, the last in order. Rows are units of their own. Repeats of one row have one rank; where
+they stand at the limit, as many of them are taken as come nearest, and it doesn't matter which. Rows that agree in doc_id
+and text but differ elsewhere are ordered by a hash of the whole row. If no text has a word every
+target is 0. An empty table gives no rows. Other columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -26,15 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, load
+from .common import Scratch, identity, load, numbered, pick, place, repeated
 
-#: Bins of the random number u, from 0 to 2**52.
-BINS, UNIT = 4096, float(2**52)
+#: Bits of a rank, bits of it that one level of bins takes, and levels.
+RANK, BITS, LEVELS = 52, 7, 3
+UNIT = float(2**RANK)
 
 
-def draw(key: Column, seed: int) -> Column:
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
     """A whole number from 0 to 2**52 - 1: the first 13 hexadecimal digits of an md5."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, most: float = 3.0, weights: DataFrame | None = None) -> DataFrame:
@@ -56,60 +65,127 @@ def targets(sizes: DataFrame, most: float = 3.0, weights: DataFrame | None = Non
     return own.select("source", "n", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"))
 
 
-def _up_to(rows: DataFrame, goal: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """rows (key, group, odds, bin, size ..) with `picked`: those of smallest rank in each group whose running
-    total comes nearest to the group's goal (group, goal)."""
-    sums = rows.groupBy("group", "bin").agg(F.sum("size").alias("words"))
-    by = W.partitionBy("group").orderBy("bin")
-    sums = sums.withColumn("upto", F.sum("words").over(by)).join(goal, "group").withColumn("from", F.col("upto") - F.col("words"))
-    edge = sums.where("upto > goal").groupBy("group").agg(F.min(F.struct("bin", "from", "goal")).alias("e"))
-    edge = scratch.cut(edge.select("group", F.col("e.bin").alias("edge"), F.col("e.from").alias("from"), "e.goal"), name)
-    placed = rows.join(edge, "group", "left")
-    run = W.partitionBy("group", "bin").orderBy("odds", "key", "size", "tie")
-    inside = placed.where("bin = edge")
-    before = F.col("from") + F.coalesce(F.sum("size").over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = inside.withColumn("picked", before + F.col("size") / 2 <= F.col("goal"))
-    rest = placed.where("edge IS NULL OR bin <> edge").withColumn("picked", F.col("edge").isNull() | (F.col("bin") < F.col("edge")))
-    return inside.unionByName(rest).drop("edge", "from", "goal")
-
-
-def copies(docs: DataFrame, most: int = 3, seed: int = 10, weights: DataFrame | None = None) -> DataFrame:
+def _named(source: str) -> Column:
+    """A source as a key that isn't null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+
+
+def expected(sizes: DataFrame, goals: DataFrame, most: float) -> DataFrame:
+    """(group, digits, whole, p) from (group, digits, size) and (group, target): what is expected of documents of a
+    size's number of digits. A row for each, so a window has as many rows as there are numbers of digits."""
+    by = sizes.where("size > 0").groupBy("group", "digits").agg(F.sum("size").alias("words")).join(goals.select("group", "target"), "group")
+    down = W.partitionBy("group").orderBy(F.desc("digits"))
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * F.col("digits")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    by = by.withColumn("level", (F.col("target") - most * above) / rest)
+    # the longest documents that aren't at `most` yet set the level; without any, all are
+    level = F.max(F.when(F.col("level") * F.col("digits") <= most, F.struct("digits", "level"))).over(W.partitionBy("group"))["level"]
+    number = F.least(F.lit(float(most)), F.coalesce(level, F.lit(float(most))) * F.col("digits"))
+    by = by.select("group", "digits", number.alias("number"))
+    by = by.withColumn("number", F.when(F.abs(F.col("number") - F.round("number")) < 1e-9, F.round("number")).otherwise(F.col("number")))
+    return by.select("group", "digits", F.floor("number").alias("whole"), (F.col("number") - F.floor("number")).alias("p"))
+
+
+def rank_of(u: Column, p: Column) -> Column:
+    """odds(u) / odds(p), q, as the whole number q / (1 + q) * 2**52, which has the same order."""
+    x = (u + 0.5) / UNIT
+    q = (x / (1 - x)) / (p / (1 - p))
+    return F.least(F.floor(q / (1 + q) * UNIT), F.lit(2**RANK - 1)).cast("long")
+
+
+def _limit(rows: DataFrame, goals: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(group, rank, a, b, m, r, got) from rows (group, rank, a, b, size) and (group, goal): rows before the limit are taken,
+    and r of the m that stand at it; got is the words of these. Groups whose total stays below their goal have rank null."""
+    at = goals.select("group", "goal", F.lit(0).cast("long").alias("edge"), F.lit(0).cast("long").alias("base"))
+    every = rows.groupBy("group").agg(F.sum("size").alias("all")).join(goals, "group")
+    short = every.where("all <= goal").select("group", "all")
+    for level in range(1, LEVELS + 1):
+        shift = RANK - BITS * level
+        near = rows.join(at, "group").where(F.shiftright("rank", shift + BITS) == F.col("edge"))
+        sums = near.groupBy("group", "goal", "base", F.shiftright("rank", shift).alias("bin")).agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(W.partitionBy("group").orderBy("bin"))  # 128 rows of a group at most
+        sums = sums.withColumn("upto", F.col("base") + upto)
+        edge = sums.where("upto > goal").groupBy("group").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("base"), "goal")).alias("e"))
+        at = scratch.cut(edge.select("group", "e.goal", F.col("e.bin").alias("edge"), F.col("e.base").alias("base")), f"{name}{level}")
+    near = rows.join(at, "group").where(F.shiftright("rank", shift) == F.col("edge"))
+    ties = near.groupBy("group", "goal", "base", "rank", "a", "b", "size").agg(F.count("*").alias("m"))
+    upto = F.sum(F.col("m") * F.col("size")).over(W.partitionBy("group").orderBy("rank", "a", "b"))
+    ties = ties.withColumn("upto", F.col("base") + upto).where("upto > goal")
+    ties = ties.groupBy("group").agg(F.min(F.struct("rank", "a", "b", "m", "size", "goal", "upto")).alias("t")).select("group", "t.*")
+    before = F.col("upto") - F.col("m") * F.col("size")
+    r = F.greatest(F.floor((F.col("goal") - before) / F.col("size") + 0.5), F.lit(0)).cast("long")
+    ties = ties.select("group", "rank", "a", "b", "m", r.alias("r"), (before + r * F.col("size")).alias("got"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("rank", "a", "b", "m", "r")]
+    return scratch.cut(ties.unionByName(short.select("group", *none, F.col("all").alias("got"))), name)
+
+
+MEASURES = ("group", "source", "size", "digits", "u", "a", "b")
+
+
+def _measured(docs: DataFrame, seed: int) -> DataFrame:
+    """The columns of docs as _0, _1, .. and what the choice needs of them."""
+    rows = numbered(docs)
+    doc_id, text, source = (F.col(f"_{place(docs, c)}") for c in ("doc_id", "text", "source"))
+    size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    a, b = identity(rows)
+    rows = rows.select(*rows.columns, source.cast("string").alias("source"), size.alias("size"), draw(doc_id, text, seed).alias("u"), a.alias("a"), b.alias("b"))
+    return rows.select("*", _named("source").alias("group"), F.length(F.bin("size")).alias("digits"))
+
+
+class Mix:
+    """Targets and limits of the sources of docs, and what follows from them for each row."""
+
+    def __init__(self, docs: DataFrame, most: float, seed: int, weights: DataFrame | None):
+        self.scratch = scratch = Scratch(docs.sparkSession, "mixing")
+        self.rows = _measured(docs, seed)
+        doc_id = F.col(f"_{place(docs, 'doc_id')}").alias("doc_id")
+        self.narrow = scratch.cut(self.rows.select(doc_id, *MEASURES), "sizes")
+        goals = targets(self.narrow.select("source", "size"), most, weights)
+        self.goals = scratch.cut(goals.select(_named("source").alias("group"), "n", "source_size", "target"), "goals")
+        self.hopes = scratch.cut(expected(self.narrow, self.goals, most), "expected")
+        left = self.ranked(self.narrow).where("p > 0").select("group", "long", "rank", "a", "b", "size", "p", "source_size", "target")
+        hoped = scratch.cut(left.groupBy("group", "long").agg(F.sum(F.col("size") * F.col("p")).alias("goal")), "hoped")
+        longs = _limit(left.where("long"), hoped.where("long").select("group", "goal"), scratch, "long")
+        goal = hoped.groupBy("group").agg(F.sum("goal").alias("goal")).join(longs.select("group", "got"), "group", "left")
+        goal = goal.select("group", (F.col("goal") - F.coalesce("got", F.lit(0))).alias("goal"))
+        shorts = _limit(left.where("NOT long"), goal, scratch, "short")
+        both = longs.withColumn("long", F.lit(True)).unionByName(shorts.withColumn("long", F.lit(False)))
+        self.limits = both.select("group", "long", *(F.col(c).alias(f"l_{c}") for c in ("rank", "a", "b", "m", "r")))
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        """rows with n, source_size, target, whole, p, long and rank."""
+        out = rows.join(self.goals, "group").join(self.hopes, ["group", "digits"], "left")
+        out = out.withColumn("whole", F.coalesce(F.when(F.col("size") > 0, F.col("whole")), F.lit(0)).cast("long")).withColumn("p", F.coalesce(F.when(F.col("size") > 0, F.col("p")), F.lit(0.0)))
+        out = out.withColumn("long", F.col("size") * F.col("n") > F.col("source_size"))
+        return out.withColumn("rank", F.when(F.col("p") > 0, rank_of(F.col("u"), F.col("p"))))
+
+    def placed(self, rows: DataFrame, *cols: str) -> DataFrame:
+        """(cols, source_size, target, copies) of each of rows. Repeats at a limit are put together and told apart by number."""
+        out = self.ranked(rows).join(self.limits, ["group", "long"], "left")
+        own, limit = F.struct("rank", "a", "b"), F.struct("l_rank", "l_a", "l_b")
+        split = F.coalesce((own == limit) & (F.col("l_r") > 0) & (F.col("l_r") < F.col("l_m")), F.lit(False))
+        taken = (F.col("p") > 0) & (F.col("l_rank").isNull() | (own < limit) | ((own == limit) & (F.col("l_r") == F.col("l_m"))))
+        given = [*cols, "source_size", "target"]
+        apart = out.where(~split).select(*given, (F.col("whole") + F.coalesce(taken, F.lit(False)).cast("long")).alias("copies"))
+        ties = self.limits.where("l_r > 0 AND l_r < l_m")
+        if ties.isEmpty():
+            return apart
+        once = out.where(split).groupBy("group", "long").agg(F.first(F.struct(*given, "whole")).alias("row"), F.max("l_m").alias("m"), F.max("l_r").alias("r"))
+        each = repeated(once, "m").select("row.*", "nth", "r").withColumn("copies", F.col("whole") + (F.col("nth") < F.col("r")).cast("long"))
+        return apart.unionByName(each.select(*given, "copies"))
+
+
+def copies(docs: DataFrame, most: float = 3, seed: int = 10, weights: DataFrame | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for each row of docs (doc_id, text, source)."""
-    scratch = Scratch(docs.sparkSession, "mixing")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), draw(F.col("doc_id"), seed).alias("u"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("tie"))
-    sizes = scratch.cut(sizes, "sizes")
-    goals = scratch.cut(targets(sizes.select("source", "size"), most, weights).withColumn("whole", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))), "goals")
-    goals = goals.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("whole")).otherwise(0.0))
-    g = goals.select(F.col("source").alias("s"), "n", "source_size", "target", "whole", "share")
-    rows = sizes.join(g, F.expr("source <=> s")).select(
-        F.col("doc_id").alias("key"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("group"), "size", "tie", "n", "source_size", "target", "whole", "share",
-        F.floor(F.col("u") / (UNIT / BINS)).cast("int").alias("bin"), ((F.col("u") + 0.5) / UNIT).alias("u"), (F.col("size") * F.col("n") > F.col("source_size")).alias("long"),
-    )
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("share") / (1 - F.col("share")))
-    rows = rows.withColumn("odds", F.when(F.col("share") > 0, odds))
-    left = rows.where("share > 0 AND size > 0")
-    whole = goals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("group"), (F.col("share") * F.col("source_size")).alias("rest"), "share")
-    of_long = left.where("long").groupBy("group", "share").agg(F.sum("size").alias("words")).select("group", (F.col("share") * F.col("words")).alias("goal"))
-    longs = scratch.cut(_up_to(left.where("long"), of_long, scratch, "edge1"), "longs")
-    got = longs.where("picked").groupBy("group").agg(F.sum("size").alias("got"))
-    goal = whole.join(got, "group", "left").select("group", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("goal"))
-    shorts = _up_to(left.where("NOT long"), goal, scratch, "edge2")
-    none = rows.where("NOT (share > 0 AND size > 0)").withColumn("picked", F.lit(False))
-    out = longs.unionByName(shorts).unionByName(none)
-    number = F.when(F.col("size") > 0, F.col("whole") + F.col("picked").cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.select(F.col("key").alias("doc_id"), "size", "tie", "source_size", "target", number.alias("copies"), (number * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, most: int = 3, seed: int = 10) -> DataFrame:
+    mix = Mix(pick(docs, "doc_id", "text", "source"), most, seed, weights)
+    return mix.placed(mix.narrow, "doc_id", "size").select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, most: float = 3, seed: int = 10, weights: DataFrame | None = None) -> DataFrame:
     """docs with each row as often as the mix takes it; rows that it doesn't take go."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")
-    n = copies(docs, most, seed).groupBy(name, F.col("tie").alias("_tie")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).where("_copies[0] > 0")
-    rows = docs.select("*", name, F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("_tie"))
-    # of rows that are repeated the first has the first number of copies, and so on
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_key", "_tie").orderBy("_key")))
-    out = rows.join(n, ["_key", "_tie"]).withColumn("_n", F.get("_copies", F.col("_nth") - 1)).where("_n > 0")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")).drop("_copy")
+    mix, cols = Mix(docs, most, seed, weights), [f"_{i}" for i in range(len(docs.columns))]
+    rows = mix.placed(mix.rows, *cols).where("copies > 0")
+    return rows.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth")).select(*cols).toDF(*docs.columns)
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:

@@ -60,8 +60,8 @@ FROM low LEFT JOIN n USING (doc_id)
 
 OP10 = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(text, '') AS text,
-         CAST('0x' || substr(md5('10:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS h
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5('10:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS h
   FROM documents),
 src AS (SELECT source, count(*) AS n, sum(size) AS source_size FROM d GROUP BY source),
 wt AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight FROM src),
@@ -72,26 +72,40 @@ lev AS (
 fix AS (SELECT arg_min(level, ratio) AS level FROM lev WHERE level <= ratio),
 goal AS (
   SELECT source, n, CAST(source_size AS BIGINT) AS source_size, coalesce(least(cap, weight * fix.level), cap) AS target FROM lev LEFT JOIN fix ON true),
-part AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM goal),
+c AS (
+  SELECT source, length(bin(size)) AS digits, CAST(sum(size) AS DOUBLE) AS words FROM d WHERE size > 0 GROUP BY ALL),
+l0 AS (
+  SELECT c.*, (target - 3.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(words * digits) OVER (PARTITION BY c.source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM c JOIN goal ON goal.source IS NOT DISTINCT FROM c.source),
+l1 AS (SELECT source, arg_max(level, digits) FILTER (level * digits <= 3) AS level FROM l0 GROUP BY source),
+x AS (
+  SELECT c.source, c.digits, least(3.0::DOUBLE, coalesce(level, 3.0::DOUBLE) * c.digits) AS number
+  FROM c JOIN l1 ON l1.source IS NOT DISTINCT FROM c.source),
+e AS (
+  SELECT source, digits, floor(k) AS whole, k - floor(k) AS p
+  FROM (SELECT source, digits, CASE WHEN abs(number - round(number)) < 1e-9 THEN round(number) ELSE number END AS k FROM x)),
 r AS (
-  SELECT d.*, g.n, g.source_size, g.target, g.whole, CASE WHEN g.source_size > 0 THEN g.target / g.source_size - g.whole ELSE 0 END AS share,
-         (h + 0.5::DOUBLE) / 4503599627370496 AS u, d.size * g.n > g.source_size AS long_
-  FROM d JOIN part g ON d.source IS NOT DISTINCT FROM g.source),
-o AS (SELECT *, CASE WHEN share > 0 THEN (u / (1 - u)) / (share / (1 - share)) END AS odds FROM r),
+  SELECT d.*, g.n, g.source_size, g.target, coalesce(e.whole, 0) AS whole, coalesce(e.p, 0) AS p, (h + 0.5::DOUBLE) / 4503599627370496 AS u, d.size * g.n > g.source_size AS long_
+  FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN e ON d.size > 0 AND e.source IS NOT DISTINCT FROM d.source AND e.digits = length(bin(d.size))),
+q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q FROM r WHERE p > 0),
+o AS (SELECT *, floor(q / (1 + q) * 4503599627370496) AS rank FROM q),
 l AS (
-  SELECT *, share * sum(size) OVER (PARTITION BY source) AS goal,
-         coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM o WHERE long_ AND share > 0 AND size > 0),
+  SELECT *, sum(size * p) OVER (PARTITION BY source) AS goal,
+         coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM o WHERE long_),
 lp AS (SELECT *, before + size / 2.0::DOUBLE <= goal AS picked FROM l),
+hope AS (SELECT source, sum(size * p) AS goal FROM o GROUP BY source),
 got AS (SELECT source, sum(size) FILTER (picked) AS got FROM lp GROUP BY source),
 s AS (
-  SELECT o.*, o.share * o.source_size - coalesce(got, 0) AS goal,
-         coalesce(sum(size) OVER (PARTITION BY o.source ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM o LEFT JOIN got ON got.source IS NOT DISTINCT FROM o.source WHERE NOT long_ AND share > 0 AND size > 0),
+  SELECT o.*, hope.goal - coalesce(got, 0) AS goal,
+         coalesce(sum(size) OVER (PARTITION BY o.source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM o JOIN hope ON hope.source IS NOT DISTINCT FROM o.source LEFT JOIN got ON got.source IS NOT DISTINCT FROM o.source WHERE NOT long_),
 pick AS (SELECT doc_id FROM lp WHERE picked UNION ALL SELECT doc_id FROM s WHERE before + size / 2.0::DOUBLE <= goal)
-SELECT o.doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN pick.doc_id IS NOT NULL THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
-FROM o LEFT JOIN pick ON pick.doc_id = o.doc_id
+SELECT r.doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST((whole + CASE WHEN pick.doc_id IS NOT NULL THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM r LEFT JOIN pick ON pick.doc_id = r.doc_id
 """
 
 ORACLES = {"op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op10_mix": OP10}

@@ -2,11 +2,11 @@
 log-count ratios (Wang & Manning 2012), trained on labelled text.
 
 A feature is an n-gram (4 to 6 characters, A-Z as a-z) that a text has or hasn't. Training takes at
-most `most` labelled texts, whole; that bound is what keeps the fit in one task and its rows in
-memory. The rarer label goes first, up to half of them; within a label a hash of doc_id chooses, and
+most `most` labelled texts, whole, and of either label at most `most_bytes` / 2; these bounds keep the fit in one task and
+its rows in memory. The rarer label goes first, up to half of them; within a label a hash of doc_id chooses, and
 the intercept is corrected for the shares taken. It counts, for each n-gram, the texts of either
 label. N-grams of at least `least` texts of both labels together whose presence tells the labels
-apart (a likelihood ratio above `gain`), for either label, become features; where a label has few
+apart (a likelihood ratio above `gain`), for either label, become features, however many there are; where a label has few
 texts, both limits shrink with it. The fit is a logistic regression with an
 L2 penalty on presence times log-count ratio, by Newton steps until the gradient vanishes. Scoring passes once over the table, without a shuffle.
 
@@ -23,11 +23,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, arrow_schema, binary, constants, load, mix, steps
+from .common import Scratch, arrow_schema, binary, constants, load, mix, numbered, pick, place, steps
 
 GRAMS = (4, 5, 6)
 #: Bits of the table that finds a feature's number from an n-gram's hash.
@@ -67,8 +68,9 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray):
 def _pack(batches):
     z = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        text = [z.compress(t or b"") for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())], names=["id", "toxic", "packed"])
+        texts = [t or b"" for t in batch.column(2).to_pylist()]
+        cols = [pa.array([len(t) for t in texts], pa.int64()), pa.array([z.compress(t) for t in texts], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "toxic", "size", "packed"])
 
 
 def grams_of(packed: bytes) -> np.ndarray:
@@ -121,7 +123,7 @@ def slots(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - NEAR)).astype(np.int64)
 
 
-def _fit(least: int, gain: float, penalty: float, features: int, schema: pa.Schema):
+def _fit(least: int, gain: float, penalty: float, schema: pa.Schema):
     """One task over the bounded sample: counts, log-count ratios, choice of features, fit."""
 
     def run(batches):
@@ -157,7 +159,6 @@ def _fit(least: int, gain: float, penalty: float, features: int, schema: pa.Sche
             ll = 2 * np.nansum([p * np.log(p / (n1 * share)), q * np.log(q / (n0 * share)), (n1 - p) * np.log((n1 - p) / (n1 * (1 - share))), (n0 - q) * np.log((n0 - q) / (n0 * (1 - share)))], axis=0)
         best = 2 * (n1 * np.log(len(y) / n1) + n0 * np.log(len(y) / n0))  # of an n-gram that all texts of one label have, and no other
         keep = np.flatnonzero(ll >= min(gain, best / 2))
-        keep = np.sort(keep[np.argsort(-ll[keep], kind="stable")[:features]])
         keys, r = keys[keep], r[keep]
         held = []  # of each text, its features
         for row in rows:
@@ -173,29 +174,37 @@ def _fit(least: int, gain: float, penalty: float, features: int, schema: pa.Sche
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 6000, least: int = 8, gain: float = 10.0, penalty: float = 2.0, features: int = 20000) -> tuple[float, bytes, bytes]:
+def train(docs: DataFrame, labels: DataFrame, most: int = 6000, least: int = 8, gain: float = 10.0, penalty: float = 2.0, most_bytes: int = 32 << 20) -> tuple[float, bytes, bytes]:
     """Intercept, hashes of the features and their weights. labels: doc_id and toxic, already without held-out rows.
 
     At most `most` labelled documents are fitted: of the rarer label all, or as many as half of `most`
     where both labels have more, and of the other as many as are left; each time those of smallest
-    xxhash64(doc_id). So the rows that are broadcast, and those of the one fitting task, have that bound.
+    xxhash64(doc_id), as long as the texts of one label make no more than half of `most_bytes`. So the rows that are
+    broadcast, and the bytes of the one fitting task, have these bounds.
     """
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
+    scratch, docs = Scratch(docs.sparkSession, "toxicity"), pick(docs, "doc_id", "text")
+    own = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
     own = scratch.cut(own.groupBy("id").agg(F.max("toxic").alias("toxic")), "labels")
     have = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     take = {k: min(have[k], max(most - have[1 - k], most // 2)) for k in have}
     zero, one = (own.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(take[k]) for k in (0, 1))
     own = zero.unionByName(one)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(own), "id").select("id", "toxic", "text")
-    sample = scratch.cut(rows.mapInArrow(_pack, "id long, toxic int, packed binary"), "sample")
-    sample = sample.groupBy("id", "toxic").agg(F.min("packed").alias("packed"))  # repeated rows are learnt from once
+    sample = scratch.cut(rows.mapInArrow(_pack, "id long, toxic int, size long, packed binary"), "sample")
+    upto = F.sum("size").over(W.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))  # as many rows as the sample has
+    fits = sample.groupBy("id", "toxic").agg(F.max("size").alias("size")).withColumn("fits", upto <= most_bytes / 2)
+    fits = scratch.cut(fits.select("id", "toxic", "fits"), "fits")
+    share = {r["toxic"]: r["share"] for r in fits.groupBy("toxic").agg(F.avg(F.col("fits").cast("double")).alias("share")).collect()}
+    # repeated rows are learnt from once
+    sample = sample.join(F.broadcast(fits.where("fits").select("id")), "id").groupBy("id", "toxic").agg(F.min("packed").alias("packed"))
     ddl = "bias double, features binary, weights binary"
-    got = sample.repartition(1).mapInArrow(_fit(least, gain, penalty, features, arrow_schema(ddl)), ddl).collect()
+    got = sample.repartition(1).mapInArrow(_fit(least, gain, penalty, arrow_schema(ddl)), ddl).collect()
     if not got:
         return -40.0, b"", b""
     # of each label another share was taken: back to the labels' own odds
-    shift = math.log(take[0] / have[0]) - math.log(take[1] / have[1]) if all(take.values()) else 0.0
+    shift = 0.0
+    if all(take.values()) and share.get(0) and share.get(1):
+        shift = math.log(take[0] / have[0] * share[0]) - math.log(take[1] / have[1] * share[1])
     return got[0][0] + shift, bytes(got[0][1]), bytes(got[0][2])
 
 
@@ -228,16 +237,26 @@ def _score(sent, schema: pa.Schema):
     return run
 
 
+def _scores(docs: DataFrame, model: tuple[float, bytes, bytes]) -> DataFrame:
+    """The columns of docs as _0, _1, .. and score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # no more than the n-grams of `most_bytes` of text
+    rows = numbered(docs)
+    rows = rows.select(F.col(f"_{place(docs, 'text')}").cast("binary").alias("score"), *rows.columns)
+    out = rows.withColumn("score", F.lit(0.0)).schema
+    return rows.mapInArrow(_score(sent, to_arrow_schema(out)), out).select(*rows.columns[1:], "score")
+
+
 def scored(docs: DataFrame, model: tuple[float, bytes, bytes]) -> DataFrame:
-    """docs with the column _score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # as many features as `features` allows at most
-    rows = docs.select(F.col("text").cast("binary").alias("_score"), *(F.col(f"`{c.replace('`', '``')}`").alias(f"_{i}") for i, c in enumerate(docs.columns)))
-    out = rows.withColumn("_score", F.lit(0.0)).schema
-    rows = rows.mapInArrow(_score(sent, to_arrow_schema(out)), out)
-    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)), "_score")
+    """docs with one more column at the end, _score."""
+    return _scores(docs, model).toDF(*docs.columns, "_score")
+
+
+def accepted(docs: DataFrame, model: tuple[float, bytes, bytes], below: float = NOT_TOXIC) -> DataFrame:
+    """The rows of docs that score below the limit, with their columns whatever the names."""
+    return _scores(docs, model).where(F.col("score") < below).drop("score").toDF(*docs.columns)
 
 
-def held_out(column) :
+def held_out(column: str) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
@@ -245,5 +264,5 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents; a fifth of the labels is never learnt from."""
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out("doc_id")))
-    out = scored(docs.select("doc_id", "text"), model)
+    out = scored(pick(docs, "doc_id", "text"), model)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= NOT_TOXIC).cast("int").alias("predicted"))
