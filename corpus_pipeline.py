@@ -7,43 +7,56 @@ again as the docs of the next. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from motionloom.llm.common import Scratch, load
 from motionloom.llm.decontaminate import decontaminate
-from motionloom.llm.minhash import near_duplicates
+from motionloom.llm.minhash import deduplicated
 from motionloom.llm.mixing import mixed
-from motionloom.llm.sharding import external_shuffle
-from motionloom.llm.toxicity import NOT_TOXIC, held_out, scored, train
+from motionloom.llm.sharding import sharded
+from motionloom.llm.toxicity import accepted, held_out, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from labelled rows of this stage's input."""
+    """Documents that the classifier rejects go. It learns from labelled rows of this stage's input.
+
+    Null and empty texts have the score of the intercept; repeated rows and ties are scored one by one; rows
+    with null doc_ids are scored and not learnt from; without labels nothing is rejected but where all labels say
+    so; an empty table gives no rows. Other columns pass."""
     labels = load(spark, sf_dir, "labels")
-    model = train(docs, labels.where(~held_out("doc_id")))
-    return scored(docs, model).where(F.col("_score") < NOT_TOXIC).drop("_score")
+    return accepted(docs, train(docs, labels.where(~held_out("doc_id"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (5 words, similarity 0.8): the smallest doc_id.
-    Rows of one doc_id stay or go together; null doc_ids stay."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+    Null, empty and blank texts are like nothing and stay; rows of one doc_id stay or go together; rows with null
+    doc_ids stay; an empty table gives no rows. Other columns pass."""
+    return deduplicated(docs, 5, 80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut; documents that are mostly benchmark go."""
+    """Benchmark passages are cut; documents that are mostly benchmark go.
+
+    Null, empty and wordless texts stay as they are; rows are judged one by one, so repeated rows, ties and null
+    doc_ids are no special case; an empty table or benchmark changes nothing. Other columns pass."""
     return decontaminate(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null, empty and blank texts have no words and aren't taken; a null source is a source; repeated rows are
+    units of their own, and of those at a limit as many are taken as come nearest; null doc_ids are drawn by their text; an
+    empty table gives no rows. Other columns pass."""
     return mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each row."""
-    return external_shuffle(docs)
+    """Shard and slot of each row, as written and read back.
+
+    Null and empty texts, null doc_ids and repeated rows are records like others; an empty table gives no rows. Other
+    columns pass; a shard or slot column is replaced."""
+    return sharded(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
