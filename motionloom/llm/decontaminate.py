@@ -175,7 +175,9 @@ def loaded(path: str) -> Automaton:
     """The automaton of a file; a worker holds one at a time."""
     store, at = fs.FileSystem.from_uri(path)
     with store.open_input_file(at) as f:
-        return pickle.loads(zstandard.decompress(f.read()))
+        out = Automaton.__new__(Automaton)
+        vars(out).update(pickle.loads(zstandard.decompress(f.read())))
+        return out
 
 
 def _stream(paths: list[str], block: int, schema: pa.Schema):
@@ -238,7 +240,7 @@ def _build(folder: str, window: int, most: int, schema: pa.Schema):
             name = f"{table['bucket'][0].as_py():06d}-{len(paths):04d}.automaton"
             temp = f"{root}/{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temp) as f:
-                f.write(zstandard.compress(pickle.dumps(Automaton(group, window), pickle.HIGHEST_PROTOCOL), 1))
+                f.write(zstandard.compress(pickle.dumps(vars(Automaton(group, window)), pickle.HIGHEST_PROTOCOL), 1))
             store.move(temp, f"{root}/{name}")
             paths.append(f"{folder}/{name}")
 
