@@ -8,14 +8,17 @@ slices of a place to one. What comes out are the slices of the scores, up to a c
 most significant slice downward, rows are selected as long as no more than k are certain; rows
 that tie at the boundary are resolved by exact score and vec_id.
 
-Plan. Rows are packed into blocks of `block` rows by a hash, queries into blocks of `group`; each pair of
-a query block and a row block is one task's work, and gives k rows a query, which meet in a window
-by query. The stated query set against all rows is the work that was asked for; what is sent is
-blocks of packed bytes, rows x query blocks.
+Plan. Rows are packed into blocks of `cells` components by a hash, queries into blocks that are as large as
+leaves each core some pairs, 8,192 queries at most; each pair of a query block and a row block is one task's work, and
+gives k rows a query, which meet in a window by query. The stated query set against all rows is the work that was
+asked for; what is sent is blocks of packed bytes, rows x query blocks. Repeats of one vector are put
+together first, and only k of them go on, as a list holds no more.
 
 Defined results. Vectors that are null or hold null or non-finite components take no part, nor do
-rows with null vec_id. Vectors of different lengths are compared within equal lengths only. Components
-above 2**31 in size are not supported (an error says so). Repeated vec_ids are rows of their own; a query's own
+rows with null vec_id. Vectors of different lengths are compared within equal lengths only. Any finite float has
+its place: vectors with components of 2**31 or more in size go in blocks of their own, in whole numbers of
+any size, and ranks are always by the exact score; a score that doesn't fit a long is given as the nearest long.
+Repeated vec_ids are rows of their own; a query's own
 row is every row of its vec_id, and a repeated query id gives its list once (of several vectors, the smallest asks). Ties go to the smaller
 vec_id. An empty table gives no rows. Other columns play no part.
 """
@@ -28,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, load
+from .common import Scratch, arrow_schema, load, partitions, pick
 
-BLOCK, GROUP = 32768, 256
+#: Components of a block of rows; fewest and most queries of a block; components from here on need whole numbers of any size.
+CELLS, LEAST, MOST, LARGE = 1 << 21, 64, 8192, 2**31
+#: Bytes of a score that doesn't fit a long.
+WIDE = 300
 
 
 class SlicedBlock:
@@ -105,74 +111,112 @@ class SlicedBlock:
         rows = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little")[: self.n])
         more = np.flatnonzero(np.unpackbits(tied.view(np.uint8), bitorder="little")[: self.n])
         rows = np.concatenate([rows, more[: k - len(rows)]])  # rows of equal score, in order of vec_id
-        return self.ids[rows], self.rows[rows] @ query
+        found = self.rows[rows]
+        if int(np.abs(found).max(initial=0)) * int(np.abs(query).max(initial=0)) * len(query) >= 2**63:
+            found, query = found.astype(object), query.astype(object)
+        return self.ids[rows], found @ query
 
 
 def _pack(schema: pa.Schema):
+    """A block's ids and components, each of as many bytes as the largest needs."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids = table["vec_id"].to_numpy()
-        rows = np.array(table["v"].to_pylist(), np.int64).reshape(len(ids), -1)
-        if np.abs(rows).max(initial=0) >= 2**31:
-            raise ValueError("components of 2**31 or more in size are not supported")
-        small = np.int16 if np.abs(rows).max(initial=0) < 2**15 else np.int64
-        cols = [table["dims"][:1], table["part"][:1], pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([rows.astype(small).tobytes()], pa.binary())]
+        ids, n = table["vec_id"].to_numpy(), table["n"].to_numpy()
+        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        if table["large"][0].as_py():
+            v = [int(x) for x in v.tolist()]
+            width = max(9, max((x.bit_length() for x in v), default=0) // 8 + 1)
+            raw = b"".join(x.to_bytes(width, "little", signed=True) for x in v)
+        else:
+            v = v.astype(np.int64)
+            raw = v.astype(np.int16 if np.abs(v).max(initial=0) < 2**15 else np.int64).tobytes()
+            width = len(raw) // max(len(v), 1)
+        if len(ids):  # repeats
+            rows = np.frombuffer(raw, np.uint8).reshape(len(ids), -1)
+            ids, raw = np.repeat(ids, n), np.repeat(rows, n, axis=0).tobytes()
+        cols = [table["dims"][:1], table["part"][:1], pa.array([width], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([raw], pa.binary())]
         return pa.Table.from_arrays([pa.chunked_array([c.combine_chunks()]) if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=schema)
 
     return run
 
 
-def _unpack(ids: bytes, rows: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(width: int, ids: bytes, rows: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, "<i8")
-    kind = np.int16 if len(rows) == 2 * dims * len(ids) else np.int64
-    return ids, np.frombuffer(rows, kind).reshape(len(ids), dims).astype(np.int64)
+    if width in (2, 8):
+        v = np.frombuffer(rows, np.int16 if width == 2 else np.int64).astype(np.int64)
+    else:
+        v = np.array([int.from_bytes(rows[i : i + width], "little", signed=True) for i in range(0, len(rows), width)], object)
+    return ids, v.reshape(len(ids), dims)
 
 
 def _search(k: int, schema: pa.Schema):
     def run(batches):
         last, block = None, None
         for batch in batches:
-            for dims, part, ids, rows, q_ids, q_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for dims, part, width, ids, rows, q_width, q_ids, q_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last != (dims, part):
-                    last, block = (dims, part), SlicedBlock(*_unpack(ids, rows, dims))
-                found = [[], [], []]
-                for own, query in zip(*_unpack(q_ids, q_rows, dims), strict=True):
+                    last, block = (dims, part), SlicedBlock(*_unpack(width, ids, rows, dims))
+                asks, vecs, scores, wide = [], [], [], []
+                for own, query in zip(*_unpack(q_width, q_ids, q_rows, dims), strict=True):
                     vec, score = block.top(query, int(own), k)
-                    found[0].append(np.full(len(vec), own))
-                    found[1].append(vec)
-                    found[2].append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in found], schema=schema)
+                    asks.append(np.full(len(vec), own))
+                    vecs.append(vec)
+                    if score.dtype == object:
+                        far = [not -(2**63) < x < 2**63 - 1 for x in score]
+                        wide += [(x + 2 ** (8 * WIDE - 1)).to_bytes(WIDE, "big") if f else None for x, f in zip(score, far, strict=True)]
+                        score = np.array([max(-(2**63), min(2**63 - 1, x)) for x in score], np.int64)
+                    else:
+                        wide += [None] * len(score)
+                    scores.append(score)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in (asks, vecs, scores)), pa.array(wide, pa.binary())], schema=schema)
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """(query_id, rank, vec_id, score) of (vec_id, v) integer vectors: the k rows of highest inner product with each query."""
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = CELLS, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """(query_id, rank, vec_id, score) of (vec_id, v) vectors of whole numbers, as longs or doubles: the k rows of highest
+    inner product with each query."""
     scratch = Scratch(vectors.sparkSession, "topk")
-    ddl = "dims int, part long, ids binary, rows binary"
+    ddl = "dims int, part long, width int, ids binary, rows binary"
+    large = F.exists("v", lambda c: F.abs(c.cast("double")) >= float(LARGE))
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return scratch.cut(df.select("vec_id", "v", "n", F.size("v").alias("dims"), large.alias("large")), name)
 
-    def packed(df: DataFrame, most: int, name: str) -> DataFrame:
-        n = df.groupBy(F.size("v").alias("dims")).agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias("parts"))  # a row for each length
-        rows = df.select("vec_id", "v", F.size("v").alias("dims")).join(n, "dims")
-        rows = rows.select("vec_id", "v", "dims", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"))
+    def packed(df: DataFrame, n: DataFrame, name: str) -> DataFrame:
+        """n: for each dims how many parts rows of small and of large components make (a row for each length of vectors)."""
+        salt = F.xxhash64("vec_id", "v")
+        part = F.when(F.col("large"), F.col("small_parts") + F.pmod(salt, F.col("large_parts"))).otherwise(F.pmod(salt, F.col("small_parts")))
+        rows = df.join(n.select("dims", "small_parts", "large_parts"), "dims").select("vec_id", "v", "n", "dims", "large", part.alias("part"))
         return scratch.cut(rows.groupBy("dims", "part").applyInArrow(_pack(arrow_schema(ddl)), ddl), name)
 
-    rows = packed(vectors, block, "rows")
-    asked = packed(queries.groupBy("vec_id").agg(F.min("v").alias("v")), group, "queries").select("dims", F.col("part").alias("q"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    parts = lambda amount, per, fewest: F.greatest(F.ceil(F.coalesce(amount, F.lit(0)) / per), F.lit(fewest)).alias
+    own = counted(vectors.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("n")), "vectors")
+    of_rows = own.groupBy("dims").agg(F.sum(F.when(~F.col("large"), F.col("n"))).alias("s"), F.sum(F.when(F.col("large"), F.col("n"))).alias("l"))
+    # blocks of large components have many more slices, so fewer rows
+    of_rows = of_rows.select("dims", parts(F.col("s") * F.col("dims"), cells, 1)("small_parts"), parts(F.col("l") * F.col("dims") * 16, cells, 1)("large_parts"))
+    asking = counted(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("n", F.lit(1).cast("long")), "asking")
+    of_asking = asking.groupBy("dims").agg(F.count_if(~F.col("large")).alias("s"), F.count_if("large").alias("l")).join(of_rows, "dims")
+    size = F.least(F.greatest((F.col("s") + F.col("l")) * (F.col("small_parts") + F.col("large_parts")) / (8 * partitions(vectors.sparkSession)), F.lit(least)), F.lit(most))
+    of_asking = of_asking.select("dims", parts(F.col("s"), size, 1)("small_parts"), parts(F.col("l"), size, 1)("large_parts"))
+
+    rows = packed(own, of_rows, "rows")
+    asked = packed(asking, of_asking, "queries").select("dims", F.col("part").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("width", "ids", "rows")))
     # each row block meets each query block under a key of its own, so pairs spread over tasks
     each_q = rows.join(asked.groupBy("dims").agg(F.max("q").alias("last")), "dims").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
     each_part = asked.join(rows.groupBy("dims").agg(F.max("part").alias("last")), "dims").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
-    pairs = each_q.join(each_part.hint("merge"), ["dims", "part", "q"]).select("dims", "part", "ids", "rows", "q_ids", "q_rows")
-    ddl = "query_id long, vec_id long, score long"
+    pairs = each_q.join(each_part.hint("merge"), ["dims", "part", "q"]).select("dims", "part", "width", "ids", "rows", "q_width", "q_ids", "q_rows")
+    ddl = "query_id long, vec_id long, score long, wide binary"
     found = pairs.mapInArrow(_search(k, arrow_schema(ddl)), ddl)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
     """The 20 highest inner products for every twentieth vector, against all others."""
-    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    x = F.transform("embedding", lambda c: c.cast("double"))
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = rows.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & fine)
-    vectors = rows.select("vec_id", F.transform(x, lambda c: F.floor(c * 64)).alias("v"))
+    rows = pick(load(spark, sf_dir, "embeddings"), "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda c: c.cast("double") * 64).alias("x"))
+    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = rows.where(F.col("x").isNotNull() & F.col("vec_id").isNotNull() & fine)
+    # beyond 2**52 a double is whole already
+    vectors = rows.select("vec_id", F.transform("x", lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c)).alias("v"))
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))

@@ -4,14 +4,18 @@ on the full sets, and connected components by alternating large-star and small-s
 Plan. (1) One pass over the texts gives each document's set size, a 128-bit digest of its set, the
 band keys and a one-byte-a-minimum signature. (2) Documents with equal sets are one class, and only
 its smallest doc_id goes on, so a group of exact copies costs one row. (3) In each bucket (band, key)
-one member is the pivot, another in each band; every other member is compared with it: as many pairs
-as members. Pairs whose signatures agree enough are confirmed on the full sets. (4) Where a family
-(components tied by shared buckets) holds several components, the members outside of its largest
-component are compared with all members, in blocks, and only links that join two components are
-kept. So no link between different components is lost, and no cap is set.
-
-Of two sets with similarity s at least 0.85, the banding misses 1 in 5e7 (24 bands of 4 minima).
-The signature test is five standard deviations below the limit (at 0.85: 64 of 96 minima agree).
+two members are pivots, the one that meets most others in all its buckets and one by a hash, another in each band; every other
+member is compared with them: twice as many pairs as members. Pairs whose signatures agree enough are confirmed on the full
+sets. (4) Links give components. A bucket of three members or more that still holds several components is open: its members outside
+of its largest component are compared with all members, exactly, by an inverted index of full sets, in blocks of
+`block` members or `cells` shingles a side that are dealt out each by itself; only links that join two components are kept. Buckets
+of the same members are compared once. So every pair that shares a bucket is compared or already in one component, no
+cap is set, and no pair is written down that isn't a link. What an open bucket costs goes with its members times those outside of
+its largest component.
+
+Of two sets with similarity s at least 0.85, the banding misses 1 in 5e7, at 0.8 4 in 1e6 (24 bands of 4 minima).
+The signature test asks for 6 standard deviations below the limit (at 0.85: 60 of 96 minima agree), and what it turns down in (3)
+is compared exactly in (4), unless the bucket has two members: there it misses 1 in 3e8 at the limit.
 
 Defined results. Null doc_id: the row comes back with null component_id and kept true. Rows of one
 doc_id are one document with the text of smallest md5; each row comes back with its result. Null, empty or blank
@@ -31,8 +35,8 @@ from .common import Scratch, arrow_schema, binary, constants, load, mix, numbere
 from .graph import components
 
 BANDS, ROWS = 24, 4
-#: Members of a family that one task holds on either side.
-BLOCK = 2048
+#: Members of an open bucket, and shingles of these, that one task holds on either side.
+BLOCK, CELLS = 512, 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -143,16 +147,27 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _rest(words: int, percent: int, agree: int, schema: pa.Schema):
-    """Links between components of a family: left rows against right rows, until each pair of components is joined or compared out."""
+def _sets(words: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = binary(batch, "text")
+            for i, j in steps(offsets):
+                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "set"])
+
+    return run
+
+
+def _across(percent: int, schema: pa.Schema):
+    """Of a block of an open bucket, links between components: each left set meets all right sets by the rows that hold its shingles."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table["rep"].to_numpy(), table["component"].to_numpy()
-        right = table["side"].to_numpy(zero_copy_only=False) == 1
+        other, right = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("other", "right"))
         order = np.lexsort((ids, right))
-        ids, comp, right = ids[order], comp[order], right[order]
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        packed, sets = table["packed"], {}
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        left, right = order[~right[order]], order[right[order]]
         parent: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -160,51 +175,63 @@ def _rest(words: int, percent: int, agree: int, schema: pa.Schema):
                 x = p
             return x
 
-        def full(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = _set_of(packed[int(order[i])].as_py(), words)
-            return sets[i]
-
         out = []
-        left = np.flatnonzero(~right)
-        for r in np.flatnonzero(right):
-            near = left[(sig[left] == sig[r]).sum(axis=1) >= agree]
-            for x in near[comp[near] != comp[r]].tolist():
-                a, b = top(int(comp[x])), top(int(comp[r]))
-                if a != b and linked(full(x), full(int(r)), percent):
-                    parent[max(a, b)] = min(a, b)
-                    out.append((int(ids[x]), int(ids[r])))
+        if len(left) and len(right):
+            grams = np.concatenate([sets[r] for r in right])
+            owner = np.repeat(np.arange(len(right)), size[right])
+            by = np.argsort(grams, kind="stable")
+            grams, owner = grams[by], owner[by]
+            for x in left.tolist():
+                low, high = np.searchsorted(grams, sets[x]), np.searchsorted(grams, sets[x], "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(right))
+                # two members outside the largest component meet twice: the smaller one asks
+                near = (100 * both >= percent * (size[x] + size[right] - both)) & (comp[right] != comp[x]) & ((ids[right] > ids[x]) | ~other[x])
+                for r in right[near].tolist():
+                    a, b = top(int(comp[x])), top(int(comp[r]))
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        out.append((int(ids[x]), int(ids[r])))
         return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=schema)
 
     return run
 
 
-def _joined(placed: DataFrame, ties: DataFrame, part: DataFrame, signed: DataFrame, packed: DataFrame, words: int, percent: int, agree: int, block: int, scratch: Scratch) -> DataFrame:
-    """The components of part after the links between components of one family, compared in blocks, are added."""
-    family = components(ties, scratch)
-    tied = ties.select(F.col("u").alias("node")).union(ties.select("v")).distinct().join(family, "node", "left")
-    tied = tied.select(F.col("node").alias("component"), F.coalesce("component", "node").alias("family"))
-    placed = scratch.cut(placed.join(tied, "component").select("rep", "family", "component"), "tied")
-    by_part = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
-    mixed = by_part.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
-    mixed = scratch.cut(mixed.select("family", "size", F.col("top.component").alias("most"), (F.col("size") - F.col("top.n")).alias("others")), "mixed")
-    mix_rows = placed.join(mixed, "family").join(signed, "rep").join(packed, "rep")
-    mix_rows = mix_rows.select("family", "rep", "component", "sig", "packed", (F.col("component") != F.col("most")).alias("other"), F.ceil(F.col("size") / block).cast("int").alias("nl"), F.ceil(F.col("others") / block).cast("int").alias("nr"))
-    lefts = mix_rows.select("*", F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), F.col("nl")).cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
-    rights = mix_rows.where("other").select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
-    both = lefts.select("family", "i", "j", "side", "rep", "component", "sig", "packed").union(rights.select("family", "i", "j", "side", "rep", "component", "sig", "packed"))
-    more = scratch.cut(both.groupBy("family", "i", "j").applyInArrow(_rest(words, percent, agree, arrow_schema("u long, v long")), "u long, v long"), "more")
+def _joined(inside: DataFrame, part: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent: int, block: int, cells: int, scratch: Scratch) -> DataFrame:
+    """The components of part after the links across components of open buckets are added."""
+    placed = inside.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = scratch.cut(placed.join(reps.select("rep", "n_shingles"), "rep"), "placed")
+    of_part = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("cells"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    buckets = of_part.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("cells").alias("cells"), F.sum("mark").alias("mark"), F.count("*").alias("parts"), F.max(F.struct("n", "component", "cells")).alias("top"))
+    parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / cells)).cast("int")
+    kinds = buckets.where("parts > 1 AND n > 2").select(
+        "band", "key", "n", "mark", F.col("top.component").alias("most"), parts(F.col("n"), F.col("cells")).alias("nl"), parts(F.col("n") - F.col("top.n"), F.col("cells") - F.col("top.cells")).alias("nr")
+    )
+    # of buckets with the same members one is enough
+    kinds = kinds.groupBy("n", "mark").agg(F.min(F.struct("band", "key", "most", "nl", "nr")).alias("k")).select("k.*")
+    kinds = scratch.cut(kinds, "open")
+    if kinds.isEmpty():
+        return part
+    rows = scratch.cut(placed.join(kinds, ["band", "key"]).select("band", "key", "rep", "component", (F.col("component") != F.col("most")).alias("other"), "nl", "nr"), "members")
+    sets = texts(own).join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(words), "rep long, set binary")
+    sets = scratch.cut(sets, "sets")
+    lefts = rows.select("*", F.lit(False).alias("right"), F.pmod(F.xxhash64("rep"), F.col("nl")).cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
+    rights = rows.where("other").select("*", F.lit(True).alias("right"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
+    cols = ("band", "key", "i", "j", "right", "rep", "component", "other")
+    both = lefts.select(*cols).unionByName(rights.select(*cols)).join(sets, "rep")
+    more = scratch.cut(both.groupBy("band", "key", "i", "j").applyInArrow(_across(percent, arrow_schema("u long, v long")), "u long, v long"), "more")
     if more.isEmpty():
         return part
     return components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)  # stars already, but for what is new
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, seed: int = 20, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, cells: int = CELLS, seed: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; see the module's text."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "minhash")
     own, repeated = one_each(docs)
-    agree = int(bands * rows * percent / 100 - 5 * (bands * rows * percent / 100 * (1 - percent / 100)) ** 0.5)
+    agree = int(bands * rows * percent / 100 - 6 * (bands * rows * percent / 100 * (1 - percent / 100)) ** 0.5)
     ddl = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary"
     sketch = scratch.cut(texts(own).mapInArrow(_sketch(words, bands, rows, seed, arrow_schema(ddl)), ddl), "sketch")
     some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -212,25 +239,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     reps = scratch.cut(kinds.select("set_a", "set_b", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "reps")
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    low = F.min(F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("pivot")))
-    buckets = scratch.cut(banded.groupBy("band", "key").agg(F.count("*").alias("n"), low.alias("low")).where("n > 1").select("band", "key", "low.pivot"), "buckets")
-    stars = scratch.cut(banded.join(buckets, ["band", "key"]).where("rep <> pivot").select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct(), "stars")
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    inside = scratch.cut(banded.join(shared, ["band", "key"]), "inside")
+    met = inside.groupBy("rep").agg(F.sum("n").alias("met"))
+    low = lambda *by: F.min_by("rep", F.struct(*by))
+    pivots = inside.join(met, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("met", F.xxhash64("rep"))).alias("a"), low(F.xxhash64("rep", "band"), F.col("rep")).alias("b"))
+    stars = inside.join(pivots, ["band", "key"]).select("rep", F.explode(F.array("a", "b")).alias("pivot")).where("rep <> pivot")
+    stars = scratch.cut(stars.select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct(), "stars")
 
-    members = scratch.cut(stars.select(F.col("u").alias("rep")).union(stars.select(F.col("v").alias("rep"))).distinct(), "members")
-    packed = texts(own).mapInArrow(_pack, "rep long, packed binary").join(members, "rep")
-    packed = scratch.cut(packed, "packed")
     signed = reps.select("rep", "sig")
     pairs = stars.join(signed.select(F.col("rep").alias("u"), F.col("sig").alias("su")), "u").join(signed.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), "v")
-    pairs = pairs.mapInArrow(_agreeing(agree), "u long, v long")
+    pairs = scratch.cut(pairs.mapInArrow(_agreeing(agree), "u long, v long"), "pairs")
+    members = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
+    packed = scratch.cut(texts(own).join(members.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_pack, "rep long, packed binary"), "packed")
     full = pairs.join(packed.select(F.col("rep").alias("u"), F.col("packed").alias("pu")), "u").join(packed.select(F.col("rep").alias("v"), F.col("packed").alias("pv")), "v").select("v", "u", "pv", "pu")
     links = scratch.cut(full.mapInArrow(_confirm(words, percent), "u long, v long"), "links")
-
-    part = components(links, scratch)
-    placed = scratch.cut(members.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "placed")
-    # buckets that hold several components tie these together: a family is a component of components
-    of = {x: placed.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "uv"}
-    ties = scratch.cut(stars.join(of["u"], "u").join(of["v"], "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "ties")
-    last = part if ties.isEmpty() else _joined(placed, ties, part, signed, packed, words, percent, agree, block, scratch)
+    last = _joined(inside, components(links, scratch), own, reps, words, percent, block, cells, scratch)
 
     # A class and its documents.
     lowest = reps.select("set_a", "set_b", "n_shingles", "rep").join(last.select(F.col("node").alias("rep"), F.col("component").alias("low")), "rep", "left")

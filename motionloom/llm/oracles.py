@@ -19,7 +19,11 @@ OP5 = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS pos FROM d),
 p AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY lines[pos], lines[pos + 1] ORDER BY doc_id, pos) AS nth FROM l WHERE pos < len(lines)),
-hit AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM p WHERE nth > 1),
+one AS (SELECT doc_id, pos, lines, row_number() OVER (PARTITION BY lines[pos] ORDER BY doc_id, pos) AS nth FROM l),
+single AS (
+  SELECT doc_id, pos FROM one
+  WHERE nth > 1 AND lines[pos] <> '' AND (len(lines) = 1 OR length(lines[pos]) - length(replace(lines[pos], ' ', '')) + 1 >= 50)),
+hit AS (SELECT doc_id, unnest([pos, pos + 1]) AS pos FROM p WHERE nth > 1 UNION SELECT doc_id, pos FROM single),
 m AS (SELECT l.doc_id, l.pos, l.lines[l.pos] AS line, hit.pos IS NOT NULL AS gone FROM l LEFT JOIN hit ON hit.doc_id = l.doc_id AND hit.pos = l.pos),
 e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM m)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
