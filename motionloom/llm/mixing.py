@@ -70,10 +70,11 @@ def _named(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def expected(sizes: DataFrame, goals: DataFrame, most: float) -> DataFrame:
+def expected(sizes: DataFrame, goals: DataFrame, most: float, scratch: Scratch) -> DataFrame:
     """(group, digits, whole, p) from (group, digits, size) and (group, target): what is expected of documents of a
     size's number of digits. A row for each, so a window has as many rows as there are numbers of digits."""
-    by = sizes.where("size > 0").groupBy("group", "digits").agg(F.sum("size").alias("words")).join(goals.select("group", "target"), "group")
+    # written down, or Spark deals out the tasks' own sums by source
+    by = scratch.cut(sizes.where("size > 0").groupBy("group", "digits").agg(F.sum("size").alias("words")), "digits").join(goals.select("group", "target"), "group")
     down = W.partitionBy("group").orderBy(F.desc("digits"))
     above = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum(F.col("words") * F.col("digits")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
@@ -102,7 +103,7 @@ def _limit(rows: DataFrame, goals: DataFrame, scratch: Scratch, name: str) -> Da
     for level in range(1, LEVELS + 1):
         shift = RANK - BITS * level
         near = rows.join(at, "group").where(F.shiftright("rank", shift + BITS) == F.col("edge"))
-        sums = near.groupBy("group", "goal", "base", F.shiftright("rank", shift).alias("bin")).agg(F.sum("size").alias("words"))
+        sums = scratch.cut(near.groupBy("group", "goal", "base", F.shiftright("rank", shift).alias("bin")).agg(F.sum("size").alias("words")), "bins")
         upto = F.sum("words").over(W.partitionBy("group").orderBy("bin"))  # 128 rows of a group at most
         sums = sums.withColumn("upto", F.col("base") + upto)
         edge = sums.where("upto > goal").groupBy("group").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("base"), "goal")).alias("e"))
@@ -142,7 +143,7 @@ class Mix:
         self.narrow = scratch.cut(self.rows.select(doc_id, *MEASURES), "sizes")
         goals = targets(self.narrow.select("source", "size"), most, weights)
         self.goals = scratch.cut(goals.select(_named("source").alias("group"), "n", "source_size", "target"), "goals")
-        self.hopes = scratch.cut(expected(self.narrow, self.goals, most), "expected")
+        self.hopes = scratch.cut(expected(self.narrow, self.goals, most, scratch), "expected")
         left = self.ranked(self.narrow).where("p > 0").select("group", "long", "rank", "a", "b", "size", "p", "source_size", "target")
         hoped = scratch.cut(left.groupBy("group", "long").agg(F.sum(F.col("size") * F.col("p")).alias("goal")), "hoped")
         longs = _limit(left.where("long"), hoped.where("long").select("group", "goal"), scratch, "long")
