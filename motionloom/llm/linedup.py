@@ -40,7 +40,7 @@ def counted_up(rows: DataFrame, order: list[str], scratch: Scratch, weight: Colu
     t = scratch.cut(t.select(*cols, (F.lit(1) if weight is None else weight).cast("long").alias("_n"), F.monotonically_increasing_id().alias("_at")), "sorted")
     t = t.select(*cols, "_n", "_at", F.shiftright("_at", 33).alias("_range"))
     total = t.groupBy("_range").agg(F.sum("_n").alias("_n"))
-    total = scratch.cut(total.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_base")), "ranges")
+    total = total.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_base"))
     if weight is None:
         own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     else:

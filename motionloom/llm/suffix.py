@@ -14,9 +14,12 @@ different segments whose key has several: suffixes smaller than their successors
 directly, to a depth beyond `size`, the rest is induced by bucket scans; adjacent common prefixes
 give the intervals of equal windows, and the least doc_id of an interval keeps its bytes. (4) The
 parts cut what was found from their texts.
-So a passage that a third of all documents hold costs a row for each part, not for each document.
+So a passage that a third of all documents hold costs a row for each part, not for each document. What
+is equal is found by a hash and then compared byte for byte; texts that only share the hash go to the sort as different ones.
 The edges of such a passage differ in all documents: a key of more than HOT documents is split, each
-window going on by itself under a hash of all its bytes.
+window going on by itself under a hash of all its bytes. That limit changes the plan and no result.
+A part sends a packed row to each bucket that it has keys for, so rows are as many as parts x buckets (a bucket for eight parts),
+and never more than keys, one for 16 bytes of text: in proportion to the input from about 30 TB on.
 
 Defined results. Null and empty texts: nothing to remove. Rows with a null doc_id are left as they are
 and aren't compared. Rows of one doc_id are one document, with the text of smallest md5; each row
@@ -122,6 +125,20 @@ def hashes_of(data: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(_ROLL[data] * constants(93, int(length.max()))[place], starts) + length.astype(np.uint64))
 
 
+def as_before(data: np.ndarray, first: np.ndarray, length: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which of the ranges marked in `same` have byte for byte what the range before them has."""
+    rows = np.flatnonzero(same)
+    rows = rows[length[rows] == length[rows - 1]]
+    out, upto, i = np.zeros(len(same), bool), np.cumsum(length[rows]), 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + (4 << 20), "right")))
+        some = rows[i:j]
+        equal = bytes_of(data, first[some], length[some]) == bytes_of(data, first[some - 1], length[some])
+        out[some] = np.logical_and.reduceat(equal, np.cumsum(length[some]) - length[some])
+        i = j
+    return out
+
+
 def pack_numbers(x: np.ndarray) -> bytes:
     """Numbers as zstandard of their bytes, place by place: small numbers then cost little."""
     return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
@@ -329,7 +346,8 @@ def _segments(size: int, buckets: int, schema: pa.Schema):
             content = hashes_of(bytes_of(part.data, first, length), length)
             owner = ids[doc]
             order = np.lexsort((owner, content, key))
-            new = np.append(True, (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1]))[: len(order)]
+            same = np.append(False, (key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1]))[: len(order)]
+            new = ~as_before(part.data, first[order], length[order], same)
             least = np.repeat(owner[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
             late = owner[order] > least
             gone = order[late]
@@ -365,7 +383,7 @@ def _matches(size: int, schema: pa.Schema):
         content = hashes_of(data, length)
         order = np.lexsort((doc, content, key))
         k, c, d = key[order], content[order], doc[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+        new = ~as_before(data, starts[order], length[order], np.append(False, (k[1:] == k[:-1]) & (c[1:] == c[:-1])))
         at = np.flatnonzero(new)
         which = np.cumsum(new) - 1  # the number of its text
         least = d[at]
@@ -438,7 +456,7 @@ def dedup_bytes(docs: DataFrame, size: int = 50, part_bytes: int = PART_BYTES) -
     named = own.where("doc_id IS NOT NULL")
     packed = named.select(F.pmod(F.xxhash64(doc), F.lit(parts)).alias("part"), doc.alias("doc_id"), text).mapInArrow(_pack, "part long, doc_id long, packed binary").repartition(parts, "part")
     ddl = "part long, bucket long, keys binary, docs binary"
-    keys = packed.groupBy("part").applyInArrow(_keys(size, parts, arrow_schema(ddl)), ddl)
+    keys = packed.groupBy("part").applyInArrow(_keys(size, max(parts // 8, partitions(spark)), arrow_schema(ddl)), ddl)
     ddl = "part long, keys binary, hot binary"
     shared = keys.groupBy("bucket").applyInArrow(_shared(arrow_schema(ddl)), ddl)
     ddl = "bucket long, part long, docs binary, first binary, last binary, keys binary, text binary"
