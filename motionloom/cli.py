@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Dynamics, Tracking, load
@@ -13,54 +13,105 @@ from .plans import pipeline as verbs
 from .sources import images, tables
 
 KEYS = ("pog", "pwm", "trial")
-MODES = ("track", "check", "clean", "extract", "complete", "plot")
+MODES = ("track", "trim", "process", "check", "clean", "extract", "plot", "complete")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="motionloom", description=__doc__)
     p.add_argument("mode", choices=MODES)
-    p.add_argument("input", help="frames (track), tracking files (check, clean, complete), cleaned runs (extract) or physics (plot)")
+    p.add_argument("input", help="frames (track), recordings (trim, process, and complete with a background), tracking files (check, clean, complete), cleaned runs (extract) or physics (plot)")
     p.add_argument("output")
-    p.add_argument("--background", help="background image (track)")
+    p.add_argument("--background", help="background image (track, process, complete)")
+    p.add_argument("--recordings", help="folder of recordings or clips (check): runs without one aren't missed")
+    p.add_argument("--ending", default=".mp4", help="of recordings: .mp4 (trim, check) or one that has a decoder")
     p.add_argument("--config", help="YAML file")
     p.add_argument("--pog", action="append", help="only these (any number)")
     return p
 
 
+def frames_of(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(images.FrameSource)
+    return spark.read.format("frames").load(path)
+
+
+def some(rows: DataFrame, pogs: list[str] | None) -> DataFrame:
+    """Rows of these pogs, all of which have to be there."""
+    if not pogs:
+        return rows
+    runs.known_pogs(rows.select("pog").distinct(), pogs)
+    return rows.where(F.col("pog").isin(pogs))
+
+
+def expected(spark: SparkSession, args: argparse.Namespace, folder: str | None, d: Dynamics) -> DataFrame:
+    """Runs that should have tracking: the clips that recordings give, or the whole grid of the configured pogs, or of those seen."""
+    if folder:
+        return tables.present_clips(spark, folder, d, args.ending)
+    if d.name_pogs:
+        pogs = spark.createDataFrame([(n,) for n in d.name_pogs], "pog string")
+    else:
+        pogs = tables.present_tracking(spark, args.input).select("pog").distinct()
+    return runs.experiment_grid(pogs, d)
+
+
+def plot(table: DataFrame, d: Dynamics, out: str) -> None:
+    for name, rows in verbs.plot_data(table, d).items():
+        rows.write.mode("overwrite").parquet(f"{out}/{name}")
+
+
+def clean(rows: DataFrame, c: Tracking, d: Dynamics, out: str) -> None:
+    tables.write_clean(cleaning.clean(rows, KEYS, d, c).drop("rn"), cleaning.discard_reasons(rows, KEYS, d), out, KEYS)
+
+
+def extract(spark: SparkSession, clean_runs: str, d: Dynamics, out: str, pogs: list[str] | None = None) -> DataFrame:
+    """Writes physics, and beside it the runs that give none with the reason."""
+    rows = some(cleaning.positions(spark.read.parquet(clean_runs), KEYS), pogs)
+    every = verbs.physics_or_reason(rows, KEYS, d)
+    every.write.mode("overwrite").parquet(f"{out}_runs")
+    every = spark.read.parquet(f"{out}_runs")
+    every.where("reason IS NOT NULL").select(*KEYS, "reason").write.mode("overwrite").parquet(f"{out}_rejected")
+    good = every.where("reason IS NULL").drop("reason")
+    tables.write_physics(good, out)
+    return good
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("motionloom").getOrCreate()
     c, d = load(Tracking, args.config), load(Dynamics, args.config)
+    out = args.output
+    if args.pog and d.name_pogs and (unknown := [p for p in args.pog if p not in d.name_pogs]):
+        raise ValueError(f"no such pog: {', '.join(unknown)}")
     if args.mode == "track":
-        spark.dataSource.register(images.FrameSource)
-        frames = images.to_pixels(spark.read.format("frames").load(args.input))
-        back = images.read_background(spark, args.background)
-        found = verbs.detect(frames.withColumn("i", F.col("height") - 1 - F.col("i")).drop("height"), back, c)
-        verbs.track(found, c, ("video_id",)).write.mode("overwrite").option("header", True).csv(args.output)
-        return 0
-    if args.mode == "plot":
-        table = spark.read.option("header", True).option("inferSchema", True).csv(args.input)
-        for name, rows in verbs.plot_data(table, d).items():
-            rows.write.mode("overwrite").parquet(f"{args.output}/{name}")
-        return 0
-    if args.mode == "extract":
-        rows = cleaning.positions(spark.read.parquet(args.input), KEYS)
+        found = verbs.detect(frames_of(spark, args.input), images.read_background_image(spark, args.background), c, flip=True)
+        verbs.track(found, c, ("video_id",)).write.mode("overwrite").option("header", True).csv(out)
+    elif args.mode == "trim":
+        there = tables.workspace(spark, args.input, list(d.name_pogs), args.ending).where("path IS NOT NULL")
+        verbs.trim(some(there, args.pog), d).write.mode("overwrite").parquet(out)
+    elif args.mode == "plot":
+        plot(spark.read.option("header", True).option("inferSchema", True).csv(args.input), d, out)
+    elif args.mode == "check":
+        want = expected(spark, args, args.recordings, d)
+        want = want.where(F.col("pog").isin(args.pog)) if args.pog else want
+        verbs.check(want, tables.present_tracking(spark, args.input), list(KEYS)).write.mode("overwrite").parquet(out)
+    elif args.mode == "clean":
+        clean(some(tables.read_tracking(spark, args.input), args.pog), c, d, out)
+    elif args.mode == "extract":
+        extract(spark, args.input, d, out, args.pog)
     else:
-        rows = tables.read_tracking(spark, args.input)
-    if args.pog:
-        runs.known_pogs(rows.select("pog").distinct(), args.pog)
-        rows = rows.where(F.col("pog").isin(args.pog))
-    if args.mode == "check":
-        grid = runs.experiment_grid(rows.select("pog").distinct(), d)
-        verbs.check(grid, rows.select(*KEYS).distinct(), list(KEYS)).write.mode("overwrite").parquet(args.output)
-        return 0
-    if args.mode in ("clean", "complete"):
-        clean = cleaning.clean(rows, KEYS, d, c)
-        tables.write_clean(clean.drop("rn"), cleaning.discard_reasons(rows, KEYS, d), f"{args.output}/clean" if args.mode == "complete" else args.output, KEYS)
-        if args.mode == "clean":
-            return 0
-        rows = cleaning.positions(spark.read.parquet(f"{args.output}/clean/runs"), KEYS)
-    tables.write_physics(verbs.physics(rows, KEYS, d), f"{args.output}/physics" if args.mode == "complete" else args.output)
+        recorded = args.mode == "process" or args.background
+        if recorded:
+            shots = frames_of(spark, args.input)
+            if names := args.pog or d.name_pogs:
+                shots = shots.where(F.col("video_id").isin(*names) | F.regexp_replace("video_id", r"_\d+_\d+$", "").isin(*names))
+            tracking = verbs.process(shots, images.read_background_image(spark, args.background), c, d)
+            folder = out if args.mode == "process" else f"{out}/tracking"
+            tables.write_tracking(tracking, folder)
+        if args.mode == "complete":
+            rows = spark.read.parquet(f"{out}/tracking") if recorded else some(tables.read_tracking(spark, args.input), args.pog)
+            want = runs.experiment_grid(rows.select("pog").distinct(), d) if not recorded else verbs.trim(rows.select("pog").distinct(), d)
+            verbs.check(want, rows.select(*KEYS).distinct(), list(KEYS)).write.mode("overwrite").parquet(f"{out}/missing")
+            clean(rows, c, d, f"{out}/clean")
+            plot(extract(spark, f"{out}/clean/runs", d, f"{out}/physics"), d, f"{out}/plots")
     return 0
 
 

@@ -10,7 +10,11 @@ TRUE, FALSE = ("true", "yes", "1", "on"), ("false", "no", "0", "off")
 
 
 def coerce(value: Any) -> Any:
-    """Texts that stand for a truth value become one."""
+    """Texts that stand for a truth value become one, within mappings too; lists become tuples."""
+    if isinstance(value, dict):
+        return {k: coerce(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return tuple(coerce(v) for v in value)
     if isinstance(value, str) and (word := value.strip().lower()) in TRUE + FALSE:
         return word in TRUE
     return value
@@ -40,7 +44,9 @@ class Dynamics:
     run_duration: float = 6
     pause_duration: float = 1.845
     start_time: float = 5.2
-    pwm: tuple[int, ...] = (30, 40, 50, 60, 70, 80, 90, 100, 110)
+    #: Recordings to work on; none: all that are there.
+    name_pogs: tuple[str, ...] = ()
+    pwm: tuple[int, ...] = (200, 400, 500, 600, 700, 800, 900, 950, 1023)
     trials: int = 10
     center_x: float = 1518
     center_y: float = 1529
@@ -76,5 +82,5 @@ def load(kind: type, path: str | None = None, **values: Any):
     for name, value in {**read, **values}.items():
         name = ALIASES.get(name.lower(), name.lower())
         if name in known:
-            out[name] = tuple(value) if isinstance(value, list) else coerce(value)
+            out[name] = coerce(value)
     return kind(**out)

@@ -35,9 +35,10 @@ def circle_residuals(rows: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def circle_kasa(rows: DataFrame, keys=KEYS) -> DataFrame:
-    """The algebraic fit (Kasa 1976): linear least squares, so one aggregation. Null where rows lie on a line."""
-    mean = rows.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    c = rows.join(mean, list(keys)).withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
+    """The algebraic fit (Kasa 1976): linear least squares about the mean, which a window over the same partitioning gives. Null where
+    rows lie on a line."""
+    every = W.partitionBy(*keys)
+    c = rows.withColumn("mx", F.avg("x").over(every)).withColumn("my", F.avg("y").over(every)).withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
     s = c.groupBy(*keys).agg(
         F.first("mx").alias("mx"), F.first("my").alias("my"), F.count("*").alias("n"), F.sum(F.expr("u*u")).alias("uu"), F.sum(F.expr("v*v")).alias("vv"), F.sum(F.expr("u*v")).alias("uv"),
         F.sum(F.expr("u*u*u + u*v*v")).alias("p"), F.sum(F.expr("v*v*v + v*u*u")).alias("q"),

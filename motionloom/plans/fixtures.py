@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,15 +50,17 @@ def _grid(rows: DataFrame) -> DataFrame:
 
 BACK = {"b": "20 + (i * 7 + j * 13) % 50", "g": "20 + (i * 5 + j * 3) % 50", "r": "20 + (i + j) % 50"}
 #: A disc with a notch below its centre.
+LIGHT = {"b": "40 + k", "g": "35 + (k * 3) % 50", "r": "30 + (k * 7) % 60"}
 INSIDE = "(i - ci) * (i - ci) + (j - cj) * (j - cj) <= 25 AND NOT (i - ci > 1 AND j - cj BETWEEN -1 AND 1)"
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small image for each event (run_id, frame, i, j, b, g, r): background, and a notched disc unless it is an error."""
+    """A small image for each event (run_id, frame, i, j, b, g, r): background, and a notched disc unless it is an error. The
+    disc changes each channel by another amount."""
     e = _events(spark, sf_dir).select(F.col("user_id").alias("run_id"), "frame", "k", "event_type", (7 + F.col("frame") % 3).alias("ci"), (7 + F.col("k") % 3).alias("cj"))
     lit = F.expr(f"event_type <> 'error' AND {INSIDE}")
     p = _grid(e)
-    return p.select("run_id", "frame", "i", "j", *((F.expr(BACK[c]) + F.when(lit, 40 + F.col("k")).otherwise(-(F.col("k") % 3))).cast("int").alias(c) for c in "bgr"))
+    return p.select("run_id", "frame", "i", "j", *((F.expr(BACK[c]) + F.when(lit, F.expr(LIGHT[c])).otherwise(-(F.col("k") % 3))).cast("int").alias(c) for c in "bgr"))
 
 
 def background(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +69,38 @@ def background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(ids).select("run_id", "i", "j", *(F.expr(BACK[c]).cast("int").alias(c) for c in "bgr"))
 
 
+def _back() -> np.ndarray:
+    i, j = np.mgrid[:SIDE, :SIDE]
+    return np.stack([20 + (i * 7 + j * 13) % 50, 20 + (i * 5 + j * 3) % 50, 20 + (i + j) % 50], axis=-1)
+
+
+def _images(batches):
+    i, j = np.mgrid[:SIDE, :SIDE]
+    back = _back()
+    for batch in batches:
+        frame, k = (batch.column(c).to_numpy() for c in (1, 2))
+        seen = np.array(batch.column(3).to_pylist(), object) != "error"
+        a, b = i - (7 + frame % 3)[:, None, None], j - (7 + k % 3)[:, None, None]
+        lit = seen[:, None, None] & (a * a + b * b <= 25) & ~((a > 1) & (abs(b) <= 1))
+        light = np.stack([40 + k, 35 + k * 3 % 50, 30 + k * 7 % 60], axis=-1)
+        data = back + np.where(lit[..., None], light[:, None, None, :], -(k % 3)[:, None, None, None])
+        one = [pa.repeat(pa.scalar(n, pa.int32()), batch.num_rows) for n in (SIDE, SIDE, 3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *one, pa.array([x.tobytes() for x in data.astype(np.uint8)], pa.binary())], names=["run_id", "frame", "height", "width", "channels", "data"])
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of frames() as bytes (run_id, frame, height, width, channels, data)."""
+    e = _events(spark, sf_dir).select(F.col("user_id").cast("long"), F.col("frame").cast("long"), F.col("k").cast("long"), "event_type")
+    return e.mapInArrow(_images, "run_id long, frame int, height int, width int, channels int, data binary")
+
+
+def background_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of background() as bytes."""
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id")).distinct()
+    size = [F.lit(n).alias(c) for n, c in ((SIDE, "height"), (SIDE, "width"), (3, "channels"))]
+    return ids.select("run_id", *size, F.lit(_back().astype(np.uint8).tobytes()).alias("data"))
+
+
 def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each frame's disc is (run_id, frame, x, y)."""
     e = _events(spark, sf_dir).where("event_type <> 'error'")

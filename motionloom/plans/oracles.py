@@ -56,9 +56,24 @@ STEPS = {
     "kasa": """SELECT run_id, n, mx + a AS xc, my + b AS yc, sqrt(a * a + b * b + (uu + vv) / n) AS radius
             FROM (SELECT *, (p * vv - q * uv) / 2 / nullif(uu * vv - uv * uv, 0) AS a, (q * uu - p * uv) / 2 / nullif(uu * vv - uv * uv, 0) AS b FROM sums)""",
     "cell": "SELECT CAST(c // 16 AS INT) AS i, CAST(c % 16 AS INT) AS j FROM (SELECT unnest(generate_series(0, 255)) AS c)",
-    "pix": """SELECT run_id, frame, i, j, k, ci, cj, CASE WHEN event_type <> 'error' AND (i - ci) * (i - ci) + (j - cj) * (j - cj) <= 25 AND NOT (i - ci > 1 AND j - cj BETWEEN -1 AND 1)
-            THEN 40 + k ELSE 0 END AS up FROM (SELECT *, 7 + frame % 3 AS ci, 7 + k % 3 AS cj FROM e), cell""",
+    "lit": """SELECT run_id, frame, i, j, k, ci, cj, event_type <> 'error' AND (i - ci) * (i - ci) + (j - cj) * (j - cj) <= 25 AND NOT (i - ci > 1 AND j - cj BETWEEN -1 AND 1) AS on_
+            FROM (SELECT *, 7 + frame % 3 AS ci, 7 + k % 3 AS cj FROM e), cell""",
+    "rgb": """SELECT *, CASE WHEN on_ THEN 40 + k ELSE 0 END AS ub, CASE WHEN on_ THEN 35 + (k * 3) % 50 ELSE 0 END AS ug, CASE WHEN on_ THEN 30 + (k * 7) % 60 ELSE 0 END AS ur FROM lit""",
+    "pix": "SELECT *, (299 * ur + 587 * ug + 114 * ub + 500) // 1000 AS up FROM rgb",
     "white": "SELECT run_id, frame, i, j, ci, cj, CASE WHEN up > 12 THEN 255 ELSE 0 END AS v FROM pix",
+    # squares of four neighbouring pixels: a region without holes is made of full squares and half ones
+    "quad": """SELECT * FROM (SELECT run_id, frame, i, j, a, lead(a, 1) OVER w AS b, lead(a, 16) OVER w AS c, lead(a, 17) OVER w AS d
+            FROM (SELECT run_id, frame, i, j, CAST(v > 0 AS INT) AS a FROM white) WINDOW w AS (PARTITION BY run_id, frame ORDER BY i, j)) WHERE i < 15 AND j < 15""",
+    "pairs": """SELECT run_id, frame, sum(CASE WHEN a + b + c + d = 4 THEN 2 WHEN a + b + c + d = 3 THEN 1 ELSE 0 END) AS twice,
+            sum(CASE WHEN a + b + c + d = 4 THEN 6 * j + 3 WHEN a + b + c + d = 3 THEN 3 * j + b + d ELSE 0 END) AS mx, sum(CASE WHEN a + b + c + d = 4 THEN 6 * i + 3 WHEN a + b + c + d = 3 THEN 3 * i + c + d ELSE 0 END) AS my,
+            sum(CASE WHEN a + b + c + d = 4 THEN -4 WHEN a + b + c + d = 3 THEN -2 ELSE 0 END) + 2 * sum(a * b + a * c + CASE WHEN i = 14 THEN c * d ELSE 0 END + CASE WHEN j = 14 THEN b * d ELSE 0 END) AS straight,
+            sum(CASE WHEN a + b + c + d = 3 THEN 1 WHEN a + b + c + d = 2 AND a = d THEN 2 ELSE 0 END) AS slant FROM quad GROUP BY run_id, frame""",
+    "region": """SELECT run_id, frame, 0 AS contour, twice / 2.0e0 AS area, straight + slant * sqrt(2.0e0) AS perimeter,
+            CASE WHEN twice > 0 THEN CAST(mx // (3 * twice) AS INT) END AS x, CASE WHEN twice > 0 THEN CAST(my // (3 * twice) AS INT) END AS y
+            FROM pairs JOIN (SELECT DISTINCT run_id, frame FROM white WHERE v > 0) USING (run_id, frame)""",
+    "bot": """SELECT r.run_id, r.frame, r.x, r.y, round(atan2(sum(i) / CAST(count(*) AS DOUBLE) - r.y, sum(j) / CAST(count(*) AS DOUBLE) - r.x) * 180 / pi(), 6) AS theta
+            FROM region r JOIN white p ON p.run_id = r.run_id AND p.frame = r.frame AND p.v > 0 AND (p.i - r.y) * (p.i - r.y) + (p.j - r.x) * (p.j - r.x) <= 36
+            WHERE area > 30 AND area < 90 AND perimeter > 20 AND perimeter < 80 GROUP BY r.run_id, r.frame, r.x, r.y""",
     "poly": """SELECT event_id, w, s, h, k, (w * h + (w + s) * h) AS cross2 FROM (SELECT event_id, k, 1 + k % 20 AS w, k % 5 AS s, 1 + (k * 7) % 15 AS h
             FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events))""",
     # corners (0,0) (w,0) (w+s,h) (0,h), moved by (k, 2k)
@@ -117,11 +132,20 @@ FINAL = {
     "run_names": "SELECT run_id, '/videos/pog_' || run_id || '_' || pwm || '_' || trial || '.csv' AS csv, 'pog_' || run_id AS pog, pwm, trial, CAST(run_id AS VARCHAR) AS short FROM keys_",
     "frame_set": "SELECT frame FROM det WHERE x > 1600 UNION SELECT frame FROM det WHERE y > 1700",
     "frames_in_set": "SELECT run_id, frame FROM det WHERE frame IN (SELECT frame FROM det GROUP BY frame HAVING count(*) % 2 = 1)",
-    "img_flip_mask_subtract": """SELECT run_id, frame, count(*) AS n, CAST(sum(up) AS BIGINT) AS sum_b, CAST(sum(up) AS BIGINT) AS sum_g, CAST(sum(up) AS BIGINT) AS sum_r,
-            CAST(sum(up * (15 - i)) AS BIGINT) AS sum_bi, CAST(sum(up * j) AS BIGINT) AS sum_rj FROM pix WHERE (15 - i - 8) * (15 - i - 8) + (j - 8) * (j - 8) <= 36 GROUP BY run_id, frame""",
+    "img_flip_mask_subtract": """SELECT run_id, frame, count(*) AS n, CAST(sum(ub) AS BIGINT) AS sum_b, CAST(sum(ug) AS BIGINT) AS sum_g, CAST(sum(ur) AS BIGINT) AS sum_r,
+            CAST(sum(ub * (15 - i)) AS BIGINT) AS sum_bi, CAST(sum(ur * j) AS BIGINT) AS sum_rj FROM pix WHERE (15 - i - 8) * (15 - i - 8) + (j - 8) * (j - 8) <= 36 GROUP BY run_id, frame""",
     "img_binarize": "SELECT run_id, frame, CAST(sum(up) AS BIGINT) AS sum_gray, count(*) FILTER (up > 45) AS n_white FROM pix GROUP BY run_id, frame",
     "img_angle": """SELECT run_id, frame, round(atan2(sum(v * i) / CAST(sum(v) AS DOUBLE) - any_value(ci), sum(v * j) / CAST(sum(v) AS DOUBLE) - any_value(cj)) * 180 / pi(), 6) AS theta
             FROM white WHERE v > 0 AND (i - ci) * (i - ci) + (j - cj) * (j - cj) <= 36 GROUP BY run_id, frame""",
+    "contour_stats": "SELECT run_id, frame, contour, x, y, round(area, 6) AS area, round(perimeter, 6) AS perimeter FROM region",
+    "contour_boxes": 'SELECT run_id, frame, 0 AS contour, min(i) AS top, min(j) AS "left", max(i) AS bottom, max(j) AS "right" FROM white WHERE v > 0 GROUP BY run_id, frame',
+    "contour_crops": """SELECT run_id, frame, 0 AS contour, CAST((max(i) - min(i) + 1) * (max(j) - min(j) + 1) AS BIGINT) AS n, CAST(sum(up) AS BIGINT) AS sum_gray, max(i) - min(i) AS height, max(j) - min(j) AS width
+            FROM pix WHERE up > 0 GROUP BY run_id, frame""",
+    "threshold_fallback": "SELECT run_id, frame, 0 AS rank, x, y, theta FROM bot",
+    "detect": "SELECT run_id, e.frame, coalesce(x, 0) AS x, coalesce(y, 0) AS y, coalesce(theta, 0) AS theta FROM e LEFT JOIN bot USING (run_id, frame)",
+    "debug_views": """SELECT run_id, frame, CAST(sum((299 * (20 + (i + j) % 50 + ur - dim) + 587 * (20 + (i * 5 + j * 3) % 50 + ug - dim) + 114 * (20 + (i * 7 + j * 13) % 50 + ub - dim) + 500) // 1000) AS BIGINT) AS masked,
+            CAST(sum(up) AS BIGINT) AS difference, CAST(255 * count(*) FILTER (up > 12) AS BIGINT) AS "binary"
+            FROM (SELECT *, CASE WHEN on_ THEN 0 ELSE k % 3 END AS dim FROM pix) WHERE (i - 8) * (i - 8) + (j - 8) * (j - 8) <= 81 GROUP BY run_id, frame""",
     "contour_measures": "SELECT event_id, x, y, round(area, 6) AS area, round(perimeter, 6) AS perimeter FROM meas",
     "size_filter": "SELECT event_id FROM meas WHERE area > 30 AND area < 150 AND perimeter > 20 AND perimeter < 60",
     "wrong_count": "SELECT run_id, frame, CAST(0 AS BIGINT) AS n FROM trk WHERE s",

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..config import Dynamics, Tracking
 from ..functions import columns as C
-from ..operators import circle, cleaning, contours, image, kinematics, linking, plotdata, runs, signal
+from ..operators import circle, cleaning, contours, frames, image, kinematics, linking, plotdata, runs, signal
 from . import fixtures as X
 from . import pipeline as verbs
 
 #: Clips short enough for the runs of the fixture, which last 2 to 4 seconds.
 CLIPS = Dynamics(run_duration=0.5, pause_duration=0.125, start_time=0.25, pwm=(30, 40), trials=2)
+#: The grid of the fixture's runs.
+TENS = Dynamics(pwm=(30, 40, 50, 60, 70, 80, 90, 100, 110))
 KEYS = ("run_id",)
 FRAME = ("run_id", "frame")
 #: Bounds that fit the small images.
@@ -162,7 +164,7 @@ def physics(s, d):
 
 def experiment_grid(s, d):
     ids = X.run_keys(s, d).select(F.concat(F.lit("pog_"), F.col("run_id").cast("string")).alias("pog"))
-    return _r(runs.experiment_grid(ids), "pog", "pwm", "trial", "run_index")
+    return _r(runs.experiment_grid(ids, TENS), "pog", "pwm", "trial", "run_index")
 
 
 def assign_runs(s, d):
@@ -238,26 +240,42 @@ def size_filter(s, d):
     return m.select("event_id")
 
 
-def _gray(s, d):
-    return image.gray(image.subtract(X.frames(s, d), X.background(s, d), ("run_id",)))
+def _images(s, d):
+    return frames.with_background(X.images(s, d), X.background_images(s, d), ("run_id",))
+
+
+def _found(s, d):
+    return contours.measured(frames.find_contours(_images(s, d), 12, FRAME))
 
 
 def find_contours(s, d):
-    return contours.find_contours(image.binarize(_gray(s, d), 12), FRAME).withColumn("points", F.to_json("points"))
+    return _found(s, d).withColumn("points", F.to_json("points"))
+
+
+def contour_stats(s, d):
+    """What find_contours() measures, without the chains."""
+    return _r(_found(s, d).drop("points"), *FRAME, "contour", "x", "y")
 
 
 def contour_boxes(s, d):
-    return contours.boxes(contours.find_contours(image.binarize(_gray(s, d), 12), FRAME), FRAME)
+    return contours.boxes(_found(s, d), FRAME)
 
 
 def contour_crops(s, d):
-    white = image.binarize(_gray(s, d), 12)
-    cut = image.crops(white, contours.boxes(contours.find_contours(white, FRAME), FRAME), FRAME)
+    gray = image.gray(image.subtract(X.frames(s, d), X.background(s, d), ("run_id",)))
+    cut = image.crops(gray, contour_boxes(s, d), FRAME)
     return cut.groupBy(*FRAME, "contour").agg(F.count("*").alias("n"), F.sum("gray").alias("sum_gray"), F.max("i").alias("height"), F.max("j").alias("width"))
 
 
 def threshold_fallback(s, d):
-    return _r(contours.detect_with_fallback(_gray(s, d), SMALL, FRAME), *FRAME, "rank", "x", "y")
+    return _r(frames.with_fallback(_images(s, d), SMALL, FRAME, arena=False), *FRAME, "rank", "x", "y")
+
+
+def debug_views(s, d):
+    """Sums over the pictures of the debug view."""
+    v = frames.views(_images(s, d), SMALL.threshold, FRAME, SMALL)
+    total = lambda c: F.aggregate(F.sequence(F.lit(1), F.length(c), F.lit(2)), F.lit(0).cast("long"), lambda n, k: n + F.conv(F.substring(c, k, 2), 16, 10).cast("long"))
+    return v.select(*FRAME, *(total(F.hex(c)).alias(c) for c in ("masked", "difference", "binary")))
 
 
 def wrong_count(s, d):
@@ -267,9 +285,7 @@ def wrong_count(s, d):
 
 def detect(s, d):
     """Frames and a background for each run to detections, with rows of zeros where there is no disc."""
-    gray = _gray(s, d).where(image.in_circle(*SMALL.center, SMALL.radius))
-    found = contours.detect_with_fallback(gray, SMALL, FRAME).select(*FRAME, "x", "y", "theta")
-    return _r(linking.skip_placeholders(X.detections(s, d).select(*FRAME), found), *FRAME, "x", "y")
+    return _r(verbs.detect(X.images(s, d), X.background_images(s, d), SMALL, FRAME, ("run_id",)), *FRAME, "x", "y")
 
 
 def plot_quantity(s, d):
@@ -312,7 +328,7 @@ QUERIES = {
         convert_units, px_roundtrip, skipped_flag, skipped_stats, trim_edges, discard_reason, interpolate, wall_cut, clean, clean_row_counts, link_single, candidate_pairs, link_multi,
         skip_placeholder, track, mean_dt, diff_time, unwrap, gradient, omega_noise, msd_curve, v_msd, msd_mean_by_pwm, mid_window, circle_residuals, circle_kasa, circle_fit, dft_peak,
         omega_fft, omega_ucm, physics, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
-        img_angle, contour_measures, size_filter, find_contours, contour_boxes, contour_crops, threshold_fallback, wrong_count, detect, plot_quantity, colour_scale, grid_cells,
+        img_angle, contour_measures, size_filter, find_contours, contour_stats, contour_boxes, contour_crops, threshold_fallback, debug_views, wrong_count, detect, plot_quantity, colour_scale, grid_cells,
         msd_fit_line, circle_polyline, arrows, trajectories,
     )
 }

@@ -30,13 +30,19 @@ def read_background(spark: SparkSession, path: str) -> DataFrame:
     return flip(to_pixels(im), F.col("height")).select("i", "j", "b", "g", "r")
 
 
+def read_background_image(spark: SparkSession, path: str) -> DataFrame:
+    """A background image as bytes (height, width, channels, data), the way it is stored."""
+    im = spark.read.format("image").option("dropInvalid", True).load(path)
+    return im.select("image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
 def _pixels(batches):
     for batch in batches:
         for video, frame, h, w, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             a = np.frombuffer(data, np.uint8).reshape(h, w, n)
             b, g, r = (a[..., min(k, n - 1)].ravel().astype(np.int32) for k in range(3))
             i, j = (x.ravel().astype(np.int32) for x in np.mgrid[:h, :w])
-            same = lambda v, t, size=h * w: pa.array([v] * size, t)
+            same = lambda v, t, size=h * w: pa.repeat(pa.scalar(v, t), size)
             yield pa.RecordBatch.from_arrays([same(video, pa.string()), same(frame, pa.int32()), same(h, pa.int32()), *(pa.array(x, pa.int32()) for x in (i, j, b, g, r))], names=["video_id", "frame", "height", "i", "j", "b", "g", "r"])
 
 

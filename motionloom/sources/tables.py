@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Dynamics
 from ..functions.columns import run_key
+from ..operators.runs import experiment_grid
 from ..schema import TRACKING
 
 
@@ -37,9 +39,31 @@ def write_physics(physics: DataFrame, path: str) -> bool:
     return True
 
 
-def workspace(spark: SparkSession, folder: str, names: list[str], ending: str = ".mp4") -> DataFrame:
-    """(pog, path) of the configured pogs; path is null where there is no recording. Only names are listed, no content is read."""
+def listed(spark: SparkSession, folder: str, ending: str) -> DataFrame:
+    """(path, name, length) of the files of a folder and those below it. Only names are listed, no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").load(folder)
-    found = files.select("path", F.regexp_extract("path", rf"([^/]+)\{ending}$", 1).alias("pog"))
+    return files.select("path", F.regexp_extract("path", rf"([^/]+)\{ending}$", 1).alias("name"), "length")
+
+
+def workspace(spark: SparkSession, folder: str, names: list[str], ending: str = ".mp4") -> DataFrame:
+    """(pog, path) of the configured pogs; path is null where there is no recording. Without names, all recordings there are, but for clips."""
+    found = listed(spark, folder, ending)
+    if not names:
+        return found.where(run_key(F.col("path"))[1].isNull()).select(F.col("name").alias("pog"), "path")
     wanted = spark.createDataFrame([(n,) for n in names], "pog string")
-    return wanted.join(found, "pog", "left").select("pog", "path")
+    return wanted.join(found.select("path", F.col("name").alias("pog")), "pog", "left").select("pog", "path")
+
+
+def present_clips(spark: SparkSession, folder: str, d: Dynamics, ending: str = ".mp4") -> DataFrame:
+    """(pog, pwm, trial) of the clips that recordings give: all of the grid for a whole recording {pog}, and single clips {pog}_{pwm}_{trial}."""
+    whole = workspace(spark, folder, list(d.name_pogs), ending).where("path IS NOT NULL").select("pog")
+    single = listed(spark, folder, ending).select(*run_key(F.col("path"))).where("pwm IS NOT NULL")
+    if d.name_pogs:
+        single = single.where(F.col("pog").isin(*d.name_pogs))
+    single = single.where(F.col("pwm").isin(*d.pwm) & (F.col("trial") < d.trials))
+    return experiment_grid(whole, d).select("pog", "pwm", "trial").unionByName(single).distinct()
+
+
+def present_tracking(spark: SparkSession, folder: str) -> DataFrame:
+    """(pog, pwm, trial) of the tracking files that can be read: named right and not empty."""
+    return listed(spark, folder, ".csv").where("length > 0").select(*run_key(F.col("path"))).where("pwm IS NOT NULL").distinct()

@@ -12,23 +12,33 @@ OUT = "run_id long, frame int, x int, y int, theta double, particle int"
 STATE = "frame int, x double, y double, particle int"
 
 
-def _step(search_range: float):
+def _step(search_range: float, idle: int):
     def run(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         frame, x, y, particle = state.get if state.exists else (None, 0.0, 0.0, -1)
         rows = pd.concat(list(batches)).sort_values("frame")
         numbers = []
         for r in rows.itertuples():
+            if frame is not None and r.frame <= frame:
+                numbers.append(-1)
+                continue
             if frame is None or r.frame != frame + 1 or ((r.x - x) ** 2 + (r.y - y) ** 2) ** 0.5 > search_range:
                 particle += 1
             frame, x, y = int(r.frame), float(r.x), float(r.y)
             numbers.append(particle)
         state.update((frame, x, y, particle))
+        if idle:
+            state.setTimeoutDuration(idle * 1000)
         yield rows.assign(particle=numbers)[["run_id", "frame", "x", "y", "theta", "particle"]]
 
     return run
 
 
-def link_stream(detections: DataFrame, search_range: float = Tracking.search_range) -> DataFrame:
+def link_stream(detections: DataFrame, search_range: float = Tracking.search_range, idle: int = 0) -> DataFrame:
     """particle of a stream of detections (run_id, frame, x, y, theta), one bot a run, frames of a run in order. What
-    is kept of a run is its last row."""
-    return detections.groupBy("run_id").applyInPandasWithState(_step(search_range), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    is kept of a run is its last row, with `idle` for so many seconds after it (a run that goes on later counts its
+    particles from 0 again). A row that comes after a later frame of its run was linked is late: its particle is -1."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return detections.groupBy("run_id").applyInPandasWithState(_step(search_range, idle), OUT, STATE, "append", timeout)
