@@ -6,12 +6,13 @@ band keys and a one-byte-a-minimum signature. (2) Documents with equal sets are
 its smallest doc_id goes on, so a group of exact copies costs one row. (3) In each bucket (band, key)
 two members are pivots, the one that meets most others in all its buckets and one by a hash, another in each band; every other
 member is compared with them: twice as many pairs as members. Pairs whose signatures agree enough are confirmed on the full
-sets. (4) Links give components. A bucket of three members or more that still holds several components is open: its members outside
+sets. (4) Links give components. The buckets whose first pivot is the same make a group, as the buckets of one family mostly
+do; a group of three members or more that still holds several components is open: its members outside
 of its largest component are compared with all members, exactly, by an inverted index of full sets, in blocks of
-`block` members or `cells` shingles a side that are dealt out each by itself; only links that join two components are kept. Buckets
+`block` members or `cells` shingles a side that are dealt out each by itself; only links that join two components are kept. Groups
 of the same members are compared once. So every pair that shares a bucket is compared or already in one component, no
-cap is set, and no pair is written down that isn't a link. What an open bucket costs goes with its members times those outside of
-its largest component.
+cap is set, and no pair is written down that isn't a link. What an open group costs goes with its members times those outside of
+its largest component; groups aren't joined to each other, however they overlap.
 
 Of two sets with similarity s at least 0.85, the banding misses 1 in 5e7, at 0.8 4 in 1e6 (24 bands of 4 minima).
 The signature test asks for 6 standard deviations below the limit (at 0.85: 60 of 96 minima agree), and what it turns down in (3)
@@ -35,8 +36,8 @@ from .common import Scratch, arrow_schema, binary, constants, load, mix, numbere
 from .graph import components
 
 BANDS, ROWS = 24, 4
-#: Members of an open bucket, and shingles of these, that one task holds on either side.
-BLOCK, CELLS = 512, 1 << 22
+#: Members of an open group, and shingles of these, that one block holds on either side.
+BLOCK, CELLS = 128, 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -159,7 +160,7 @@ def _sets(words: int):
 
 
 def _across(percent: int, schema: pa.Schema):
-    """Of a block of an open bucket, links between components: each left set meets all right sets by the rows that hold its shingles."""
+    """Of a block of an open group, links between components: each left set meets all right sets by the rows that hold its shingles."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table["rep"].to_numpy(), table["component"].to_numpy()
@@ -198,29 +199,29 @@ def _across(percent: int, schema: pa.Schema):
     return run
 
 
-def _joined(inside: DataFrame, part: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent: int, block: int, cells: int, scratch: Scratch) -> DataFrame:
-    """The components of part after the links across components of open buckets are added."""
-    placed = inside.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+def _joined(groups: DataFrame, part: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent: int, block: int, cells: int, scratch: Scratch) -> DataFrame:
+    """The components of part after the links across components of open groups (group, rep) are added."""
+    placed = groups.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("group", "rep", F.coalesce("component", "rep").alias("component"))
     placed = scratch.cut(placed.join(reps.select("rep", "n_shingles"), "rep"), "placed")
-    of_part = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("cells"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
-    buckets = of_part.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("cells").alias("cells"), F.sum("mark").alias("mark"), F.count("*").alias("parts"), F.max(F.struct("n", "component", "cells")).alias("top"))
+    of_part = placed.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("cells"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    kinds = of_part.groupBy("group").agg(F.sum("n").alias("n"), F.sum("cells").alias("cells"), F.sum("mark").alias("mark"), F.count("*").alias("parts"), F.max(F.struct("n", "component", "cells")).alias("top"))
     parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / cells)).cast("int")
-    kinds = buckets.where("parts > 1 AND n > 2").select(
-        "band", "key", "n", "mark", F.col("top.component").alias("most"), parts(F.col("n"), F.col("cells")).alias("nl"), parts(F.col("n") - F.col("top.n"), F.col("cells") - F.col("top.cells")).alias("nr")
+    kinds = kinds.where("parts > 1 AND n > 2").select(
+        "group", "n", "mark", F.col("top.component").alias("most"), parts(F.col("n"), F.col("cells")).alias("nl"), parts(F.col("n") - F.col("top.n"), F.col("cells") - F.col("top.cells")).alias("nr")
     )
-    # of buckets with the same members one is enough
-    kinds = kinds.groupBy("n", "mark").agg(F.min(F.struct("band", "key", "most", "nl", "nr")).alias("k")).select("k.*")
+    # of groups with the same members one is enough
+    kinds = kinds.groupBy("n", "mark").agg(F.min(F.struct("group", "most", "nl", "nr")).alias("k")).select("k.*")
     kinds = scratch.cut(kinds, "open")
     if kinds.isEmpty():
         return part
-    rows = scratch.cut(placed.join(kinds, ["band", "key"]).select("band", "key", "rep", "component", (F.col("component") != F.col("most")).alias("other"), "nl", "nr"), "members")
+    rows = scratch.cut(placed.join(kinds, "group").select("group", "rep", "component", (F.col("component") != F.col("most")).alias("other"), "nl", "nr"), "members")
     sets = texts(own).join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(words), "rep long, set binary")
     sets = scratch.cut(sets, "sets")
     lefts = rows.select("*", F.lit(False).alias("right"), F.pmod(F.xxhash64("rep"), F.col("nl")).cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
     rights = rows.where("other").select("*", F.lit(True).alias("right"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
-    cols = ("band", "key", "i", "j", "right", "rep", "component", "other")
+    cols = ("group", "i", "j", "right", "rep", "component", "other")
     both = lefts.select(*cols).unionByName(rights.select(*cols)).join(sets, "rep")
-    more = scratch.cut(both.groupBy("band", "key", "i", "j").applyInArrow(_across(percent, arrow_schema("u long, v long")), "u long, v long"), "more")
+    more = scratch.cut(both.groupBy("group", "i", "j").applyInArrow(_across(percent, arrow_schema("u long, v long")), "u long, v long"), "more")
     if more.isEmpty():
         return part
     return components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)  # stars already, but for what is new
@@ -244,7 +245,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     met = inside.groupBy("rep").agg(F.sum("n").alias("met"))
     low = lambda *by: F.min_by("rep", F.struct(*by))
     pivots = inside.join(met, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("met", F.xxhash64("rep"))).alias("a"), low(F.xxhash64("rep", "band"), F.col("rep")).alias("b"))
-    stars = inside.join(pivots, ["band", "key"]).select("rep", F.explode(F.array("a", "b")).alias("pivot")).where("rep <> pivot")
+    met = scratch.cut(inside.join(pivots, ["band", "key"]).select("rep", "a", "b").distinct(), "met")
+    groups = scratch.cut(met.select(F.col("a").alias("group"), "rep").distinct(), "groups")
+    stars = met.select("rep", F.explode(F.array("a", "b")).alias("pivot")).where("rep <> pivot")
     stars = scratch.cut(stars.select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct(), "stars")
 
     signed = reps.select("rep", "sig")
@@ -254,7 +257,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     packed = scratch.cut(texts(own).join(members.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_pack, "rep long, packed binary"), "packed")
     full = pairs.join(packed.select(F.col("rep").alias("u"), F.col("packed").alias("pu")), "u").join(packed.select(F.col("rep").alias("v"), F.col("packed").alias("pv")), "v").select("v", "u", "pv", "pu")
     links = scratch.cut(full.mapInArrow(_confirm(words, percent), "u long, v long"), "links")
-    last = _joined(inside, components(links, scratch), own, reps, words, percent, block, cells, scratch)
+    last = _joined(groups, components(links, scratch), own, reps, words, percent, block, cells, scratch)
 
     # A class and its documents.
     lowest = reps.select("set_a", "set_b", "n_shingles", "rep").join(last.select(F.col("node").alias("rep"), F.col("component").alias("low")), "rep", "left")
