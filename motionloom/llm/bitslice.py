@@ -201,7 +201,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = CELL
     of_asking = of_asking.select("dims", parts(F.col("s"), size, 1)("small_parts"), parts(F.col("l"), size, 1)("large_parts"))
 
     rows = packed(own, of_rows, "rows")
-    asked = packed(asking, of_asking, "queries").select("dims", F.col("part").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("width", "ids", "rows")))
+    asked_packed = packed(asking, of_asking, "queries")
+    asked = asked_packed.select("dims", F.col("part").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("width", "ids", "rows")))
+    scratch.only(rows, asked_packed)
     # each row block meets each query block under a key of its own, so pairs spread over tasks
     each_q = rows.join(asked.groupBy("dims").agg(F.max("q").alias("last")), "dims").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
     each_part = asked.join(rows.groupBy("dims").agg(F.max("part").alias("last")), "dims").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")

@@ -71,9 +71,12 @@ def repeated(rows: DataFrame, n: str, chunk: int = 1024) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one if Spark
+    runs in one process; on a cluster, where executors wouldn't see it, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -89,6 +92,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.made: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -99,8 +103,14 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
+        self.made.append(out)
         return out
 
+    def only(self, *keep: DataFrame) -> None:
+        """Removes all tables but these, which a result still reads."""
+        self.drop(*(df for df in self.made if not any(df is k for k in keep)))
+        self.made = list(keep)
+
     def drop(self, *dfs: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

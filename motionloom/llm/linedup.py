@@ -100,16 +100,16 @@ def later_copies(array: DataFrame, run: int, scratch: Scratch) -> DataFrame:
     """(doc, pos) of the suffixes in intervals of common prefixes of `run` lines or more, but for the first of each interval."""
     near = counted_up(array, ["index"], scratch, (F.col("lcp") < run).cast("long"))
     near = scratch.cut(near.select("doc", "pos", (F.col("before") + (F.col("lcp") < run).cast("long")).alias("interval")), "intervals")
-    first = near.groupBy("interval").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return near.join(first, "interval").where(F.struct("doc", "pos") != F.col("first")).select("doc", "pos")
+    # the first ones leave by their own place, so no large interval is joined to one row
+    first = near.groupBy("interval").agg(F.min(F.struct("doc", "pos")).alias("first")).select("first.doc", "first.pos")
+    return near.select("doc", "pos").join(first, ["doc", "pos"], "left_anti")
 
 
 def removed_lines(docs: DataFrame, run: int, words: int, scratch: Scratch) -> DataFrame:
     """(doc, runs): of each document with later copies, its maximal removed runs as (first, last), in order."""
     split = F.split("text", "\n")
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), (F.size(split) == 1).alias("whole"), F.posexplode(split).alias("pos", "line"))
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    alone = (F.col("line") != "") & (F.col("whole") | (spaces + 1 >= words))
+    alone = (F.col("line") != "") & (F.col("whole") | (F.size(F.split("line", " ", words)) >= words))
     lines = lines.select("doc", "pos", F.unhex(F.md5("line")).alias("id"), alone.alias("alone"))
     array = scratch.cut(suffix_array(lines.drop("alone"), scratch), "array")
     gone = later_copies(array, run, scratch).withColumn("size", F.lit(run))
@@ -129,7 +129,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFram
     """(doc_id, text, n_lines, runs) for each row of docs: the text that is left and the runs that were removed."""
     scratch = Scratch(docs.sparkSession, "lines")
     own, again = one_each(docs)
-    runs = removed_lines(own, run, words, scratch)
+    runs = scratch.cut(removed_lines(own, run, words, scratch), "runs")
+    scratch.only(runs)
     rows = own.join(runs, own["doc_id"] == runs["doc"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")).alias("runs"))
     lines = F.split("text", "\n")
     stay = F.filter(lines, lambda line, i: ~F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"])))

@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     lowest = reps.select("set_a", "set_b", "n_shingles", "rep").join(last.select(F.col("node").alias("rep"), F.col("component").alias("low")), "rep", "left")
     lowest = lowest.select("set_a", "set_b", "n_shingles", F.coalesce("low", "rep").alias("low"))
     lowest = scratch.cut(lowest, "lowest")
+    scratch.only(sketch, lowest)
     out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(lowest, ["set_a", "set_b", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -151,6 +151,7 @@ class Mix:
         goal = goal.select("group", (F.col("goal") - F.coalesce("got", F.lit(0))).alias("goal"))
         shorts = _limit(left.where("NOT long"), goal, scratch, "short")
         both = longs.withColumn("long", F.lit(True)).unionByName(shorts.withColumn("long", F.lit(False)))
+        scratch.only(self.narrow, self.goals, self.hopes, longs, shorts)
         self.limits = both.select("group", "long", *(F.col(c).alias(f"l_{c}") for c in ("rank", "a", "b", "m", "r")))
 
     def ranked(self, rows: DataFrame) -> DataFrame:

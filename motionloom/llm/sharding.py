@@ -52,10 +52,10 @@ def _shuffle(seed: int, shards: int, schema: pa.Schema):
     return run
 
 
-def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 3, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 3, bucket_bytes: int = BUCKET_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """docs with shard (int) and slot (long) of each row."""
     spark, text = docs.sparkSession, f"_{place(docs, 'text')}"
-    scratch = Scratch(spark, "shards")
+    scratch = scratch or Scratch(spark, "shards")
     kept = [i for i, c in enumerate(docs.columns) if c.lower() not in ("shard", "slot")]
     rows = numbered(docs).select(*(f"_{i}" for i in kept))
     cols = rows.columns
@@ -85,8 +85,10 @@ def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 3, bucket_by
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 3, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Writes the shuffled table as one folder of Parquet for each shard, bucket by bucket without a further
     shuffle, and returns what read_shards() reads back. The folder must not exist, so nothing is overwritten."""
-    out = external_shuffle(docs, shards, seed, bucket_bytes)
+    scratch = Scratch(docs.sparkSession, "shards")
+    out = external_shuffle(docs, shards, seed, bucket_bytes, scratch)
     out.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    scratch.only()
     return read_shards(docs.sparkSession, path, out)
 
 

@@ -7,7 +7,7 @@ doc_ids; and the seek table of the public seekable format, a skippable frame wit
 frame, packed and not, and the low half of the XXH64 of what is in it. Any zstandard reader can
 decompress the whole; TokenFile goes to single documents.
 
-Plan. The texts are dealt out by ranges of doc_id (one shuffle) and sorted; a task encodes its range
+Plan. The texts are dealt out by ranges of doc_id and crc32 (one shuffle) and sorted; a task encodes its range
 and writes one file. The files' totals, a row for each, give the first position of each file; reading
 back is a task for each file. A task that runs again writes the same bytes under the same name.
 
@@ -208,7 +208,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, files: int | None =
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.repartitionByRange(files or partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]  # both, so that rows of one doc_id or none are several ranges
+    rows = rows.repartitionByRange(files or partitions(spark), *order).sortWithinPartitions(*order)
     ddl = "part int, path string, n_docs long, n_tokens long"
     made = scratch.cut(rows.mapInArrow(_write(scratch.path("files"), tokenizer, end, arrow_schema(ddl)), ddl), "manifest")
     before = F.sum("n_tokens").over(W.orderBy("part")) - F.col("n_tokens")  # as many rows as there are files

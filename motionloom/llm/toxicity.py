@@ -199,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000, least: int = 8,
     sample = sample.join(F.broadcast(fits.where("fits").select("id")), "id").groupBy("id", "toxic").agg(F.min("packed").alias("packed"))
     ddl = "bias double, features binary, weights binary"
     got = sample.repartition(1).mapInArrow(_fit(least, gain, penalty, arrow_schema(ddl)), ddl).collect()
+    scratch.only()
     if not got:
         return -40.0, b"", b""
     # of each label another share was taken: back to the labels' own odds
