@@ -70,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        scratch.only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
