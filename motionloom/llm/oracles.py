@@ -3,6 +3,26 @@
 WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 WORDS8 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+# Matches with what lies before each: their lengths add up to places.
+OP1 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT * FROM (VALUES
+  (0, 'assign', '(?s)(.*?)(([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 6),
+  (1, 'access', '(?s)(.*?)(()(AKIA[A-Z0-9]+))', 20),
+  (2, 'hex', '(?s)(.*?)(()([0-9a-f]{24,}))', 24)) AS p(k, kind, re, least)),
+m AS (SELECT doc_id, k, kind, least, regexp_extract_all(text, re, 1) AS pre, regexp_extract_all(text, re, 2) AS hit, regexp_extract_all(text, re, 4) AS val FROM t, p),
+f AS (SELECT doc_id, k, kind, least, pre, hit, val, unnest(generate_series(1, len(hit))) AS i FROM m WHERE len(hit) > 0),
+s AS (
+  SELECT doc_id, k, kind, length(array_to_string(pre[1 : i], '')) + length(array_to_string(hit[1 : i - 1], '')) AS a, length(hit[i]) AS n
+  FROM f WHERE length(val[i]) >= least),
+g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans
+  FROM s GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
 OP4 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS a
@@ -62,6 +82,22 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM low LEFT JOIN n USING (doc_id)
 """
 
+# Bytes as two hexadecimal digits each.
+OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS i FROM d WHERE length(h) >= 100)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM w) WHERE first < doc_id),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM late),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM e) GROUP BY doc_id, r),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id),
+gap AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM r
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(length(h)) // 2 FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -112,4 +148,4 @@ SELECT r.doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM r LEFT JOIN pick ON pick.doc_id = r.doc_id
 """
 
-ORACLES = {"op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op10_mix": OP10}
+ORACLES = {"op1_secrets": OP1, "op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op9_suffix": OP9, "op10_mix": OP10}
