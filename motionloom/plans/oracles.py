@@ -89,6 +89,31 @@ STEPS = {
     "want": "SELECT 'pog_' || run_id AS pog, unnest([30, 40, 50]) AS pwm, trial FROM (SELECT run_id, unnest([0, 1]) AS trial FROM keys_)",
     "spec": """SELECT run_id, n, dt, CAST(kk AS INT) AS k, pow(sum(radians(theta) * cos(2 * pi() * kk / n * rn)), 2) + pow(sum(radians(theta) * sin(2 * pi() * kk / n * rn)), 2) AS power
             FROM cln JOIN (SELECT *, unnest(generate_series(1, n // 2 - 1)) AS kk FROM size_ WHERE n >= 4) USING (run_id) GROUP BY run_id, n, dt, kk""",
+    # a low-pass of order 4 at 1 Hz from its poles, and what it needs of each run
+    "pole": """SELECT *, (4 + w * cos(pi() / 8)) * (4 + w * cos(pi() / 8)) + w * w * sin(pi() / 8) * sin(pi() / 8) AS d1, (4 + w * cos(3 * pi() / 8)) * (4 + w * cos(3 * pi() / 8)) + w * w * sin(3 * pi() / 8) * sin(3 * pi() / 8) AS d3
+            FROM (SELECT run_id, n, dt, 4 * tan(pi() * dt) AS w FROM size_ WHERE n > 15 AND 2 * dt > 0 AND 2 * dt < 1)""",
+    "pole2": """SELECT run_id, n, dt, w * w * w * w / (d1 * d3) AS g, -2 * (16 - w * w) / d1 AS p1, ((4 - w * cos(pi() / 8)) * (4 - w * cos(pi() / 8)) + w * w * sin(pi() / 8) * sin(pi() / 8)) / d1 AS q1,
+            -2 * (16 - w * w) / d3 AS p3, ((4 - w * cos(3 * pi() / 8)) * (4 - w * cos(3 * pi() / 8)) + w * w * sin(3 * pi() / 8) * sin(3 * pi() / 8)) / d3 AS q3 FROM pole""",
+    "coef": "SELECT run_id, n, dt, g, p1 + p3 AS a1, q1 + q3 + p1 * p3 AS a2, p1 * q3 + p3 * q1 AS a3, q1 * q3 AS a4 FROM pole2",
+    "rest": """SELECT *, g - a4 AS z4, 4 * g - a3 + g - a4 AS z3, 6 * g - a2 + 4 * g - a3 + g - a4 AS z2, 4 * g - a1 + 6 * g - a2 + 4 * g - a3 + g - a4 AS z1 FROM coef""",
+    "rad": "SELECT r.run_id, rn, n, radians(theta) AS v FROM cln JOIN rest r ON r.run_id = cln.run_id",
+    "ends": "SELECT run_id, any_value(n) AS n, max(CASE WHEN rn = 0 THEN v END) AS v0, max(CASE WHEN rn = n - 1 THEN v END) AS v1 FROM rad GROUP BY run_id",
+    # mirrored through both ends by 15 samples; t counts from the first
+    "long_": """SELECT run_id, CAST(rn + 15 AS INT) AS t, v FROM rad UNION ALL SELECT run_id, CAST(15 - rn AS INT), 2 * v0 - v FROM rad JOIN ends USING (run_id) WHERE rn BETWEEN 1 AND 15
+            UNION ALL SELECT run_id, CAST(2 * (ends.n - 1) - rn + 15 AS INT), 2 * v1 - v FROM rad JOIN ends USING (run_id) WHERE rn BETWEEN ends.n - 16 AND ends.n - 2""",
+    "ahead": """SELECT run_id, t, v, g * v + z1 * v AS y, 4 * g * v - a1 * (g * v + z1 * v) + z2 * v AS s1, 6 * g * v - a2 * (g * v + z1 * v) + z3 * v AS s2, 4 * g * v - a3 * (g * v + z1 * v) + z4 * v AS s3, g * v - a4 * (g * v + z1 * v) AS s4
+            FROM long_ JOIN rest USING (run_id) WHERE t = 0
+            UNION ALL SELECT run_id, x.t, x.v, g * x.v + s1, 4 * g * x.v - a1 * (g * x.v + s1) + s2, 6 * g * x.v - a2 * (g * x.v + s1) + s3, 4 * g * x.v - a3 * (g * x.v + s1) + s4, g * x.v - a4 * (g * x.v + s1)
+            FROM ahead p JOIN long_ x USING (run_id) JOIN rest USING (run_id) WHERE x.t = p.t + 1""",
+    "turned": "SELECT run_id, CAST(n + 29 - t AS INT) AS t, y AS v FROM ahead JOIN rest USING (run_id)",
+    "backward": """SELECT run_id, t, v, g * v + z1 * v AS y, 4 * g * v - a1 * (g * v + z1 * v) + z2 * v AS s1, 6 * g * v - a2 * (g * v + z1 * v) + z3 * v AS s2, 4 * g * v - a3 * (g * v + z1 * v) + z4 * v AS s3, g * v - a4 * (g * v + z1 * v) AS s4
+            FROM turned JOIN rest USING (run_id) WHERE t = 0
+            UNION ALL SELECT run_id, x.t, x.v, g * x.v + s1, 4 * g * x.v - a1 * (g * x.v + s1) + s2, 6 * g * x.v - a2 * (g * x.v + s1) + s3, 4 * g * x.v - a3 * (g * x.v + s1) + s4, g * x.v - a4 * (g * x.v + s1)
+            FROM backward p JOIN turned x USING (run_id) JOIN rest USING (run_id) WHERE x.t = p.t + 1""",
+    "smooth": "SELECT run_id, n, dt, n + 14 - t AS rn, y FROM backward JOIN rest USING (run_id) WHERE t BETWEEN 15 AND n + 14",
+    "filtered": """SELECT run_id, n, dt, kk, pow(sum(y * cos(2 * pi() * kk / n * rn)), 2) + pow(sum(y * sin(2 * pi() * kk / n * rn)), 2) AS power
+            FROM smooth JOIN (SELECT run_id, unnest(generate_series(1, n // 2 - 1)) AS kk FROM rest) USING (run_id) GROUP BY run_id, n, dt, kk""",
+    "fft_": "SELECT run_id, 2 * pi() * kk / (n * dt) AS omega_fft FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY power DESC, kk) AS r FROM filtered) WHERE r = 1",
 }
 
 FINAL = {
@@ -121,6 +146,8 @@ FINAL = {
     "circle_residuals": "SELECT run_id, rn, round(r, 6) AS radius, round(r - avg(r) OVER (PARTITION BY run_id), 6) AS residual FROM (SELECT *, sqrt(u * u + w * w) AS r FROM about)",
     "circle_kasa": "SELECT run_id, n, round(xc, 4) AS xc, round(yc, 4) AS yc, round(radius, 4) AS radius FROM kasa",
     "dft_peak": """SELECT run_id, k, round(2 * pi() * k / (n * dt), 6) AS omega FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY power DESC, k) AS r FROM spec) WHERE r = 1""",
+    "omega_fft": "SELECT run_id, round(omega_fft, 6) AS omega_fft FROM size_ LEFT JOIN fft_ USING (run_id)",
+    "physics_core": "SELECT run_id, pwm, trial, round(omega_fft, 6) AS omega_fft, round(omega_noise, 6) AS omega_noise, round(v, 6) AS v_msd FROM fft_ JOIN (SELECT run_id, abs(avg(g)) AS omega_noise FROM grad GROUP BY run_id) USING (run_id) JOIN vel USING (run_id) JOIN keys_ USING (run_id)",
     "omega_ucm": "SELECT run_id, round(CASE WHEN radius IS NULL OR isnan(radius) OR radius <= 0 THEN CAST('nan' AS DOUBLE) ELSE v / radius END, 4) AS omega_ucm FROM vel JOIN kasa USING (run_id)",
     "experiment_grid": """SELECT pog, pwm, trial, CAST(p * 10 + trial AS INT) AS run_index, round(5.2e0 + (p * 10 + trial) * (6 + 1.845e0), 6) AS clip_start
             FROM (SELECT 'pog_' || run_id AS pog, p, CAST(30 + 10 * p AS INT) AS pwm, CAST(t AS INT) AS trial FROM keys_, (SELECT unnest(generate_series(0, 8)) AS p), (SELECT unnest(generate_series(0, 9)) AS t))""",
@@ -171,7 +198,7 @@ def _sql(final: str) -> str:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 todo.append(STEPS[name])
-    return "WITH " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in STEPS if n in need) + "\n" + final
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in STEPS if n in need) + "\n" + final
 
 
 ORACLES = {name: _sql(final) for name, final in FINAL.items()}

@@ -148,7 +148,7 @@ def dft_peak(s, d):
 
 
 def omega_fft(s, d):
-    return signal.omega_fft(_clean(s, d))
+    return _r(signal.omega_fft(_clean(s, d)), "run_id")
 
 
 def omega_ucm(s, d):
@@ -162,6 +162,11 @@ def physics(s, d):
     return verbs.pipeline(X.detections(s, d)).join(X.run_keys(s, d), "run_id")
 
 
+def physics_core(s, d):
+    """physics() without the fitted circle, which is badly conditioned on random walks."""
+    return _r(physics(s, d).select("run_id", "pwm", "trial", "omega_fft", "omega_noise", "v_msd"), "run_id", "pwm", "trial")
+
+
 def experiment_grid(s, d):
     ids = X.run_keys(s, d).select(F.concat(F.lit("pog_"), F.col("run_id").cast("string")).alias("pog"))
     return _r(runs.experiment_grid(ids, TENS), "pog", "pwm", "trial", "run_index")
@@ -327,7 +332,7 @@ QUERIES = {
     for f in (
         convert_units, px_roundtrip, skipped_flag, skipped_stats, trim_edges, discard_reason, interpolate, wall_cut, clean, clean_row_counts, link_single, candidate_pairs, link_multi,
         skip_placeholder, track, mean_dt, diff_time, unwrap, gradient, omega_noise, msd_curve, v_msd, msd_mean_by_pwm, mid_window, circle_residuals, circle_kasa, circle_fit, dft_peak,
-        omega_fft, omega_ucm, physics, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
+        omega_fft, omega_ucm, physics, physics_core, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
         img_angle, contour_measures, size_filter, find_contours, contour_stats, contour_boxes, contour_crops, threshold_fallback, debug_views, wrong_count, detect, plot_quantity, colour_scale, grid_cells,
         msd_fit_line, circle_polyline, arrows, trajectories,
     )
