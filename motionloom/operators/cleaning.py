@@ -25,16 +25,32 @@ def trim_edges(rows: DataFrame, keys=KEYS) -> DataFrame:
     return out.where((F.col("rn") >= F.col("_first")) & (F.col("rn") <= F.col("_last"))).withColumn("rn", F.col("rn") - F.col("_first")).drop("_first", "_last")
 
 
-def skipped_stats(rows: DataFrame, keys=KEYS) -> DataFrame:
-    """A row for each run: n_rows, and within its edges n_middle, n_skipped, fraction and longest (skipped in a row)."""
+def _marked(rows: DataFrame, keys) -> DataFrame:
+    """rows with rn and, of each: whether it is skipped (_s), the run's first and last detection (_first, _last), whether it lies between
+    them (_mid), and then the length of its stretch of skipped rows (_len). All windows share the partitioning by run."""
     every = W.partitionBy(*keys)
-    out = positions(rows, keys).withColumn("_s", skipped())
+    out = (rows if "rn" in rows.columns else positions(rows, keys)).withColumn("_s", skipped())
     out = out.withColumn("_first", F.min(F.when(~F.col("_s"), F.col("rn"))).over(every)).withColumn("_last", F.max(F.when(~F.col("_s"), F.col("rn"))).over(every))
     out = out.withColumn("_mid", F.coalesce((F.col("rn") >= F.col("_first")) & (F.col("rn") <= F.col("_last")), F.lit(False)))
     # a stretch of skipped rows: place less place among the run's skipped rows
     out = out.withColumn("_stretch", F.col("rn") - F.row_number().over(W.partitionBy(*keys, "_s").orderBy("rn")))
-    out = out.withColumn("_len", F.when(F.col("_s") & F.col("_mid"), F.count("*").over(W.partitionBy(*keys, "_s", "_stretch"))))
-    return out.groupBy(*keys).agg(
+    return out.withColumn("_len", F.when(F.col("_s") & F.col("_mid"), F.count("*").over(W.partitionBy(*keys, "_s", "_stretch"))))
+
+
+#: Columns of _marked() and _kept().
+_MARKS = ("_s", "_first", "_last", "_mid", "_stretch", "_len", "_kept")
+
+
+def _kept(marked: DataFrame, keys, d: Dynamics) -> DataFrame:
+    """_kept: whether the run isn't discarded. Window aggregates, so there is no join."""
+    every = W.partitionBy(*keys)
+    fraction, longest = F.avg(F.when(F.col("_mid"), F.col("_s").cast("double"))).over(every), F.coalesce(F.max("_len").over(every), F.lit(0))
+    return marked.withColumn("_kept", F.col("_first").isNotNull() & (fraction <= d.max_fraction_skipped) & (longest <= d.max_skipped_frames))
+
+
+def skipped_stats(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """A row for each run: n_rows, and within its edges n_middle, n_skipped, fraction and longest (skipped in a row)."""
+    return _marked(positions(rows, keys), keys).groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.count_if("_mid").alias("n_middle"), F.count_if(F.col("_mid") & F.col("_s")).alias("n_skipped"),
         F.avg(F.when(F.col("_mid"), F.col("_s").cast("double"))).alias("fraction"), F.coalesce(F.max("_len"), F.lit(0)).alias("longest"),
     )
@@ -51,16 +67,8 @@ def discard_reasons(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics()) -> Dat
 
 
 def drop_discarded(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics()) -> DataFrame:
-    """rows without those of discarded runs; the figures are window aggregates, so there is no join."""
-    every = W.partitionBy(*keys)
-    s = skipped()
-    out = (rows if "rn" in rows.columns else positions(rows, keys)).withColumn("_s", s)
-    out = out.withColumn("_first", F.min(F.when(~F.col("_s"), F.col("rn"))).over(every)).withColumn("_last", F.max(F.when(~F.col("_s"), F.col("rn"))).over(every))
-    out = out.withColumn("_mid", F.coalesce((F.col("rn") >= F.col("_first")) & (F.col("rn") <= F.col("_last")), F.lit(False)))
-    out = out.withColumn("_stretch", F.col("rn") - F.row_number().over(W.partitionBy(*keys, "_s").orderBy("rn")))
-    out = out.withColumn("_len", F.when(F.col("_s") & F.col("_mid"), F.count("*").over(W.partitionBy(*keys, "_s", "_stretch"))))
-    out = out.withColumn("_fraction", F.avg(F.when(F.col("_mid"), F.col("_s").cast("double"))).over(every)).withColumn("_longest", F.coalesce(F.max("_len").over(every), F.lit(0)))
-    return out.where(F.col("_first").isNotNull() & (F.col("_fraction") <= d.max_fraction_skipped) & (F.col("_longest") <= d.max_skipped_frames)).drop("_s", "_first", "_last", "_mid", "_stretch", "_len", "_fraction", "_longest")
+    """rows without those of discarded runs."""
+    return _kept(_marked(rows, keys), keys, d).where("_kept").drop(*_MARKS)
 
 
 def interpolate(rows: DataFrame, keys=KEYS, names=("x", "y", "theta")) -> DataFrame:
@@ -90,9 +98,11 @@ def clean(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics(), c: Tracking = Tr
 
 
 def clean_counts(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics(), c: Tracking = Tracking()) -> DataFrame:
-    """Rows of each run before, after trimming and after cleaning (0: discarded or emptied)."""
-    before = rows.groupBy(*keys).agg(F.count("*").alias("n_raw"))
-    trimmed = trim_edges(rows, keys).groupBy(*keys).agg(F.count("*").alias("n_trimmed"))
-    after = clean(rows, keys, d, c).groupBy(*keys).agg(F.count("*").alias("n_clean"))
-    out = before.join(trimmed, list(keys), "left").join(after, list(keys), "left")
-    return out.fillna(0, ["n_trimmed", "n_clean"])
+    """Rows of each run before, after trimming and after cleaning (0: discarded or emptied), in one pass with flags in place of filters."""
+    every = W.partitionBy(*keys)
+    out = _kept(_marked(positions(rows, keys), keys), keys, d)
+    out = out.withColumn("_raw", F.count("*").over(every)).withColumn("_trimmed", F.count_if("_mid").over(every))
+    out = interpolate(out.where("_mid OR rn = 0"), keys)  # rows outside of the edges are skipped ones, which no value comes from
+    hit = F.min(F.when(F.col("_mid") & outside(F.col("x"), F.col("y"), d, c), F.col("rn"))).over(every)
+    left = F.col("_mid") & F.col("_kept") & (F.col("_hit").isNull() | (F.col("rn") < F.col("_hit")))
+    return out.withColumn("_hit", hit).groupBy(*keys).agg(F.first("_raw").alias("n_raw"), F.first("_trimmed").alias("n_trimmed"), F.count_if(left).alias("n_clean"))

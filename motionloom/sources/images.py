@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,6 +53,31 @@ def to_pixels(frames: DataFrame) -> DataFrame:
     return frames.select("video_id", "frame", "height", "width", "channels", "data").mapInArrow(_pixels, "video_id string, frame int, height int, i int, j int, b int, g int, r int")
 
 
+def _save(folder: str):
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            paths = []
+            for name, h, w, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, colour = np.frombuffer(data, np.uint8).reshape(h, w, n), n >= 3
+                path = f"{root}/{name}.{'ppm' if colour else 'pgm'}"
+                temp = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(temp) as out:
+                    out.write(f"P{6 if colour else 5}\n{w} {h}\n255\n".encode() + np.ascontiguousarray(a[..., 2::-1] if colour else a[..., 0]).tobytes())
+                store.move(temp, path)  # a task that runs again writes the same bytes under the same name
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    return run
+
+
+def write_images(images: DataFrame, folder: str) -> list[str]:
+    """Writes images (name, height, width, channels, data) as portable pixmap or graymap files, each in its own task, and returns their paths."""
+    rows = images.select("name", "height", "width", "channels", "data").mapInArrow(_save(folder), "path string")
+    return sorted(r.path for r in rows.collect())  # names alone
+
+
 class Span(InputPartition):
     def __init__(self, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
