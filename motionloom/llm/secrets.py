@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, load
+from .common import Scratch, arrow_schema, load, pick
 
 RULES = 1
 # The patterns, and the least lengths of what they match.
@@ -33,6 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN = 6
 KINDS = ("assign", "access", "hex")
+LEDGER = "blob binary, rules int, kinds array<string>, starts array<int>, ends array<int>"
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -77,18 +78,30 @@ def _scan(schema: pa.Schema):
 def named(docs: DataFrame) -> DataFrame:
     """(path, blob, text) of (doc_id, text)."""
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The ledger's new rows: (blob, rules, kinds, starts, ends) of each blob of `versions` (path, blob, text) that
     `ledger` has no row for under these rules. Written to the shared folder, so it is scanned once."""
+    return Scratch(versions.sparkSession, "secrets").cut(_scanned(versions, ledger), "ledger")
+
+
+def _scanned(versions: DataFrame, ledger: DataFrame | None) -> DataFrame:
     blobs = versions.select("blob", "text").mapInArrow(_once, "blob binary, packed binary")
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rules") == RULES).select("blob"), "blob", "left_anti")
-    ddl = "blob binary, rules int, kinds array<string>, starts array<int>, ends array<int>"
-    new = blobs.dropDuplicates(["blob"]).mapInArrow(_scan(arrow_schema(ddl)), ddl)
-    return Scratch(versions.sparkSession, "secrets").cut(new, "ledger")
+    return blobs.dropDuplicates(["blob"]).mapInArrow(_scan(arrow_schema(LEDGER)), LEDGER)
+
+
+def update(versions: DataFrame, path: str) -> DataFrame:
+    """The ledger at `path` after a scan of what it has no row for; it is begun where there is none. Rows are only ever added, and
+    an addition that is cut short adds nothing, so the next call scans the same blobs again."""
+    spark = versions.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.schema(LEDGER).parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    _scanned(versions, known).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -98,9 +111,9 @@ def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
-    """Secrets in all documents, from an empty ledger."""
+    """Secrets in all documents. The ledger is begun here; with the path of an older one update() scans what is new alone."""
     versions = named(load(spark, sf_dir, "documents"))
-    found = findings(versions, scan(versions))
+    found = findings(versions, update(versions, Scratch(spark, "secrets").path("ledger")))
     spans = F.array_join(F.transform(F.sequence(F.lit(1), F.size("kinds")), lambda i: F.concat_ws(":", F.element_at("kinds", i), F.element_at("starts", i), F.element_at("ends", i))), ",")
     spans = F.when(F.size("kinds") > 0, spans).otherwise("")
     count = [F.expr(f"CAST(size(filter(kinds, k -> k = '{name}')) AS BIGINT)").alias(f"n_{name}") for name in KINDS]
