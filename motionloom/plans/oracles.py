@@ -149,6 +149,14 @@ FINAL = {
     "omega_fft": "SELECT run_id, round(omega_fft, 6) AS omega_fft FROM size_ LEFT JOIN fft_ USING (run_id)",
     "physics_core": "SELECT run_id, pwm, trial, round(omega_fft, 6) AS omega_fft, round(omega_noise, 6) AS omega_noise, round(v, 6) AS v_msd FROM fft_ JOIN (SELECT run_id, abs(avg(g)) AS omega_noise FROM grad GROUP BY run_id) USING (run_id) JOIN vel USING (run_id) JOIN keys_ USING (run_id)",
     "omega_ucm": "SELECT run_id, round(CASE WHEN radius IS NULL OR isnan(radius) OR radius <= 0 THEN CAST('nan' AS DOUBLE) ELSE v / radius END, 4) AS omega_ucm FROM vel JOIN kasa USING (run_id)",
+    "append_detections": "SELECT * FROM det",
+    "physics_reasons": "SELECT run_id, CASE WHEN n <= 15 THEN 'too_short' WHEN 2 * dt >= 1 THEN 'too_coarse' WHEN trunc(0.3e0 * (least(trunc(1.5e0 / dt), n) - 1)) < 1 THEN 'no_lags' END AS reason FROM size_",
+    "trim": """SELECT pog, pwm, trial, CAST(p * 10 + trial AS INT) AS run_index, round(5.2e0 + (p * 10 + trial) * (6 + 1.845e0), 6) AS clip_start, round(5.2e0 + (p * 10 + trial) * (6 + 1.845e0) + 6, 6) AS clip_end
+            FROM (SELECT 'pog_' || run_id AS pog, p, CAST(30 + 10 * p AS INT) AS pwm, CAST(t AS INT) AS trial FROM keys_, (SELECT unnest(generate_series(0, 8)) AS p), (SELECT unnest(generate_series(0, 9)) AS t))""",
+    "process": f"""SELECT 'pog_' || c.run_id AS pog, CASE WHEN idx < 2 THEN 30 ELSE 40 END AS pwm, idx % 2 AS trial, round((c.frame - ceil((0.25e0 + idx * 0.625e0) * {FPS})) / {FPS}, 6) AS time,
+            round(coalesce(b.x, 0) * {SCALE}, 6) AS x, round(coalesce(b.y, 0) * {SCALE}, 6) AS y, coalesce(b.theta, 0) AS theta, 0 AS particle FROM clip c LEFT JOIN bot b ON b.run_id = c.run_id AND b.frame = c.frame""",
+    "known_pogs": "SELECT 'pog_' || run_id AS pog, pwm, trial FROM keys_ WHERE run_id IN (0, 3, 7)",
+    "axis_limits": f"SELECT run_id, round(max(x) * {SCALE}, 6) AS x_cm, round(max(y) * {SCALE}, 6) AS y_cm FROM det GROUP BY run_id",
     "experiment_grid": """SELECT pog, pwm, trial, CAST(p * 10 + trial AS INT) AS run_index, round(5.2e0 + (p * 10 + trial) * (6 + 1.845e0), 6) AS clip_start
             FROM (SELECT 'pog_' || run_id AS pog, p, CAST(30 + 10 * p AS INT) AS pwm, CAST(t AS INT) AS trial FROM keys_, (SELECT unnest(generate_series(0, 8)) AS p), (SELECT unnest(generate_series(0, 9)) AS t))""",
     "assign_runs": "SELECT run_id, frame, idx AS run_index, CASE WHEN idx < 2 THEN 30 ELSE 40 END AS pwm, idx % 2 AS trial, round(clip_time, 6) AS clip_time FROM clip",

@@ -74,6 +74,12 @@ def link_single(s, d):
     return linking.link_single(X.detections(s, d)).select("run_id", "frame", "x", "y", "particle")
 
 
+def append_detections(s, d):
+    """Skipped frames and detections, one after the other."""
+    e = X.detections(s, d)
+    return linking.append_detections(e.where(C.skipped()), e.where("x > 1518 AND y <> 0"), e.where(~C.skipped() & ~F.expr("x > 1518 AND y <> 0")))
+
+
 def candidate_pairs(s, d):
     return linking.candidate_pairs(X.detections(s, d)).select("run_id", "frame", "x", "y", "x2", "y2", F.col("dist2").cast("long").alias("dist2"))
 
@@ -167,6 +173,33 @@ def physics_core(s, d):
     return _r(physics(s, d).select("run_id", "pwm", "trial", "omega_fft", "omega_noise", "v_msd"), "run_id", "pwm", "trial")
 
 
+def physics_reasons(s, d):
+    """Which cleaned runs give no physics, and why."""
+    return verbs.physics_or_reason(_clean(s, d)).select("run_id", "reason")
+
+
+def trim(s, d):
+    pogs = X.run_keys(s, d).select(F.concat(F.lit("pog_"), F.col("run_id").cast("string")).alias("pog"))
+    return _r(verbs.trim(pogs, TENS), "pog", "pwm", "trial", "run_index")
+
+
+def process(s, d):
+    """Recordings of all runs to the tracking of their clips."""
+    shots = X.images(s, d).withColumn("video_id", F.concat(F.lit("pog_"), F.col("run_id").cast("string"))).drop("run_id")
+    return _r(verbs.process(shots, X.background_images(s, d).limit(1), SMALL, CLIPS, flip=False), "pog", "pwm", "trial", "particle")
+
+
+def known_pogs(s, d):
+    pogs = X.run_keys(s, d).select(F.concat(F.lit("pog_"), F.col("run_id").cast("string")).alias("pog"), "pwm", "trial")
+    return runs.known_pogs(pogs, ["pog_0", "pog_3", "pog_7"])
+
+
+def axis_limits(s, d):
+    """The limits in cm of a plot of each run."""
+    x, y = plotdata.axis_limits(F.max("x"), F.max("y"))
+    return X.detections(s, d).groupBy("run_id").agg(F.round(x, 6).alias("x_cm"), F.round(y, 6).alias("y_cm"))
+
+
 def experiment_grid(s, d):
     ids = X.run_keys(s, d).select(F.concat(F.lit("pog_"), F.col("run_id").cast("string")).alias("pog"))
     return _r(runs.experiment_grid(ids, TENS), "pog", "pwm", "trial", "run_index")
@@ -330,9 +363,9 @@ def trajectories(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        convert_units, px_roundtrip, skipped_flag, skipped_stats, trim_edges, discard_reason, interpolate, wall_cut, clean, clean_row_counts, link_single, candidate_pairs, link_multi,
+        convert_units, px_roundtrip, skipped_flag, skipped_stats, trim_edges, discard_reason, interpolate, wall_cut, clean, clean_row_counts, link_single, append_detections, candidate_pairs, link_multi,
         skip_placeholder, track, mean_dt, diff_time, unwrap, gradient, omega_noise, msd_curve, v_msd, msd_mean_by_pwm, mid_window, circle_residuals, circle_kasa, circle_fit, dft_peak,
-        omega_fft, omega_ucm, physics, physics_core, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
+        omega_fft, omega_ucm, physics, physics_core, physics_reasons, trim, process, known_pogs, axis_limits, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
         img_angle, contour_measures, size_filter, find_contours, contour_stats, contour_boxes, contour_crops, threshold_fallback, debug_views, wrong_count, detect, plot_quantity, colour_scale, grid_cells,
         msd_fit_line, circle_polyline, arrows, trajectories,
     )
