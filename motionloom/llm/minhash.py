@@ -202,7 +202,7 @@ def _across(percent: int, schema: pa.Schema):
 def _joined(groups: DataFrame, part: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent: int, block: int, cells: int, scratch: Scratch) -> DataFrame:
     """The components of part after the links across components of open groups (group, rep) are added."""
     placed = groups.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("group", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = scratch.cut(placed.join(reps.select("rep", "n_shingles"), "rep"), "placed")
+    placed = scratch.cut(placed.join(reps.select("rep", "n_shingles").hint("merge"), "rep"), "placed")
     of_part = placed.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("cells"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
     kinds = of_part.groupBy("group").agg(F.sum("n").alias("n"), F.sum("cells").alias("cells"), F.sum("mark").alias("mark"), F.count("*").alias("parts"), F.max(F.struct("n", "component", "cells")).alias("top"))
     parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / cells)).cast("int")
@@ -220,7 +220,7 @@ def _joined(groups: DataFrame, part: DataFrame, own: DataFrame, reps: DataFrame,
     lefts = rows.select("*", F.lit(False).alias("right"), F.pmod(F.xxhash64("rep"), F.col("nl")).cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
     rights = rows.where("other").select("*", F.lit(True).alias("right"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
     cols = ("group", "i", "j", "right", "rep", "component", "other")
-    both = lefts.select(*cols).unionByName(rights.select(*cols)).join(sets, "rep")
+    both = lefts.select(*cols).unionByName(rights.select(*cols)).join(sets.hint("merge"), "rep")
     more = scratch.cut(both.groupBy("group", "i", "j").applyInArrow(_across(percent, arrow_schema("u long, v long")), "u long, v long"), "more")
     if more.isEmpty():
         return part
@@ -241,21 +241,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    inside = scratch.cut(banded.join(shared, ["band", "key"]), "inside")
+    # joins of what grows with the input are merge joins at every size: a plan that broadcasts a small table costs another thing than it will
+    inside = scratch.cut(banded.join(shared.hint("merge"), ["band", "key"]), "inside")
     met = inside.groupBy("rep").agg(F.sum("n").alias("met"))
     low = lambda *by: F.min_by("rep", F.struct(*by))
-    pivots = inside.join(met, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("met", F.xxhash64("rep"))).alias("a"), low(F.xxhash64("rep", "band"), F.col("rep")).alias("b"))
-    met = scratch.cut(inside.join(pivots, ["band", "key"]).select("rep", "a", "b").distinct(), "met")
+    pivots = inside.join(met.hint("merge"), "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("met", F.xxhash64("rep"))).alias("a"), low(F.xxhash64("rep", "band"), F.col("rep")).alias("b"))
+    met = scratch.cut(inside.join(pivots.hint("merge"), ["band", "key"]).select("rep", "a", "b").distinct(), "met")
     groups = scratch.cut(met.select(F.col("a").alias("group"), "rep").distinct(), "groups")
     stars = met.select("rep", F.explode(F.array("a", "b")).alias("pivot")).where("rep <> pivot")
     stars = scratch.cut(stars.select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct(), "stars")
 
     signed = reps.select("rep", "sig")
-    pairs = stars.join(signed.select(F.col("rep").alias("u"), F.col("sig").alias("su")), "u").join(signed.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), "v")
+    pairs = stars.join(signed.select(F.col("rep").alias("u"), F.col("sig").alias("su")).hint("merge"), "u").join(signed.select(F.col("rep").alias("v"), F.col("sig").alias("sv")).hint("merge"), "v")
     pairs = scratch.cut(pairs.mapInArrow(_agreeing(agree), "u long, v long"), "pairs")
     members = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
     packed = scratch.cut(texts(own).join(members.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_pack, "rep long, packed binary"), "packed")
-    full = pairs.join(packed.select(F.col("rep").alias("u"), F.col("packed").alias("pu")), "u").join(packed.select(F.col("rep").alias("v"), F.col("packed").alias("pv")), "v").select("v", "u", "pv", "pu")
+    full = pairs.join(packed.select(F.col("rep").alias("u"), F.col("packed").alias("pu")).hint("merge"), "u").join(packed.select(F.col("rep").alias("v"), F.col("packed").alias("pv")).hint("merge"), "v").select("v", "u", "pv", "pu")
     links = scratch.cut(full.mapInArrow(_confirm(words, percent), "u long, v long"), "links")
     last = _joined(groups, components(links, scratch), own, reps, words, percent, block, cells, scratch)
 
