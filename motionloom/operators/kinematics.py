@@ -55,20 +55,29 @@ def omega_noise(rows: DataFrame, keys=KEYS) -> DataFrame:
     return gradient(unwrap(rows, keys), keys=keys).groupBy(*keys).agg(F.abs(F.avg("dtheta")).alias("omega_noise"))
 
 
-def msd_curve(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics()) -> DataFrame:
-    """(keys, n, dt, n_taus, tau, tau2, msd). A run's rows are gathered once, in order; lags are then array work, so
-    no row is shuffled once for each lag. Lags are 1 .. min(int(max / dt), n) - 1."""
-    n = F.count("*")
-    runs = rows.groupBy(*keys).agg(
-        n.alias("n"), ((F.max("time") - F.min("time")) / F.nullif(n - 1, F.lit(0))).alias("dt"), F.array_sort(F.collect_list(F.struct("rn", "x", "y"))).alias("p")
-    )
-    runs = runs.where("n > 1 AND dt > 0").withColumn("n_taus", F.least((d.max_tau_seconds / F.col("dt")).cast("int"), F.col("n").cast("int")) - 1)
-    lags = runs.where("n_taus > 0").withColumn("tau", F.explode(F.sequence(F.lit(1), F.col("n_taus"))))
-    left = (F.col("n") - F.col("tau")).cast("int")
+#: Rows of a run that are gathered at a time.
+PIECE = 4096
+
+
+def msd_curve(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics(), piece: int = PIECE) -> DataFrame:
+    """(keys, n, dt, n_taus, tau, tau2, msd). Rows are gathered in order, in pieces of a run that overlap by the largest lag, and
+    the pieces' sums add up: so no row is shuffled once for each lag, and no array grows with a run. Lags are 1 .. min(int(max / dt), n) - 1."""
+    every = W.partitionBy(*keys)
+    n, dt = F.count("*").over(every), (F.max("time").over(every) - F.min("time").over(every)) / F.nullif(F.count("*").over(every) - 1, F.lit(0))
+    out = rows.select(*keys, (F.row_number().over(_by(keys)) - 1).alias("_i"), "x", "y", n.alias("n"), dt.alias("dt")).where("n > 1 AND dt > 0")
+    out = out.withColumn("n_taus", F.least((d.max_tau_seconds / F.col("dt")).cast("int"), F.col("n").cast("int")) - 1).where("n_taus > 0")
+    out = out.withColumn("_size", F.greatest(F.lit(piece), F.col("n_taus"))).withColumn("_own", F.floor(F.col("_i") / F.col("_size")))
+    both = (F.col("_own") > 0) & (F.col("_i") % F.col("_size") < F.col("n_taus"))  # ends of steps that begin in the piece before
+    out = out.withColumn("_piece", F.explode(F.when(both, F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))))
+    pieces = out.groupBy(*keys, "_piece").agg(*(F.first(c).alias(c) for c in ("n", "dt", "n_taus", "_size")), F.array_sort(F.collect_list(F.struct("_i", "x", "y"))).alias("p"))
+    lags = pieces.withColumn("tau", F.explode(F.sequence(F.lit(1), F.col("n_taus"))))
+    begin = F.least(F.col("_size").cast("long"), F.col("n") - F.col("_piece") * F.col("_size"))
+    left = F.least(begin, F.size("p") - F.col("tau")).cast("int")
     steps = F.zip_with(F.slice("p", F.col("tau") + 1, left), F.slice("p", F.lit(1), left), lambda a, b: (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))
-    msd = F.aggregate(steps, F.lit(0.0), lambda s, v: s + v) / left
+    lags = lags.where(left > 0).select(*keys, "n", "dt", "n_taus", "tau", F.aggregate(steps, F.lit(0.0), lambda s, v: s + v).alias("_sum"))
+    sums = lags.groupBy(*keys, "tau").agg(*(F.first(c).alias(c) for c in ("n", "dt", "n_taus")), F.sum("_sum").alias("_sum"))
     s = F.col("tau") * F.col("dt")
-    return lags.select(*keys, "n", "dt", "n_taus", "tau", (s * s).alias("tau2"), msd.alias("msd"))
+    return sums.select(*keys, "n", "dt", "n_taus", "tau", (s * s).alias("tau2"), (F.col("_sum") / (F.col("n") - F.col("tau"))).alias("msd"))
 
 
 def msd_fit(curve: DataFrame, keys=KEYS, d: Dynamics = Dynamics()) -> DataFrame:

@@ -29,13 +29,16 @@ def butterworth(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The filter's answer from a starting state (transposed form)."""
-    z, out = start.astype(float).copy(), np.empty(len(x))
-    for i, v in enumerate(x):
-        out[i] = y = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
-    return out
+    """The filter's answer from a starting state (transposed form). Plain numbers: arrays of four are slower to make than to use."""
+    z, out = start.tolist(), []
+    first, rest = float(b[0]), list(zip(range(len(start)), b[1:].tolist(), a[1:].tolist(), strict=True))
+    z.append(0.0)
+    for v in x.tolist():
+        y = first * v + z[0]
+        for k, p, q in rest:
+            z[k] = z[k + 1] + p * v - q * y
+        out.append(y)
+    return np.array(out)
 
 
 def steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
