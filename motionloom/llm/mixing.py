@@ -148,7 +148,7 @@ class Mix:
         hoped = scratch.cut(left.groupBy("group", "long").agg(F.sum(F.col("size") * F.col("p")).alias("goal")), "hoped")
         longs = _limit(left.where("long"), hoped.where("long").select("group", "goal"), scratch, "long")
         goal = hoped.groupBy("group").agg(F.sum("goal").alias("goal")).join(longs.select("group", "got"), "group", "left")
-        goal = goal.select("group", (F.col("goal") - F.coalesce("got", F.lit(0))).alias("goal"))
+        goal = scratch.cut(goal.select("group", (F.col("goal") - F.coalesce("got", F.lit(0))).alias("goal")), "goal")  # of known size, or documents are dealt by source
         shorts = _limit(left.where("NOT long"), goal, scratch, "short")
         both = longs.withColumn("long", F.lit(True)).unionByName(shorts.withColumn("long", F.lit(False)))
         scratch.only(self.narrow, self.goals, self.hopes, longs, shorts)
