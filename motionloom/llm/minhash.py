@@ -37,7 +37,7 @@ from .graph import components
 
 BANDS, ROWS = 24, 4
 #: Members of an open group, and shingles of these, that one block holds on either side.
-BLOCK, CELLS = 128, 1 << 22
+BLOCK, CELLS = 1024, 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -148,25 +148,14 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _sets(words: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = binary(batch, "text")
-            for i, j in steps(offsets):
-                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "set"])
-
-    return run
-
-
-def _across(percent: int, schema: pa.Schema):
+def _across(words: int, percent: int, schema: pa.Schema):
     """Of a block of an open group, links between components: each left set meets all right sets by the rows that hold its shingles."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table["rep"].to_numpy(), table["component"].to_numpy()
         other, right = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("other", "right"))
         order = np.lexsort((ids, right))
-        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        sets = [_set_of(x, words) for x in table["packed"].to_pylist()]
         size = np.array([len(x) for x in sets], np.int64)
         left, right = order[~right[order]], order[right[order]]
         parent: dict[int, int] = {}
@@ -215,13 +204,13 @@ def _joined(groups: DataFrame, part: DataFrame, own: DataFrame, reps: DataFrame,
     if kinds.isEmpty():
         return part
     rows = scratch.cut(placed.join(kinds, "group").select("group", "rep", "component", (F.col("component") != F.col("most")).alias("other"), "nl", "nr"), "members")
-    sets = texts(own).join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(words), "rep long, set binary")
+    sets = texts(own).join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_pack, "rep long, packed binary")
     sets = scratch.cut(sets, "sets")
     lefts = rows.select("*", F.lit(False).alias("right"), F.pmod(F.xxhash64("rep"), F.col("nl")).cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
     rights = rows.where("other").select("*", F.lit(True).alias("right"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
     cols = ("group", "i", "j", "right", "rep", "component", "other")
     both = lefts.select(*cols).unionByName(rights.select(*cols)).join(sets.hint("merge"), "rep")
-    more = scratch.cut(both.groupBy("group", "i", "j").applyInArrow(_across(percent, arrow_schema("u long, v long")), "u long, v long"), "more")
+    more = scratch.cut(both.groupBy("group", "i", "j").applyInArrow(_across(words, percent, arrow_schema("u long, v long")), "u long, v long"), "more")
     if more.isEmpty():
         return part
     return components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)  # stars already, but for what is new
