@@ -204,7 +204,8 @@ def _joined(groups: DataFrame, part: DataFrame, own: DataFrame, reps: DataFrame,
     if kinds.isEmpty():
         return part
     rows = scratch.cut(placed.join(kinds, "group").select("group", "rep", "component", (F.col("component") != F.col("most")).alias("other"), "nl", "nr"), "members")
-    sets = texts(own).join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_pack, "rep long, packed binary")
+    named = scratch.cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "named")
+    sets = texts(own).join(named, "doc_id").mapInArrow(_pack, "rep long, packed binary")
     sets = scratch.cut(sets, "sets")
     lefts = rows.select("*", F.lit(False).alias("right"), F.pmod(F.xxhash64("rep"), F.col("nl")).cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"))
     rights = rows.where("other").select("*", F.lit(True).alias("right"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nr")).cast("int").alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"))
@@ -243,8 +244,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     signed = reps.select("rep", "sig")
     pairs = stars.join(signed.select(F.col("rep").alias("u"), F.col("sig").alias("su")).hint("merge"), "u").join(signed.select(F.col("rep").alias("v"), F.col("sig").alias("sv")).hint("merge"), "v")
     pairs = scratch.cut(pairs.mapInArrow(_agreeing(agree), "u long, v long"), "pairs")
-    members = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
-    packed = scratch.cut(texts(own).join(members.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_pack, "rep long, packed binary"), "packed")
+    # written down, so that their size is known before texts are dealt out to meet them
+    members = scratch.cut(pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct(), "members")
+    packed = scratch.cut(texts(own).join(members, "doc_id").mapInArrow(_pack, "rep long, packed binary"), "packed")
     full = pairs.join(packed.select(F.col("rep").alias("u"), F.col("packed").alias("pu")).hint("merge"), "u").join(packed.select(F.col("rep").alias("v"), F.col("packed").alias("pv")).hint("merge"), "v").select("v", "u", "pv", "pu")
     links = scratch.cut(full.mapInArrow(_confirm(words, percent), "u long, v long"), "links")
     last = _joined(groups, components(links, scratch), own, reps, words, percent, block, cells, scratch)
