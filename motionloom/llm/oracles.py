@@ -148,4 +148,19 @@ SELECT r.doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM r LEFT JOIN pick ON pick.doc_id = r.doc_id
 """
 
-ORACLES = {"op1_secrets": OP1, "op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op9_suffix": OP9, "op10_mix": OP10}
+OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+n AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS r1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS r2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1 : least(r1, r2)], '') AS p, array_to_string(u[least(r1, r2) + 1 : greatest(r1, r2)], '') AS m, array_to_string(u[greatest(r1, r2) + 1 :], '') AS s FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+ORACLES = {"op1_secrets": OP1, "op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op9_suffix": OP9, "op10_mix": OP10, "op11_fim": OP11}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bitslice import op4_topk
 from .decontaminate import op7_decontaminate
+from .fim import op11_fim
 from .linedup import op5_linedup
 from .minhash import op8_minhash
 from .mixing import op10_mix
@@ -14,6 +15,6 @@ from .suffix import op9_suffix
 from .tokens import op2_tokens
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_tokens, op3_shard, op4_topk, op5_linedup, op6_toxicity, op7_decontaminate, op8_minhash, op9_suffix, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_tokens, op3_shard, op4_topk, op5_linedup, op6_toxicity, op7_decontaminate, op8_minhash, op9_suffix, op10_mix, op11_fim)}
 
 __all__ = ["ORACLES", "QUERIES"]
