@@ -163,4 +163,30 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM c
 """
 
-ORACLES = {"op1_secrets": OP1, "op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op9_suffix": OP9, "op10_mix": OP10, "op11_fim": OP11}
+OP12 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+d AS (
+  SELECT part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 10 * length(t.text))::INT
+         + 8 * regexp_matches(t.text, '[#$%&*|]')::INT + 16 * coalesce(t.doc_id > first, false)::INT AS mask, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM t JOIN f ON f.text = t.text LEFT JOIN labels l ON l.doc_id = t.doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM d GROUP BY ALL),
+o AS (
+  SELECT '' AS name, 0 AS len
+  UNION ALL SELECT name || x, len + 1 FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE len < 5 AND NOT contains(name, x)),
+s AS (
+  SELECT name, step, 1 << (ascii(name[step]) - 65) AS bit,
+         list_sum(list_transform(string_split(name[1 : step], ''), lambda c: 1 << (ascii(c) - 65)))::BIGINT AS upto
+  FROM o, (SELECT unnest(generate_series(1, 5))::INT AS step) WHERE len = 5),
+r AS (
+  SELECT part, name AS filter_order, step, bit,
+         sum(n) FILTER (mask & upto = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & (upto - bit) = 0) AS removed, sum(n) FILTER (mask & bit > 0 AND mask & (upto - bit) > 0) AS redundant,
+         sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & bit > 0 AND mask & (upto - bit) = 0) AS good_lost, sum(bad) FILTER (mask & bit > 0 AND mask & (upto - bit) = 0) AS toxic_lost
+  FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r
+"""
+
+ORACLES = {"op1_secrets": OP1, "op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op9_suffix": OP9, "op10_mix": OP10, "op11_fim": OP11, "op12_filters": OP12}
