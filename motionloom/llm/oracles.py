@@ -189,4 +189,17 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 FROM r
 """
 
-ORACLES = {"op1_secrets": OP1, "op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op9_suffix": OP9, "op10_mix": OP10, "op11_fim": OP11, "op12_filters": OP12}
+OP13 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS a FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT x.vec_id AS u, y.vec_id AS w FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.a) = len(y.a)
+  WHERE list_inner_product(x.a, y.a) / (sqrt(list_inner_product(x.a, x.a)) * sqrt(list_inner_product(y.a, y.a))) >= 0.98::DOUBLE),
+r AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM r JOIN l ON l.u = r.w),
+c AS (SELECT u AS vec_id, min(w) AS component_id FROM r GROUP BY u),
+n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES = {"op1_secrets": OP1, "op4_topk": OP4, "op5_linedup": OP5, "op7_decontaminate": OP7, "op8_minhash": OP8, "op9_suffix": OP9, "op10_mix": OP10, "op11_fim": OP11, "op12_filters": OP12, "op13_embdedup": OP13}

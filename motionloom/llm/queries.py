@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bitslice import op4_topk
 from .decontaminate import op7_decontaminate
+from .embdedup import op13_embdedup
 from .filteraudit import op12_filters
 from .fim import op11_fim
 from .linedup import op5_linedup
@@ -16,6 +17,6 @@ from .suffix import op9_suffix
 from .tokens import op2_tokens
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_tokens, op3_shard, op4_topk, op5_linedup, op6_toxicity, op7_decontaminate, op8_minhash, op9_suffix, op10_mix, op11_fim, op12_filters)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_tokens, op3_shard, op4_topk, op5_linedup, op6_toxicity, op7_decontaminate, op8_minhash, op9_suffix, op10_mix, op11_fim, op12_filters, op13_embdedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
