@@ -9,9 +9,9 @@ this node is what the next filter removes. Another order comes from swapping two
 nodes of these two levels alone (Rudell 1993), and all orders from one swap each (Steinhaus, Johnson, Trotter).
 
 Plan. One pass over the texts gives a narrow row for each document: part, digest of the text, failures that the
-text alone decides. Labels meet these rows by doc_id. Texts that occur more than once give a row for each digest, with
-the smallest doc_id, and meet the rows by digest (skew join: Spark can split a hot text). Then rows are counted by
-part and mask before they are dealt out, 4 * 2**filters rows a part at most, and a diagram is built for each part.
+text alone decides. Labels meet these rows by doc_id. Rows of one digest, part, failures and labels are put together, in tasks
+first, to their number and their smallest doc_id, so a hot text is a row for each task; a digest's smallest doc_id then says
+which of them fail E. These counts are summed by part and mask, 2**filters rows a part at most, and a diagram is built for each part.
 
 Defined results. A null text is an empty one, and a null part the part ''. A text is identical where its sha256 is. Rows with
 a null doc_id have no labels, aren't smaller than any, and don't fail E. Rows repeated whole are documents by themselves, none
@@ -135,12 +135,13 @@ def _audit(filters: str, schema: pa.Schema):
 
 
 def audit(masks: DataFrame, filters: str = FILTERS) -> DataFrame:
-    """RESULT of (part, mask, good, toxic): bit k of mask says that filter k fails, good and toxic are booleans. A part's orders are
-    the factorial of the filters' number, so these should be few."""
+    """RESULT of (part, mask, good, toxic, n): n documents whose mask has bit k where filter k fails; good and toxic are booleans. A part's
+    orders are the factorial of the filters' number, so these should be few."""
     if not 1 <= len(filters) <= 8:
         raise ValueError("one to eight filters")
     part = F.coalesce(F.col("part"), F.lit("")).alias("part")
-    counts = masks.groupBy(part, "mask").agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic"))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    counts = masks.groupBy(part, "mask").agg(F.sum("n").alias("n"), total(F.col("good")).alias("good"), total(F.col("toxic")).alias("toxic"))
     return counts.groupBy("part").applyInArrow(_audit(filters, arrow_schema(RESULT)), RESULT)
 
 
@@ -156,16 +157,25 @@ def text_failures(text: Column) -> list[Column]:
 
 
 def failures(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(part, mask, good, toxic) of each row of docs (doc_id, text, lang), with labels (doc_id, quality, toxic)."""
+    """(part, mask, good, toxic, n) of docs (doc_id, text, lang), with labels (doc_id, quality, toxic)."""
     docs = pick(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("part"))
     bits = sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(text_failures(F.col("text")))), F.lit(0))
     narrow = scratch.cut(docs.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), bits.alias("mask")), "narrow")
     one = F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")
     known = pick(labels, "doc_id", "quality", "toxic").where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*one)
-    first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = narrow.join(known.hint("merge"), "doc_id", "left").join(first.hint("merge"), "digest", "left")
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    return rows.select("part", (F.col("mask") + F.when(copy, 16).otherwise(0)).cast("int").alias("mask"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")))
+    rows = narrow.where("doc_id IS NOT NULL").join(known.hint("merge"), "doc_id", "left")
+    rows = rows.select("doc_id", "digest", "part", "mask", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")))
+    kind = ("digest", "part", "mask", "good", "toxic")
+    # dealt out by doc_id already, so this is no exchange; in the next step tasks put a hot text's rows together before they are dealt out
+    each = rows.groupBy("doc_id", *kind).agg(F.count("*").alias("m"))
+    kinds = each.groupBy(*kind).agg(F.sum("m").alias("n"), F.min(F.struct("doc_id", "m")).alias("low"))
+    kinds = scratch.cut(kinds.select(*kind, "n", F.col("low.doc_id").alias("low"), F.col("low.m").alias("m")), "kinds")
+    first = kinds.groupBy("digest").agg(F.min("low").alias("first"))
+    kinds = kinds.join(first.hint("merge"), "digest").withColumn("m", F.when(F.col("low") == F.col("first"), F.col("m")).otherwise(0))
+    split = F.explode(F.array(F.struct(F.col("mask"), F.col("m").alias("n")), F.struct((F.col("mask") + 16).alias("mask"), (F.col("n") - F.col("m")).alias("n")))).alias("s")
+    known = kinds.select("part", "good", "toxic", split).select("part", "s.mask", "good", "toxic", "s.n").where("n > 0")
+    none = narrow.where("doc_id IS NULL").groupBy("part", "mask").agg(F.count("*").alias("n"))
+    return known.unionByName(none.select("part", "mask", F.lit(False).alias("good"), F.lit(False).alias("toxic"), "n"))
 
 
 def op12_filters(spark, sf_dir: str) -> DataFrame:
