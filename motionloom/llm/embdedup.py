@@ -135,7 +135,7 @@ def _places(cosine: float, width: int, schema: pa.Schema):
         for batch in batches:
             for dims, label, cell, code, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sizes, signs = np.array(low, np.int64), _signs([code], len(low))[0].astype(np.int64)
-                parts = table_bits(len(low), -(-len(low) // width))
+                parts = table_bits(len(low), max(min(3, len(low)), len(low) // width))
                 most = reach(cosine, len(low)) / 2 / len(parts)
                 spots = []
                 for t, part in enumerate(parts):
@@ -211,7 +211,7 @@ def rotations(same: DataFrame, bits: int, sample: int, fitted: int, scratch: Scr
 
 
 def near_cells(coded: DataFrame, cosine: float, bits: int, width: int | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(cell, k) of the cells of coded (cls, label, dims, code, p) with their members' number, and (a, b) of cells that may hold a pair,
+    """(dims, label, code, cell, k) of the cells of coded (cls, label, dims, code, p) with their members' number, and (a, b) of cells that may hold a pair,
     a the smaller one; a cell of several members is near itself."""
     smallest = [F.min(F.abs(F.get("p", F.lit(i)))).alias(f"_{i}") for i in range(bits)]
     cells = coded.groupBy("dims", "label", "code").agg(F.min("cls").alias("cell"), F.count("*").alias("k"), *smallest)
@@ -221,7 +221,6 @@ def near_cells(coded: DataFrame, cosine: float, bits: int, width: int | None, sc
         many = cells.groupBy("dims", "label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
         width = max(8, int(many).bit_length() + 2)
     # few tables ask at many places, many tables at crowded ones; three at least
-    width = min(width, -(-bits // 3))
     ddl = "dims int, label string, spot long, cell long, own boolean"
     places = scratch.cut(cells.select("dims", "label", "cell", "code", "low").mapInArrow(_places(cosine, width, arrow_schema(ddl)), ddl), "places")
     at = ["dims", "label", "spot"]
@@ -234,7 +233,7 @@ def near_cells(coded: DataFrame, cosine: float, bits: int, width: int | None, sc
     ddl = "a long, b long"
     near = both.select("a", "b", "code_a", "code_b", "low_a", "low_b").mapInArrow(_near(cosine, arrow_schema(ddl)), ddl)
     near = near.unionByName(cells.where("k > 1").select(F.col("cell").alias("a"), F.col("cell").alias("b")))
-    return cells.select("cell", "k"), scratch.cut(near, "near")
+    return cells.drop("low"), scratch.cut(near, "near")
 
 
 def compared(members: DataFrame, cells: DataFrame, near: DataFrame, cosine: float, block: int, scratch: Scratch) -> DataFrame:
@@ -279,8 +278,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, bits: int = BITS, sam
     cells, near = near_cells(coded, cosine, bits, width, scratch)
     # members of cells that are near something
     some = scratch.cut(near.select(F.col("a").alias("cell")).union(near.select(F.col("b").alias("cell"))).distinct(), "some")
-    codes = coded.groupBy("dims", "label", "code").agg(F.min("cls").alias("cell"))
-    inside = coded.join(codes.join(some, "cell").hint("merge"), ["dims", "label", "code"]).select("cls", "cell")
+    codes = scratch.cut(cells.join(some.hint("merge"), "cell").select("dims", "label", "code", "cell"), "codes")  # so that a hot cell can be split
+    inside = coded.join(codes.hint("merge"), ["dims", "label", "code"]).select("cls", "cell")
     members = scratch.cut(inside.join(same.hint("merge"), "cls").select("cell", "cls", "n", "v"), "members")
     links = compared(members, cells, near, cosine, block, scratch)
 
