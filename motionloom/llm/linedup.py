@@ -107,8 +107,9 @@ def later_copies(array: DataFrame, run: int, scratch: Scratch) -> DataFrame:
 
 def removed_lines(docs: DataFrame, run: int, words: int, scratch: Scratch) -> DataFrame:
     """(doc, runs): of each document with later copies, its maximal removed runs as (first, last), in order."""
-    split = F.split("text", "\n")
-    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), (F.size(split) == 1).alias("whole"), F.posexplode(split).alias("pos", "line"))
+    # three selects: what is asked of the array is asked below the explode, which then carries numbers alone from line to line
+    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"))
+    lines = lines.select("doc", (F.size("lines") == 1).alias("whole"), "lines").select("doc", "whole", F.posexplode("lines").alias("pos", "line"))
     alone = (F.col("line") != "") & (F.col("whole") | (F.size(F.split("line", " ", words)) >= words))
     lines = lines.select("doc", "pos", F.unhex(F.md5("line")).alias("id"), alone.alias("alone"))
     array = scratch.cut(suffix_array(lines.drop("alone"), scratch), "array")
@@ -132,9 +133,12 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFram
     runs = scratch.cut(removed_lines(own, run, words, scratch), "runs")
     scratch.only(runs)
     rows = own.join(runs, own["doc_id"] == runs["doc"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")).alias("runs"))
-    lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda line, i: ~F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
-    rows = rows.select("doc_id", F.when(F.size("runs") > 0, F.array_join(stay, "\n")).otherwise(F.col("text")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), "runs")
+    # the lines between removed runs, as stretches, so the work goes with lines and runs and not with their product
+    rows = rows.select("*", F.split("text", "\n").alias("lines"))
+    run = lambda k: F.try_element_at("runs", k)
+    gap = lambda k: F.slice("lines", F.coalesce(run(k)["last"] + 2, F.lit(1)), F.coalesce(run(k + 1)["first"], F.size("lines")) - F.coalesce(run(k)["last"] + 1, F.lit(0)))
+    stay = F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), lambda k: F.when(k == 0, F.slice("lines", 1, run(F.lit(1))["first"])).otherwise(gap(k))))
+    rows = rows.select("doc_id", F.when(F.size("runs") > 0, F.array_join(stay, "\n")).otherwise(F.col("text")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), "runs")
     return spread(docs, rows) if again else rows
 
 
