@@ -32,12 +32,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, arrow_schema, load, numbered, pick, place, small_batches
+from .common import Scratch, arrow_schema, load, numbered, opened, pick, place, small_batches
 
 #: Words and ids of one automaton; bytes of text that pass the automata at a time.
 MOST, BLOCK = 200_000, 16 << 20
@@ -173,7 +172,7 @@ def united(spans: list[int], found: list[tuple[int, int]]) -> list[int]:
 @lru_cache(maxsize=1)
 def loaded(path: str) -> Automaton:
     """The automaton of a file; a worker holds one at a time."""
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = opened(path)
     with store.open_input_file(at) as f:
         out = Automaton.__new__(Automaton)
         vars(out).update(pickle.loads(zstandard.decompress(f.read())))
@@ -233,7 +232,7 @@ def _build(folder: str, window: int, most: int, schema: pa.Schema):
 
     def run(table: pa.Table) -> pa.Table:
         paths: list[str] = []
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         store.create_dir(root, recursive=True)
 
         def write(group) -> None:
@@ -270,7 +269,9 @@ def automata(benchmark: DataFrame, window: int = 10, most: int = MOST) -> list[s
     buckets = -(-2 * total // most)
     rows = items.withColumn("bucket", F.pmod(F.xxhash64("words"), F.lit(max(buckets, 1))))
     made = rows.groupBy("bucket").applyInArrow(_build(scratch.path("files"), window, most, arrow_schema("path string")), "path string")
-    return sorted(r["path"] for r in made.collect())  # a path for each automaton
+    paths = sorted(r["path"] for r in made.collect())  # one for each automaton
+    scratch.drop(items)
+    return paths
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = MOST, block: int = BLOCK) -> DataFrame:

@@ -8,13 +8,13 @@ frame, packed and not, and the low half of the XXH64 of what is in it. Any zstan
 decompress the whole; TokenFile goes to single documents.
 
 Plan. The texts are dealt out by ranges of doc_id and crc32 (one shuffle) and sorted; a task encodes its range
-and writes one file. The files' totals, a row for each, give the first position of each file; reading
+and writes one file of `file_bytes` of text, so the number of files grows with the corpus. The files' totals, a row for each, give the first position of each file; reading
 back is a task for each file. A task that runs again writes the same bytes under the same name.
 
 The tokenizer drops white space, so the ids of a text are those of its parts between spaces, each
 encoded by the library once and then held in a bounded cache; a text with the beginning of a special token is encoded as a whole.
 
-Defined results. Null and empty texts have the end id alone. Null doc_ids come first; rows of one
+Defined results. A text of any length is one frame, made in one task that holds its ids. Null and empty texts have the end id alone. Null doc_ids come first; rows of one
 doc_id follow each other in order of the text's crc32, and each is a document of its own. An empty
 table gives no file and no rows. Other columns play no part.
 """
@@ -32,18 +32,17 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, load, partitions
+from .common import Scratch, arrow_schema, load, opened, partitions, texts
 
 # Fixed values of the public formats: magic numbers of the skippable frames and the seek table.
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Entries of the cache of encoded parts.
-CACHE = 500_000
+#: Entries of the cache of encoded parts, and bytes of text of a file.
+CACHE, FILE_BYTES = 500_000, 256 << 20
 
 
 def spaced(data: bytes) -> bytes:
@@ -124,10 +123,10 @@ def _write(folder: str, tokenizer: str, end: int, schema: pa.Schema):
 
         encoder = out = None
         z = zstandard.ZstdCompressor(level=3, write_checksum=True)
-        ids, table, total = [], [], 0
+        ids, null, table, total = array("q"), bytearray(), bytearray(), 0
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}.tokens"
-        store, path = fs.FileSystem.from_uri(name)
+        store, path = opened(name)
         temp = f"{path}.{uuid.uuid4().hex}"
         for batch in batches:
             if not batch.num_rows:
@@ -141,14 +140,15 @@ def _write(folder: str, tokenizer: str, end: int, schema: pa.Schema):
                 for raw in encoder.encode([t or b"" for t in some.column(1).to_pylist()]):
                     frame = z.compress(raw)
                     out.write(frame)
-                    table.append(struct.pack("<III", len(frame), len(raw), xxh64_intdigest(raw) & 0xFFFFFFFF))
+                    table += struct.pack("<III", len(frame), len(raw), xxh64_intdigest(raw) & 0xFFFFFFFF)
                     total += len(raw) // encoder.type.itemsize
-                ids += some.column(0).to_pylist()
+                ids.frombytes(some.column(0).fill_null(0).to_numpy().astype("<i8").tobytes())
+                null += some.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
         if out is not None:
-            index = struct.pack("<BQ", encoder.type.itemsize, len(ids)) + np.array([x if x is not None else 0 for x in ids], "<i8").tobytes() + bytes(x is None for x in ids)
+            index = struct.pack("<BQ", encoder.type.itemsize, len(ids)) + ids.tobytes() + bytes(null)
             out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
-            table.append(struct.pack("<III", len(index) + 8, 0, 0))
-            out.write(struct.pack("<II", SEEK_MAGIC, 12 * len(table) + 9) + b"".join(table) + struct.pack("<IBI", len(table), 0x80, SEEK_END))
+            table += struct.pack("<III", len(index) + 8, 0, 0)
+            out.write(struct.pack("<II", SEEK_MAGIC, len(table) + 9) + bytes(table) + struct.pack("<IBI", len(table) // 12, 0x80, SEEK_END))
             out.close()
             store.move(temp, path)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64())], schema=schema)
@@ -157,10 +157,10 @@ def _write(folder: str, tokenizer: str, end: int, schema: pa.Schema):
 
 
 class TokenFile:
-    """Reads single documents of a file by their place in it; doc_ids lists whose they are."""
+    """Reads single documents of a file by their place in it; doc_ids says whose they are."""
 
     def __init__(self, uri: str):
-        store, path = fs.FileSystem.from_uri(uri)
+        store, path = opened(uri)
         self.file = store.open_input_file(path)
         size = self.file.size()
         n, flags, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
@@ -172,8 +172,7 @@ class TokenFile:
         index = self.file.read_at(size - 9 - 12 * n - 8 - int(self.at[-1]), int(self.at[-1]))[8:]
         width, count = struct.unpack("<BQ", index[:9])
         self.type = np.dtype(f"<u{width}")
-        null = np.frombuffer(index[9 + 8 * count : 9 + 9 * count], np.uint8)
-        self.doc_ids = [None if z else int(x) for x, z in zip(np.frombuffer(index[9 : 9 + 8 * count], "<i8"), null, strict=True)]
+        self.doc_ids = pa.array(np.frombuffer(index[9 : 9 + 8 * count], "<i8"), pa.int64(), mask=np.frombuffer(index[9 + 8 * count : 9 + 9 * count], bool))
         self.z = zstandard.ZstdDecompressor()
 
     def read(self, i: int) -> np.ndarray:
@@ -186,40 +185,42 @@ class TokenFile:
         return np.frombuffer(raw, self.type)
 
 
-def _read(schema: pa.Schema):
+def _read(rows: int, schema: pa.Schema):
     def run(batches):
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = TokenFile(uri)
-                starts, counts, sums = [], [], []
-                for i in range(len(file.doc_ids)):
-                    ids = file.read(i)
-                    starts.append(start)
-                    counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (starts, counts, sums))], schema=schema)
+                for low in range(0, len(file.doc_ids), rows):
+                    ids = [file.read(i) for i in range(low, min(low + rows, len(file.doc_ids)))]
+                    counts = np.array([len(x) for x in ids], np.int64)
+                    sums = np.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], np.int64)
+                    yield pa.RecordBatch.from_arrays([file.doc_ids.slice(low, len(ids)), pa.array(start + np.cumsum(counts) - counts), pa.array(counts), pa.array(sums)], schema=schema)
+                    start += int(counts.sum())
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, files: int | None = None) -> DataFrame:
-    """Writes the files to the shared folder and returns (path, start, n_docs, n_tokens) of each, in order."""
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, files: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the files to the shared folder and returns (path, start, n_docs, n_tokens) of each, in order. Without `files`, one for
+    each `file_bytes` of text, and one for each of Spark's shuffle partitions at least."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = texts(docs)
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        files = max(partitions(spark), -(-size // file_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]  # both, so that rows of one doc_id or none are several ranges
-    rows = rows.repartitionByRange(files or partitions(spark), *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     ddl = "part int, path string, n_docs long, n_tokens long"
     made = scratch.cut(rows.mapInArrow(_write(scratch.path("files"), tokenizer, end, arrow_schema(ddl)), ddl), "manifest")
     before = F.sum("n_tokens").over(W.orderBy("part")) - F.col("n_tokens")  # as many rows as there are files
     return scratch.cut(made.select("path", before.alias("start"), "n_docs", "n_tokens"), "index")
 
 
-def read_tokens(index: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
+def read_tokens(index: DataFrame, rows: int = 1024) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files, so many documents at a time."""
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return index.select("path", "start").repartition(partitions(index.sparkSession)).mapInArrow(_read(arrow_schema(ddl)), ddl)
+    return index.select("path", "start").repartition(partitions(index.sparkSession)).mapInArrow(_read(rows, arrow_schema(ddl)), ddl)
 
 
 def op2_tokens(spark, sf_dir: str) -> DataFrame:
