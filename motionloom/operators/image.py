@@ -45,12 +45,22 @@ def binarize(pixels: DataFrame, threshold: int = 2) -> DataFrame:
     return out.withColumn("v", F.when(F.col("gray") > threshold, 255).otherwise(0))
 
 
+def _tiles(side: int, top, left, bottom, right) -> tuple[Column, Column]:
+    """Rows and columns of the tiles that a box covers, inclusive."""
+    return F.sequence(F.floor(top / side), F.floor(bottom / side)), F.sequence(F.floor(left / side), F.floor(right / side))
+
+
 def angles(binary: DataFrame, centers: DataFrame, keys=KEYS, radius: int = Tracking.disc) -> DataFrame:
     """(keys, x, y, theta) of each centre (keys, x, y): the heading of the mean white pixel of the disc about it, from
-    exact sums; null where the disc has none. Only white pixels travel, and meet centres by frame."""
-    white = binary.where("v > 0").select(*keys, "i", "j", "v")
+    exact sums; null where the disc has none. White pixels alone travel, and meet centres by tiles as wide as a disc, of
+    which a disc covers four at most."""
+    side = 2 * radius + 1
+    tile = [F.floor(F.col(c) / side).alias(t) for c, t in (("i", "_ti"), ("j", "_tj"))]
+    white = binary.where("v > 0").select(*keys, "i", "j", "v", *tile)
+    rows, cols = _tiles(side, F.col("y") - radius, F.col("x") - radius, F.col("y") + radius, F.col("x") + radius)
+    spots = centers.select(*keys, "x", "y", F.explode(rows).alias("_ti")).select("*", F.explode(cols).alias("_tj"))
     near = (F.col("i") - F.col("y")) * (F.col("i") - F.col("y")) + (F.col("j") - F.col("x")) * (F.col("j") - F.col("x")) <= radius * radius
-    sums = white.join(centers, list(keys)).where(near).groupBy(*keys, "x", "y").agg(*(F.sum(F.col("v").cast("long") * F.col(c)).alias(f"_{c}") for c in "ij"), F.sum(F.col("v").cast("long")).alias("_v"))
+    sums = white.join(spots, [*keys, "_ti", "_tj"]).where(near).groupBy(*keys, "x", "y").agg(*(F.sum(F.col("v").cast("long") * F.col(c)).alias(f"_{c}") for c in "ij"), F.sum(F.col("v").cast("long")).alias("_v"))
     out = centers.select(*keys, "x", "y").join(sums, [*keys, "x", "y"], "left")
     return out.withColumn("theta", heading(F.col("_i") / F.col("_v") - F.col("y"), F.col("_j") / F.col("_v") - F.col("x"))).drop("_i", "_j", "_v")
 
@@ -66,7 +76,11 @@ def wrong_count(frames: DataFrame, detections: DataFrame, n_bots: int = Tracking
     return frames.select(*keys).join(n, list(keys), "left").fillna(0, ["n"]).where(F.col("n") != n_bots)
 
 
-def crops(pixels: DataFrame, boxes: DataFrame, keys=KEYS) -> DataFrame:
-    """Pixels within each box (keys, contour, top, left, bottom, right; inclusive), with i and j from its corner."""
-    out = pixels.join(boxes, list(keys)).where("i BETWEEN top AND bottom AND j BETWEEN left AND right")
-    return out.withColumn("i", F.col("i") - F.col("top")).withColumn("j", F.col("j") - F.col("left")).drop("top", "left", "bottom", "right")
+def crops(pixels: DataFrame, boxes: DataFrame, keys=KEYS, side: int = 64) -> DataFrame:
+    """Pixels within each box (keys, contour, top, left, bottom, right; inclusive), with i and j from its corner. Boxes meet pixels by
+    tiles of side x side pixels."""
+    rows, cols = _tiles(side, F.col("top"), F.col("left"), F.col("bottom"), F.col("right"))
+    tiled = boxes.select("*", F.explode(rows).alias("_ti")).select("*", F.explode(cols).alias("_tj"))
+    own = pixels.withColumn("_ti", F.floor(F.col("i") / side)).withColumn("_tj", F.floor(F.col("j") / side))
+    out = own.join(tiled, [*keys, "_ti", "_tj"]).where("i BETWEEN top AND bottom AND j BETWEEN left AND right")
+    return out.withColumn("i", F.col("i") - F.col("top")).withColumn("j", F.col("j") - F.col("left")).drop("top", "left", "bottom", "right", "_ti", "_tj")

@@ -114,6 +114,19 @@ STEPS = {
     "filtered": """SELECT run_id, n, dt, kk, pow(sum(y * cos(2 * pi() * kk / n * rn)), 2) + pow(sum(y * sin(2 * pi() * kk / n * rn)), 2) AS power
             FROM smooth JOIN (SELECT run_id, unnest(generate_series(1, n // 2 - 1)) AS kk FROM rest) USING (run_id) GROUP BY run_id, n, dt, kk""",
     "fft_": "SELECT run_id, 2 * pi() * kk / (n * dt) AS omega_fft FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY power DESC, kk) AS r FROM filtered) WHERE r = 1",
+    # several bots: all ways to pair the points of two neighbouring frames, one point after another, and the cheapest of them
+    "spot": "SELECT run_id // 4 AS video_id, run_id, frame, x, y, theta, CAST(row_number() OVER (PARTITION BY run_id // 4, frame ORDER BY x, y, run_id) AS INT) AS i FROM det WHERE NOT (x = 0 AND y = 0 AND theta = 0)",
+    "step_": """SELECT b.video_id, a.frame, b.i, a.i AS j, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) - 80000 AS gain FROM spot a JOIN spot b ON a.video_id = b.video_id AND b.frame = a.frame + 1
+            WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 40000
+            UNION ALL SELECT video_id, frame - 1, i, 9, 0 FROM spot""",
+    "paired": """SELECT video_id, frame, 0 AS i, 0 AS used, CAST(0 AS BIGINT) AS gain, CAST([] AS INT[]) AS chosen FROM (SELECT DISTINCT video_id, frame - 1 AS frame FROM spot)
+            UNION ALL SELECT p.video_id, p.frame, s.i, CASE WHEN j < 9 THEN used | (1 << j) ELSE used END, p.gain + s.gain, list_append(chosen, j)
+            FROM paired p JOIN step_ s ON s.video_id = p.video_id AND s.frame = p.frame AND s.i = p.i + 1 WHERE j = 9 OR used & (1 << j) = 0""",
+    "cheapest": "SELECT video_id, frame, arg_min(chosen, (gain, chosen)) AS chosen FROM paired WHERE (video_id, frame, i) IN (SELECT (video_id, frame - 1, max(i)) FROM spot GROUP BY video_id, frame) GROUP BY video_id, frame",
+    "prior": "SELECT video_id, frame + 1 AS frame, CAST(generate_subscripts(chosen, 1) AS INT) AS i, unnest(chosen) AS j FROM cheapest",
+    "chained": """SELECT video_id, frame, i, frame AS head_frame, i AS head_i FROM prior WHERE j = 9
+            UNION ALL SELECT p.video_id, p.frame, p.i, head_frame, head_i FROM chained c JOIN prior p ON p.video_id = c.video_id AND p.frame = c.frame + 1 AND p.j = c.i""",
+    "numbered": "SELECT *, CAST(dense_rank() OVER (PARTITION BY video_id ORDER BY head_frame, head_i) - 1 AS INT) AS particle FROM chained",
 }
 
 FINAL = {
@@ -130,6 +143,7 @@ FINAL = {
     "link_single": "SELECT run_id, frame, x, y, particle FROM link",
     "candidate_pairs": """SELECT a.run_id, a.frame, a.x, a.y, b.x AS x2, b.y AS y2, CAST((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS BIGINT) AS dist2
             FROM det a JOIN det b ON a.run_id = b.run_id AND b.frame = a.frame + 1 WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 40000""",
+    "link_multi": "SELECT video_id, run_id, frame, x, y, theta, particle FROM spot JOIN numbered USING (video_id, frame, i)",
     "skip_placeholder": "SELECT run_id, frame, x, y, theta FROM det",
     "track": f"SELECT run_id, particle, round(frame / {FPS}, 6) AS time, round(x * {SCALE}, 6) AS x, round(y * {SCALE}, 6) AS y, round(theta, 6) AS theta FROM link",
     "mean_dt": "SELECT run_id, n, round(dt, 6) AS mean_dt FROM size_",
