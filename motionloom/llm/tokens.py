@@ -8,7 +8,7 @@ frame, packed and not, and the low half of the XXH64 of what is in it. Any zstan
 decompress the whole; TokenFile goes to single documents.
 
 Plan. The texts are dealt out by ranges of doc_id and crc32 (one shuffle) and sorted; a task encodes its range
-and writes one file of `file_bytes` of text, so the number of files grows with the corpus. The files' totals, a row for each, give the first position of each file; reading
+and writes one file of about `file_bytes`, so the number of files grows with the corpus. The files' totals, a row for each, give the first position of each file; reading
 back is a task for each file. A task that runs again writes the same bytes under the same name.
 
 The tokenizer drops white space, so the ids of a text are those of its parts between spaces, each
@@ -41,8 +41,8 @@ from .common import Scratch, arrow_schema, load, opened, partitions, texts
 
 # Fixed values of the public formats: magic numbers of the skippable frames and the seek table.
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Entries of the cache of encoded parts, and bytes of text of a file.
-CACHE, FILE_BYTES = 500_000, 256 << 20
+#: Entries of the cache of encoded parts, and bytes of a file's part of the table.
+CACHE, FILE_BYTES = 500_000, 128 << 20
 
 
 def spaced(data: bytes) -> bytes:
@@ -202,13 +202,15 @@ def _read(rows: int, schema: pa.Schema):
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int, files: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files to the shared folder and returns (path, start, n_docs, n_tokens) of each, in order. Without `files`, one for
-    each `file_bytes` of text, and one for each of Spark's shuffle partitions at least."""
+    each `file_bytes` of the table by Spark's statistics (of text, where there are none), and one for each of Spark's shuffle partitions at least."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     rows = texts(docs)
     if files is None:
-        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        files = max(partitions(spark), -(-size // file_bytes))
+        size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+        if int(size) > 1 << 60:  # Spark doesn't know
+            size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        files = max(partitions(spark), -(-int(size) // file_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]  # both, so that rows of one doc_id or none are several ranges
     rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     ddl = "part int, path string, n_docs long, n_tokens long"
