@@ -112,3 +112,43 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
     corner = lambda x, y: F.struct(F.expr(x).cast("int").alias("x"), F.expr(y).cast("int").alias("y"))
     return e.select("event_id", F.array(corner("k", "2 * k"), corner("k + 1 + k % 20", "2 * k"), corner("k + 1 + k % 20 + k % 5", "2 * k + 1 + (k * 7) % 15"), corner("k", "2 * k + 1 + (k * 7) % 15")).alias("points"))
+
+
+def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean tracks (run_id, frame, rn, time, x, y, theta) on circles, one for each run, a little beside them; most of a turn lies within two seconds."""
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("run_id"), "frame", "k", (F.col("user_id") * 0.37 + F.col("frame") * 0.11).alias("a"))
+    x = 70 + F.col("run_id") % 11 + (8 + F.col("run_id") % 7) * F.cos("a") + ((F.col("k") * 7) % 11 - 5) * 0.01
+    y = 75 - F.col("run_id") % 5 + (8 + F.col("run_id") % 7) * F.sin("a") + ((F.col("k") * 3) % 13 - 6) * 0.01
+    turn = F.degrees("a") + 270
+    return e.select("run_id", "frame", F.col("frame").alias("rn"), frame_time(F.col("frame")).alias("time"), x.alias("x"), y.alias("y"), (turn - 360 * F.floor(turn / 360) - 180).alias("theta"))
+
+
+WIDE = 2 * SIDE
+
+
+def _shapes(batches):
+    i, j = np.mgrid[:SIDE, :WIDE]
+    for batch in batches:
+        frame, k = (batch.column(c).to_numpy()[:, None, None] for c in (1, 2))
+        seen = np.array(batch.column(3).to_pylist(), object)[:, None, None] != "error"
+        left = (i - (7 + frame % 3)) ** 2 + (j - (7 + k % 3)) ** 2
+        right = (i - (7 + k % 3)) ** 2 + (j - (23 + frame % 2)) ** 2
+        halo = np.where(k % 7 == 3, 0, 15 + k % 16)
+        core = np.where(k % 7 == 3, 14 + k % 10, halo + 10)
+        ring = k % 5 == 0
+        level = np.where(left <= np.where(ring, 1, 9), core, np.where(left <= 36, halo, 0))
+        level = np.where(ring & (left > 1) & (left <= 9), 0, level)
+        data = 10 + np.where(seen, np.where(right <= 16, 40, level), 0)
+        one = [pa.repeat(pa.scalar(n, pa.int32()), batch.num_rows) for n in (SIDE, WIDE, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *one, pa.array([x.tobytes() for x in data.astype(np.uint8)], pa.binary())], names=["run_id", "frame", "height", "width", "channels", "data"])
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of one channel for each event (run_id, frame, height, width, channels, data), over a ground of 10: on the left a core in a halo, or a
+    ring in whose hole an island lies, both of levels that differ from event to event; on the right a disc. Errors are empty."""
+    e = _events(spark, sf_dir).select(F.col("user_id").cast("long"), F.col("frame").cast("long"), F.col("k").cast("long"), "event_type")
+    return e.mapInArrow(_shapes, "run_id long, frame int, height int, width int, channels int, data binary")
+
+
+def shapes_ground(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(*(F.lit(n).alias(c) for n, c in ((SIDE, "height"), (WIDE, "width"), (1, "channels"))), F.lit(bytes([10] * SIDE * WIDE)).alias("data"))

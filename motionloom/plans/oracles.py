@@ -114,6 +114,28 @@ STEPS = {
     "filtered": """SELECT run_id, n, dt, kk, pow(sum(y * cos(2 * pi() * kk / n * rn)), 2) + pow(sum(y * sin(2 * pi() * kk / n * rn)), 2) AS power
             FROM smooth JOIN (SELECT run_id, unnest(generate_series(1, n // 2 - 1)) AS kk FROM rest) USING (run_id) GROUP BY run_id, n, dt, kk""",
     "fft_": "SELECT run_id, 2 * pi() * kk / (n * dt) AS omega_fft FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY power DESC, kk) AS r FROM filtered) WHERE r = 1",
+    "arc": f"""SELECT run_id, frame, frame AS rn, frame / {FPS} AS time, 70 + run_id % 11 + (8 + run_id % 7) * cos(a) + ((k * 7) % 11 - 5) * 0.01e0 AS x, 75 - run_id % 5 + (8 + run_id % 7) * sin(a) + ((k * 3) % 13 - 6) * 0.01e0 AS y,
+            degrees(a) + 270 - 360 * floor((degrees(a) + 270) / 360) - 180 AS theta FROM (SELECT *, run_id * 0.37e0 + frame * 0.11e0 AS a FROM e)""",
+    # what a shape's outer border encloses, by level: f. v is the image itself
+    "kinds_": "SELECT DISTINCT k, CAST(frame % 6 AS INT) AS p FROM e WHERE event_type <> 'error'",
+    "level": """SELECT k, p, i, j, CASE WHEN r16 THEN 40 WHEN l2 <= CASE WHEN k % 5 = 0 THEN 1 ELSE 9 END THEN core WHEN l2 <= 36 THEN halo ELSE 0 END AS f,
+            CASE WHEN r16 THEN 40 WHEN k % 5 = 0 AND l2 > 1 AND l2 <= 9 THEN 0 WHEN l2 <= CASE WHEN k % 5 = 0 THEN 1 ELSE 9 END THEN core WHEN l2 <= 36 THEN halo ELSE 0 END AS v
+            FROM (SELECT *, CASE WHEN k % 7 = 3 THEN 0 ELSE 15 + k % 16 END AS halo, CASE WHEN k % 7 = 3 THEN 14 + k % 10 ELSE 25 + k % 16 END AS core,
+                  (i - (7 + p % 3)) * (i - (7 + p % 3)) + (j - (7 + k % 3)) * (j - (7 + k % 3)) AS l2, (i - (7 + k % 3)) * (i - (7 + k % 3)) + (j - (23 + p % 2)) * (j - (23 + p % 2)) <= 16 AS r16
+                  FROM kinds_, (SELECT unnest(generate_series(-1, 16)) AS i), (SELECT unnest(generate_series(-1, 32)) AS j))""",
+    "cands": """SELECT CAST(r AS INT) AS rank, CASE WHEN r = 0 OR r = 13 THEN 20 WHEN r <= 6 THEN 20 + r ELSE 26 - r END AS t, CASE WHEN r = 13 THEN 150 ELSE 60 END AS most, CASE WHEN r = 13 THEN 60 ELSE 40 END AS longest
+            FROM (SELECT unnest(generate_series(0, 13)) AS r) UNION ALL SELECT 99, 17, 999, 999""",
+    "corner": """SELECT k, p, rank, i, j, CAST(j > 15 AS INT) AS half_, CAST(f > t AS INT) AS a, CAST(fb > t AS INT) AS b, CAST(fc > t AS INT) AS c, CAST(fd > t AS INT) AS d
+            FROM (SELECT *, lead(f, 1) OVER w AS fb, lead(f, 34) OVER w AS fc, lead(f, 35) OVER w AS fd FROM level WINDOW w AS (PARTITION BY k, p ORDER BY i, j)), cands WHERE i < 16 AND j < 32""",
+    "blob": """SELECT k, p, rank, half_, min(CASE WHEN a = 1 THEN i * 100 + j END) AS first_, sum(CASE WHEN a + b + c + d = 4 THEN 2 WHEN a + b + c + d = 3 THEN 1 ELSE 0 END) AS twice,
+            sum(CASE WHEN a + b + c + d = 4 THEN 6 * j + 3 WHEN a + b + c + d = 3 THEN 3 * j + b + d ELSE 0 END) AS mx, sum(CASE WHEN a + b + c + d = 4 THEN 6 * i + 3 WHEN a + b + c + d = 3 THEN 3 * i + c + d ELSE 0 END) AS my,
+            sum(CASE WHEN a + b + c + d = 2 THEN CASE WHEN a = d THEN 2 * sqrt(2.0e0) ELSE 1 END WHEN a + b + c + d = 3 THEN sqrt(2.0e0) ELSE 0 END) AS perimeter
+            FROM corner WHERE a + b + c + d > 0 GROUP BY k, p, rank, half_""",
+    "fits": """SELECT b.*, CAST(mx // (3 * twice) AS INT) AS x, CAST(my // (3 * twice) AS INT) AS y FROM blob b JOIN cands USING (rank)
+            WHERE rank < 99 AND twice > 30 AND twice < 2 * most AND perimeter > 8 AND perimeter < longest""",
+    "winner": "SELECT k, p, min(rank) AS rank FROM (SELECT k, p, rank FROM fits GROUP BY k, p, rank HAVING count(*) = 2) GROUP BY k, p",
+    "found_": """SELECT k, p, rank, x, y, round(atan2(sum(v.i) / CAST(count(*) AS DOUBLE) - y, sum(v.j) / CAST(count(*) AS DOUBLE) - x) * 180 / pi(), 6) AS theta
+            FROM fits JOIN winner USING (k, p, rank) JOIN cands USING (rank) JOIN level v USING (k, p) WHERE v.v > t AND (v.i - y) * (v.i - y) + (v.j - x) * (v.j - x) <= 25 GROUP BY k, p, rank, half_, x, y""",
     # several bots: all ways to pair the points of two neighbouring frames, one point after another, and the cheapest of them
     "spot": "SELECT run_id // 4 AS video_id, run_id, frame, x, y, theta, CAST(row_number() OVER (PARTITION BY run_id // 4, frame ORDER BY x, y, run_id) AS INT) AS i FROM det WHERE NOT (x = 0 AND y = 0 AND theta = 0)",
     "step_": """SELECT b.video_id, a.frame, b.i, a.i AS j, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) - 80000 AS gain FROM spot a JOIN spot b ON a.video_id = b.video_id AND b.frame = a.frame + 1
@@ -144,6 +166,10 @@ FINAL = {
     "candidate_pairs": """SELECT a.run_id, a.frame, a.x, a.y, b.x AS x2, b.y AS y2, CAST((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS BIGINT) AS dist2
             FROM det a JOIN det b ON a.run_id = b.run_id AND b.frame = a.frame + 1 WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 40000""",
     "link_multi": "SELECT video_id, run_id, frame, x, y, theta, particle FROM spot JOIN numbered USING (video_id, frame, i)",
+    "fallback_ranks": "SELECT run_id, frame, rank, x, y, theta FROM e JOIN found_ f ON f.k = e.k AND f.p = e.frame % 6 WHERE event_type <> 'error'",
+    "contours_nested": """SELECT run_id, frame, CAST(row_number() OVER (PARTITION BY run_id, frame ORDER BY first_) - 1 AS INT) AS contour, twice / 2.0e0 AS area, round(perimeter, 6) AS perimeter,
+            CASE WHEN twice > 0 THEN CAST(mx // (3 * twice) AS INT) END AS x, CASE WHEN twice > 0 THEN CAST(my // (3 * twice) AS INT) END AS y
+            FROM e JOIN blob b ON b.k = e.k AND b.p = e.frame % 6 WHERE event_type <> 'error' AND rank = 99 AND first_ IS NOT NULL""",
     "skip_placeholder": "SELECT run_id, frame, x, y, theta FROM det",
     "track": f"SELECT run_id, particle, round(frame / {FPS}, 6) AS time, round(x * {SCALE}, 6) AS x, round(y * {SCALE}, 6) AS y, round(theta, 6) AS theta FROM link",
     "mean_dt": "SELECT run_id, n, round(dt, 6) AS mean_dt FROM size_",
@@ -209,18 +235,39 @@ FINAL = {
 }
 
 
-def _sql(final: str) -> str:
-    """The query with the steps that it needs, in order."""
+#: Gauss-Newton steps from the algebraic fit to the circle of least spread of distances.
+ROUNDS = 8
+STEPS["fit0"] = "SELECT run_id, xc AS cx, yc AS cy FROM kasa"
+for _k in range(ROUNDS):
+    STEPS[f"jac{_k}"] = f"""SELECT run_id, r - avg(r) OVER (PARTITION BY run_id) AS r, u - avg(u) OVER (PARTITION BY run_id) AS u, v - avg(v) OVER (PARTITION BY run_id) AS v
+            FROM (SELECT *, (cx - x) / r AS u, (cy - y) / r AS v FROM (SELECT m.*, cx, cy, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS r FROM mid m JOIN fit{_k} USING (run_id)))"""
+    STEPS[f"fit{_k + 1}"] = f"""SELECT run_id, cx + (uv * gv - vv * gu) / (uu * vv - uv * uv) AS cx, cy + (uv * gu - uu * gv) / (uu * vv - uv * uv) AS cy
+            FROM fit{_k} JOIN (SELECT run_id, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(r * u) AS gu, sum(r * v) AS gv FROM jac{_k} GROUP BY run_id) USING (run_id)"""
+STEPS["circle"] = f"""SELECT run_id, any_value(t_min) AS t_min, any_value(t_max) AS t_max, any_value(cx) AS xc, any_value(cy) AS yc, avg(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS radius_, CAST(count(*) AS INT) AS n
+            FROM mid JOIN fit{ROUNDS} USING (run_id) GROUP BY run_id"""
+#: Queries over the arcs in place of cleaned walks.
+ON_ARCS = {
+    "circle_fit": "SELECT run_id, round(t_min, 4) AS t_min, round(t_max, 4) AS t_max, round(xc, 4) AS xc, round(yc, 4) AS yc, round(radius_, 4) AS R, n FROM circle",
+    "physics": """SELECT run_id, pwm, trial, round(omega_fft, 4) AS omega_fft, round(omega_noise, 4) AS omega_noise, round(v, 4) AS v_msd, round(radius_, 4) AS R, round(v / radius_, 4) AS omega_ucm
+            FROM fft_ JOIN (SELECT run_id, abs(avg(g)) AS omega_noise FROM grad GROUP BY run_id) USING (run_id) JOIN vel USING (run_id) JOIN circle USING (run_id) JOIN keys_ USING (run_id)""",
+}
+
+
+def _sql(final: str, steps: dict[str, str] = STEPS) -> str:
+    """The query with the steps that it needs, each after those that it reads."""
     import re
 
-    need, todo = set(), [final]
-    while todo:
-        text = todo.pop()
-        for name in STEPS:
-            if name not in need and re.search(rf"\b{name}\b", text):
-                need.add(name)
-                todo.append(STEPS[name])
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in STEPS if n in need) + "\n" + final
+    order: list[str] = []
+
+    def add(text: str, on: tuple[str, ...]) -> None:
+        for name in steps:
+            if name not in order and name not in on and re.search(rf"\b{name}\b", text):
+                add(steps[name], (*on, name))
+                order.append(name)
+
+    add(final, ())
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({steps[n]})" for n in order) + "\n" + final
 
 
 ORACLES = {name: _sql(final) for name, final in FINAL.items()}
+ORACLES |= {name: _sql(final, STEPS | {"cln": "SELECT * FROM arc"}) for name, final in ON_ARCS.items()}

@@ -19,6 +19,9 @@ FRAME = ("run_id", "frame")
 #: Bounds that fit the small images.
 SMALL = Tracking(threshold=12, areas=(30, 90), perimeters=(20, 80), center=(8, 8), radius=9, disc=6, max_offset=3)
 
+#: Bounds that fit the shapes; halos are too large for the first ones.
+RANKS = Tracking(threshold=20, max_offset=6, areas=(15, 60), perimeters=(8, 40), fallback_area=(15, 150), fallback_perimeters=(8, 60), disc=5, n_bots=2)
+
 
 def _clean(s, d):
     return cleaning.clean(X.tracking(s, d))
@@ -146,6 +149,13 @@ def circle_kasa(s, d):
 
 
 def circle_fit(s, d):
+    """Circles through arcs, to four places: both sides come to rest within a millionth of the least spread."""
+    fit = circle.circle_fit(X.arcs(s, d))
+    return fit.select("run_id", *(F.round(c, 4).alias(c) for c in ("t_min", "t_max", "xc", "yc", "R")), F.size("x_data").alias("n"))
+
+
+def circle_fit_walks(s, d):
+    """Circles through random walks, where they are badly conditioned."""
     return circle.circle_fit(_clean(s, d)).drop("x_data", "y_data")
 
 
@@ -165,12 +175,18 @@ def omega_ucm(s, d):
 
 
 def physics(s, d):
+    """All quantities of tracks on circles, to four places."""
+    got = verbs.physics(X.arcs(s, d)).join(X.run_keys(s, d), "run_id")
+    return got.select("run_id", "pwm", "trial", *(F.round(c, 4).alias(c) for c in ("omega_fft", "omega_noise", "v_msd", "R", "omega_ucm")))
+
+
+def physics_walks(s, d):
     return verbs.pipeline(X.detections(s, d)).join(X.run_keys(s, d), "run_id")
 
 
 def physics_core(s, d):
-    """physics() without the fitted circle, which is badly conditioned on random walks."""
-    return _r(physics(s, d).select("run_id", "pwm", "trial", "omega_fft", "omega_noise", "v_msd"), "run_id", "pwm", "trial")
+    """physics_walks() without the fitted circle, which is badly conditioned on random walks."""
+    return _r(physics_walks(s, d).select("run_id", "pwm", "trial", "omega_fft", "omega_noise", "v_msd"), "run_id", "pwm", "trial")
 
 
 def physics_reasons(s, d):
@@ -309,6 +325,20 @@ def threshold_fallback(s, d):
     return _r(frames.with_fallback(_images(s, d), SMALL, FRAME, arena=False), *FRAME, "rank", "x", "y")
 
 
+def _shapes(s, d):
+    return frames.with_background(X.shapes(s, d), X.shapes_ground(s))
+
+
+def fallback_ranks(s, d):
+    """Two bots: frames for which the own threshold will do, a higher one, a lower one, wider bounds, and none."""
+    return _r(frames.with_fallback(_shapes(s, d), RANKS, FRAME, arena=False), *FRAME, "rank", "x", "y")
+
+
+def contours_nested(s, d):
+    """Several regions of a frame, with holes and what lies in them."""
+    return _r(contours.measured(frames.find_contours(_shapes(s, d), 17, FRAME)).drop("points"), *FRAME, "contour", "x", "y")
+
+
 def debug_views(s, d):
     """Sums over the pictures of the debug view."""
     v = frames.views(_images(s, d), SMALL.threshold, FRAME, SMALL)
@@ -364,9 +394,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         convert_units, px_roundtrip, skipped_flag, skipped_stats, trim_edges, discard_reason, interpolate, wall_cut, clean, clean_row_counts, link_single, append_detections, candidate_pairs, link_multi,
-        skip_placeholder, track, mean_dt, diff_time, unwrap, gradient, omega_noise, msd_curve, v_msd, msd_mean_by_pwm, mid_window, circle_residuals, circle_kasa, circle_fit, dft_peak,
-        omega_fft, omega_ucm, physics, physics_core, physics_reasons, trim, process, known_pogs, axis_limits, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
-        img_angle, contour_measures, size_filter, find_contours, contour_stats, contour_boxes, contour_crops, threshold_fallback, debug_views, wrong_count, detect, plot_quantity, colour_scale, grid_cells,
+        skip_placeholder, track, mean_dt, diff_time, unwrap, gradient, omega_noise, msd_curve, v_msd, msd_mean_by_pwm, mid_window, circle_residuals, circle_kasa, circle_fit, circle_fit_walks, dft_peak,
+        omega_fft, omega_ucm, physics, physics_walks, physics_core, physics_reasons, trim, process, known_pogs, axis_limits, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
+        img_angle, contour_measures, size_filter, find_contours, contour_stats, contour_boxes, contour_crops, threshold_fallback, fallback_ranks, contours_nested, debug_views, wrong_count, detect, plot_quantity, colour_scale, grid_cells,
         msd_fit_line, circle_polyline, arrows, trajectories,
     )
 }
