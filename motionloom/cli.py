@@ -29,11 +29,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def frames_of(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(images.FrameSource)
-    return spark.read.format("frames").load(path)
-
-
 def some(rows: DataFrame, pogs: list[str] | None) -> DataFrame:
     """Rows of these pogs, all of which have to be there."""
     if not pogs:
@@ -42,6 +37,13 @@ def some(rows: DataFrame, pogs: list[str] | None) -> DataFrame:
     return rows.where(F.col("pog").isin(pogs))
 
 
+def missing(spark: SparkSession, want: DataFrame, files: DataFrame, out: str) -> None:
+    """Writes the wanted runs that have no readable tracking file, with the reason: missing, or what is wrong with the file."""
+    gone = verbs.check(want, files.where("reason IS NULL").select(*KEYS).distinct(), list(KEYS))
+    why = files.where("reason IS NOT NULL").groupBy(*KEYS).agg(F.min("reason").alias("reason"))
+    gone.join(why, list(KEYS), "left").withColumn("reason", F.coalesce("reason", F.lit("missing"))).write.mode("overwrite").parquet(out)
+
+
 def expected(spark: SparkSession, args: argparse.Namespace, folder: str | None, d: Dynamics) -> DataFrame:
     """Runs that should have tracking: the clips that recordings give, or the whole grid of the configured pogs, or of those seen."""
     if folder:
@@ -49,7 +51,7 @@ def expected(spark: SparkSession, args: argparse.Namespace, folder: str | None,
     if d.name_pogs:
         pogs = spark.createDataFrame([(n,) for n in d.name_pogs], "pog string")
     else:
-        pogs = tables.present_tracking(spark, args.input).select("pog").distinct()
+        pogs = tables.tracking_files(spark, args.input).select("pog").distinct()
     return runs.experiment_grid(pogs, d)
 
 
@@ -82,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.pog and d.name_pogs and (unknown := [p for p in args.pog if p not in d.name_pogs]):
         raise ValueError(f"no such pog: {', '.join(unknown)}")
     if args.mode == "track":
-        found = verbs.detect(frames_of(spark, args.input), images.read_background_image(spark, args.background), c, flip=True)
+        found = verbs.detect(images.read_frames(spark, args.input), images.read_background_image(spark, args.background), c, flip=True)
         verbs.track(found, c, ("video_id",)).write.mode("overwrite").option("header", True).csv(out)
     elif args.mode == "trim":
         there = tables.workspace(spark, args.input, list(d.name_pogs), args.ending).where("path IS NOT NULL")
@@ -92,7 +94,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.mode == "check":
         want = expected(spark, args, args.recordings, d)
         want = want.where(F.col("pog").isin(args.pog)) if args.pog else want
-        verbs.check(want, tables.present_tracking(spark, args.input), list(KEYS)).write.mode("overwrite").parquet(out)
+        missing(spark, want, tables.tracking_files(spark, args.input), out)
     elif args.mode == "clean":
         clean(some(tables.read_tracking(spark, args.input), args.pog), c, d, out)
     elif args.mode == "extract":
@@ -100,16 +102,25 @@ def main(argv: list[str] | None = None) -> int:
     else:
         recorded = args.mode == "process" or args.background
         if recorded:
-            shots = frames_of(spark, args.input)
+            shots = images.read_frames(spark, args.input, runs.frame_ranges(d, c.fps))
             if names := args.pog or d.name_pogs:
                 shots = shots.where(F.col("video_id").isin(*names) | F.regexp_replace("video_id", r"_\d+_\d+$", "").isin(*names))
             tracking = verbs.process(shots, images.read_background_image(spark, args.background), c, d)
             folder = out if args.mode == "process" else f"{out}/tracking"
             tables.write_tracking(tracking, folder)
         if args.mode == "complete":
-            rows = spark.read.parquet(f"{out}/tracking") if recorded else some(tables.read_tracking(spark, args.input), args.pog)
-            want = runs.experiment_grid(rows.select("pog").distinct(), d) if not recorded else verbs.trim(rows.select("pog").distinct(), d)
-            verbs.check(want, rows.select(*KEYS).distinct(), list(KEYS)).write.mode("overwrite").parquet(f"{out}/missing")
+            if recorded:
+                rows = spark.read.parquet(f"{out}/tracking")
+                files, seen = rows.select(*KEYS).distinct().withColumn("reason", F.lit(None).cast("string")), rows.select("pog").distinct()
+            else:
+                rows = some(tables.read_tracking(spark, args.input), args.pog)
+                files = tables.tracking_files(spark, args.input)
+                files.where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{out}/rejected")
+                seen = files.select("pog").distinct()
+            # the configured pogs, whether they have a file or not
+            names = args.pog or list(d.name_pogs)
+            pogs = spark.createDataFrame([(n,) for n in names], "pog string") if names else seen
+            missing(spark, runs.experiment_grid(pogs, d), files, f"{out}/missing")
             clean(rows, c, d, f"{out}/clean")
             plot(extract(spark, f"{out}/clean/runs", d, f"{out}/physics"), d, f"{out}/plots")
     return 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Dynamics
@@ -10,12 +10,37 @@ from ..functions.columns import run_key
 from ..operators.runs import experiment_grid
 from ..schema import TRACKING
 
+COLUMNS = tuple(c.split()[0] for c in TRACKING.split(", "))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of tracking files with the run's key from the name; _bad holds a line that isn't of the schema, as the names of the columns
+    aren't. The schema is stated, not inferred."""
+    rows = spark.read.schema(f"{TRACKING}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
+    # Spark parses, and finds fault with, the columns that are asked for: this asks for all
+    bad = F.coalesce("_bad", F.when(F.length(F.concat_ws(",", *COLUMNS)) < 0, ""))
+    return rows.select(F.col("_metadata.file_path").alias("path"), *run_key(F.col("_metadata.file_path")), *COLUMNS, bad.alias("_bad"))
+
+
+def _is_header() -> Column:
+    return F.coalesce(F.regexp_replace("_bad", r"[\s\ufeff]", "") == ",".join(COLUMNS), F.lit(False))
+
+
+def tracking_files(spark: SparkSession, path: str) -> DataFrame:
+    """(pog, pwm, trial, path, reason) of the tracking files named {pog}_{pwm}_{trial}.csv; reason is null where a file can be read. Spark's
+    sources pass over files without a byte, so these are as if they weren't there."""
+    header = _is_header()
+    seen = _lines(spark, path).groupBy("path", "pog", "pwm", "trial").agg(
+        F.count_if(header).alias("heads"), F.count_if(F.col("_bad").isNotNull() & ~header).alias("bad"), F.count_if(F.col("_bad").isNull()).alias("rows")
+    )
+    reason = F.when(F.col("bad") > 0, "malformed").when(F.col("heads") == 0, "no_header").when(F.col("rows") == 0, "empty")
+    return seen.select("pog", "pwm", "trial", "path", reason.alias("reason")).where("pwm IS NOT NULL")
+
 
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
-    """Tracking CSV files named {pog}_{pwm}_{trial}.csv, with the run's key from the name; the schema is stated, not inferred."""
-    rows = spark.read.schema(TRACKING).option("header", True).csv(path)
-    key = run_key(F.col("_metadata.file_path"))
-    return rows.select(*key, "time", "x", "y", "theta", "particle")
+    """Rows of the tracking files that can be read. A file with a line that isn't of the schema is left out as a whole, and tracking_files() says why."""
+    good = tracking_files(spark, path).where("reason IS NULL").select("path")
+    return _lines(spark, path).where(F.col("_bad").isNull()).join(good, "path", "left_semi").select("pog", "pwm", "trial", *COLUMNS)
 
 
 def write_tracking(tracking: DataFrame, path: str, keys: tuple[str, ...] = ("pog", "pwm", "trial"), form: str = "parquet") -> None:
@@ -65,5 +90,5 @@ def present_clips(spark: SparkSession, folder: str, d: Dynamics, ending: str = "
 
 
 def present_tracking(spark: SparkSession, folder: str) -> DataFrame:
-    """(pog, pwm, trial) of the tracking files that can be read: named right and not empty."""
-    return listed(spark, folder, ".csv").where("length > 0").select(*run_key(F.col("path"))).where("pwm IS NOT NULL").distinct()
+    """(pog, pwm, trial) of the tracking files that can be read."""
+    return tracking_files(spark, folder).where("reason IS NULL").select("pog", "pwm", "trial").distinct()
