@@ -61,7 +61,12 @@ def plot(table: DataFrame, d: Dynamics, out: str) -> None:
 
 
 def clean(rows: DataFrame, c: Tracking, d: Dynamics, out: str) -> None:
-    tables.write_clean(cleaning.clean(rows, KEYS, d, c).drop("rn"), cleaning.discard_reasons(rows, KEYS, d), out, KEYS)
+    """Writes cleaned runs and discarded ones, and beside them the rows that each step left."""
+    cleaned, seen = cleaning.observed_clean(rows, KEYS, d, c)
+    tables.write_clean(cleaned.drop("rn"), cleaning.discard_reasons(rows, KEYS, d), out, KEYS)
+    counts = {step: int(o.get["rows"]) for step, o in seen.items()}
+    rows.sparkSession.createDataFrame(list(counts.items()), "step string, rows long").coalesce(1).write.mode("overwrite").parquet(f"{out}/counts")
+    print("rows: " + ", ".join(f"{n} {step}" for step, n in counts.items()))
 
 
 def extract(spark: SparkSession, clean_runs: str, d: Dynamics, out: str, pogs: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -97,6 +97,19 @@ def clean(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics(), c: Tracking = Tr
     return cut_at_wall(interpolate(drop_discarded(trim_edges(rows, keys), keys, d), keys), keys, d, c)
 
 
+def observed_clean(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics(), c: Tracking = Tracking()) -> tuple[DataFrame, dict[str, Observation]]:
+    """clean() with the number of rows at each step, which Spark counts as the rows pass: they are there after whatever action
+    writes or reads the result whole, at no pass of their own."""
+    seen = {name: Observation(f"clean_{name}") for name in ("raw", "trimmed", "kept", "clean")}
+
+    def noted(df: DataFrame, name: str) -> DataFrame:
+        return df.observe(seen[name], F.count(F.lit(1)).alias("rows"))
+
+    out = noted(trim_edges(noted(rows, "raw"), keys), "trimmed")
+    out = noted(drop_discarded(out, keys, d), "kept")
+    return noted(cut_at_wall(interpolate(out, keys), keys, d, c), "clean"), seen
+
+
 def clean_counts(rows: DataFrame, keys=KEYS, d: Dynamics = Dynamics(), c: Tracking = Tracking()) -> DataFrame:
     """Rows of each run before, after trimming and after cleaning (0: discarded or emptied), in one pass with flags in place of filters."""
     every = W.partitionBy(*keys)
