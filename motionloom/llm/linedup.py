@@ -16,6 +16,9 @@ and their common prefix is measured from the longest step down, where ranks are
 an interval ends; the first document and line of an interval stay, its other suffixes are later copies. Each step is
 written to the shared folder. Positions of a hot line are joined to its one rank (skew join).
 
+The longest run that a document has in common with another place, or with another part of itself, is the largest common prefix of its
+suffixes.
+
 Defined results. Null texts have no lines and stay null; an empty text is one empty line. Rows with a
 null doc_id are left as they are. Rows of one doc_id are one document, with the text of smallest md5;
 each row comes back with its result. An empty table gives no rows. Other columns play no part.
@@ -60,7 +63,9 @@ def doubled(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFra
         for d in done:
             every = every.unionByName(d.select("doc", (F.col("pos") - width).alias("pos"), F.col("rank").alias("next"), F.lit(False).alias("open")))
         # what comes next may be a line that occurs once, or nothing: these are told apart from all others
-        pairs = now.join(every, ["doc", "pos"], "left").select("doc", "pos", "rank", F.coalesce("next", F.lit(-1)).alias("next"), F.coalesce("open", F.lit(False)).alias("open"))
+        # of what is done only the positions that open suffixes ask for
+        asked = every.join(now.select("doc", "pos"), ["doc", "pos"])
+        pairs = now.join(asked, ["doc", "pos"], "left").select("doc", "pos", "rank", F.coalesce("next", F.lit(-1)).alias("next"), F.coalesce("open", F.lit(False)).alias("open"))
         pairs = scratch.cut(pairs, "pairs")
         kinds = pairs.groupBy("rank", "next").agg(F.count("*").alias("n"), F.max("open").alias("open"))
         kinds = scratch.cut(counted_up(kinds, ["rank", "next"], scratch, F.col("n")), "kinds")
@@ -81,8 +86,8 @@ def doubled(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFra
 
 
 def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(index, doc, pos, lcp) of the suffixes of (doc, pos, id) that start with a line which occurs more than once, in suffix
-    order; lcp is the number of lines that a suffix has in common with the one before it."""
+    """(index, doc, pos, doc2, lcp) of the suffixes of (doc, pos, id) that start with a line which occurs more than once, in suffix
+    order; lcp is the number of lines that a suffix has in common with the one before it, which is one of doc2."""
     every, levels = doubled(lines, scratch)
     order = scratch.cut(counted_up(every, ["rank", "doc", "pos"], scratch).select(F.col("before").alias("index"), "doc", "pos"), "order")
     last = order.select((F.col("index") + 1).alias("index"), F.col("doc").alias("doc2"), F.col("pos").alias("pos2"))
@@ -93,7 +98,14 @@ def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
         longer = scratch.cut(joined.select("index", "doc", "pos", "doc2", "pos2", (F.col("lcp") + F.when(F.col("ra") == F.col("rb"), 1 << k).otherwise(0)).alias("lcp")), "lcp")
         scratch.drop(pairs)
         pairs = longer
-    return pairs.select("index", "doc", "pos", "lcp")
+    return pairs.select("index", "doc", "pos", "doc2", "lcp")
+
+
+def longest_runs(array: DataFrame) -> DataFrame:
+    """(doc, longest): the lines of the longest run of a document that also starts elsewhere, there or in another one. The suffix that has most in
+    common with another stands beside it in the array, so both of two neighbours have their common prefix."""
+    both = array.where("lcp > 0").select("lcp", F.explode(F.array("doc", "doc2")).alias("doc"))
+    return both.groupBy("doc").agg(F.max("lcp").cast("long").alias("longest"))
 
 
 def later_copies(array: DataFrame, run: int, scratch: Scratch) -> DataFrame:
@@ -106,7 +118,8 @@ def later_copies(array: DataFrame, run: int, scratch: Scratch) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, run: int, words: int, scratch: Scratch) -> DataFrame:
-    """(doc, runs): of each document with later copies, its maximal removed runs as (first, last), in order."""
+    """(doc, runs, longest): of each document that has a line in common with another place, its maximal removed runs as (first, last), in order, and
+    the lines of its longest run that is elsewhere, too."""
     # three selects: what is asked of the array is asked below the explode, which then carries numbers alone from line to line
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"))
     lines = lines.select("doc", (F.size("lines") == 1).alias("whole"), "lines").select("doc", "whole", F.posexplode("lines").alias("pos", "line"))
@@ -123,22 +136,24 @@ def removed_lines(docs: DataFrame, run: int, words: int, scratch: Scratch) -> Da
     islands = gone.withColumn("new", F.coalesce((F.col("pos") > reach).cast("int"), F.lit(1)))
     islands = islands.withColumn("island", F.sum("new").over(own))
     runs = islands.groupBy("doc", "island").agg(F.min("pos").alias("first"), (F.max(F.col("pos") + F.col("size")) - 1).alias("last"))
-    return runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    return longest_runs(array).join(runs, "doc", "left")
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """(doc_id, text, n_lines, runs) for each row of docs: the text that is left and the runs that were removed."""
+    """(doc_id, text, n_lines, runs, longest) for each row of docs: the text that is left, the runs that were removed, and the lines of the longest run that
+    also starts elsewhere (0: none)."""
     scratch = Scratch(docs.sparkSession, "lines")
     own, again = one_each(docs)
     runs = scratch.cut(removed_lines(own, run, words, scratch), "runs")
     scratch.only(runs)
-    rows = own.join(runs, own["doc_id"] == runs["doc"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")).alias("runs"))
+    rows = own.join(runs, own["doc_id"] == runs["doc"], "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")).alias("runs"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest"))
     # the lines between removed runs, as stretches, so the work goes with lines and runs and not with their product
     rows = rows.select("*", F.split("text", "\n").alias("lines"))
     run = lambda k: F.try_element_at("runs", k)
     gap = lambda k: F.slice("lines", F.coalesce(run(k)["last"] + 2, F.lit(1)), F.coalesce(run(k + 1)["first"], F.size("lines")) - F.coalesce(run(k)["last"] + 1, F.lit(0)))
     stay = F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), lambda k: F.when(k == 0, F.slice("lines", 1, run(F.lit(1))["first"])).otherwise(gap(k))))
-    rows = rows.select("doc_id", F.when(F.size("runs") > 0, F.array_join(stay, "\n")).otherwise(F.col("text")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), "runs")
+    rows = rows.select("doc_id", F.when(F.size("runs") > 0, F.array_join(stay, "\n")).otherwise(F.col("text")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), "runs", "longest")
     return spread(docs, rows) if again else rows
 
 
@@ -146,4 +161,4 @@ def op5_linedup(spark, sf_dir: str) -> DataFrame:
     """All documents without later copies of runs of two lines or more, or of one line of 50 words or all of a document."""
     out = dedup_lines(load(spark, sf_dir, "documents"))
     gone = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
-    return out.select("doc_id", "n_lines", gone.alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+    return out.select("doc_id", "n_lines", gone.alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.col("longest").alias("longest_run"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))

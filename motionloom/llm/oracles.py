@@ -45,10 +45,13 @@ single AS (
   WHERE nth > 1 AND lines[pos] <> '' AND (len(lines) = 1 OR length(lines[pos]) - length(replace(lines[pos], ' ', '')) + 1 >= 50)),
 hit AS (SELECT doc_id, unnest([pos, pos + 1]) AS pos FROM p WHERE nth > 1 UNION SELECT doc_id, pos FROM single),
 m AS (SELECT l.doc_id, l.pos, l.lines[l.pos] AS line, hit.pos IS NOT NULL AS gone FROM l LEFT JOIN hit ON hit.doc_id = l.doc_id AND hit.pos = l.pos),
-e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM m)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM m),
+eq AS (SELECT a.doc_id AS d1, a.pos AS p1, b.doc_id AS d2, b.pos - a.pos AS shift FROM m a JOIN m b ON a.line = b.line AND (a.doc_id <> b.doc_id OR a.pos <> b.pos)),
+diag AS (SELECT d1, d2, shift, p1 - row_number() OVER (PARTITION BY d1, d2, shift ORDER BY p1) AS island FROM eq),
+far AS (SELECT d1 AS doc_id, max(n) AS longest FROM (SELECT d1, count(*) AS n FROM diag GROUP BY d1, d2, shift, island) GROUP BY d1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs, coalesce(any_value(longest), 0) AS longest_run,
        md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_md5
-FROM e GROUP BY doc_id
+FROM e LEFT JOIN far USING (doc_id) GROUP BY doc_id
 """
 
 OP7 = f"""
