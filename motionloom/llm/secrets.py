@@ -33,6 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN = 6
 KINDS = ("assign", "access", "hex")
+LASTING = "spark.motionloom.secrets.ledger"
 LEDGER = "blob binary, rules int, kinds array<string>, starts array<int>, ends array<int>"
 
 
@@ -105,15 +106,17 @@ def update(versions: DataFrame, path: str) -> DataFrame:
 
 
 def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(path, kinds, starts, ends) for each row of versions."""
-    own = ledger.where(F.col("rules") == RULES).drop("rules")
+    """(path, kinds, starts, ends) for each row of versions. Two scans at a time may both have added a blob: it counts once."""
+    own = ledger.where(F.col("rules") == RULES).drop("rules").dropDuplicates(["blob"])
     return versions.select("path", "blob").join(own, "blob").drop("blob")
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
-    """Secrets in all documents. The ledger is begun here; with the path of an older one update() scans what is new alone."""
+    """Secrets in all documents. The setting spark.motionloom.secrets.ledger names a ledger that lasts: then what an earlier call scanned
+    isn't scanned again. Without it a ledger is begun for this call."""
     versions = named(load(spark, sf_dir, "documents"))
-    found = findings(versions, update(versions, Scratch(spark, "secrets").path("ledger")))
+    ledger = spark.conf.get(LASTING, None) or Scratch(spark, "secrets").path("ledger")
+    found = findings(versions, update(versions, ledger))
     spans = F.array_join(F.transform(F.sequence(F.lit(1), F.size("kinds")), lambda i: F.concat_ws(":", F.element_at("kinds", i), F.element_at("starts", i), F.element_at("ends", i))), ",")
     spans = F.when(F.size("kinds") > 0, spans).otherwise("")
     count = [F.expr(f"CAST(size(filter(kinds, k -> k = '{name}')) AS BIGINT)").alias(f"n_{name}") for name in KINDS]
