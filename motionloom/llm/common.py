@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType, VariantType
@@ -83,24 +82,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Schemes of the shared folder that tasks open by themselves, by pyarrow's names. hdfs and viewfs need libhdfs on the workers.
-SCHEMES = {"file": "file", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
-
-
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The store of a path and the path within it, for tasks that read and write files of their own formats."""
-    scheme, colon, rest = uri.partition(":")
-    if not colon or uri.startswith("/"):
-        return fs.FileSystem.from_uri("file://" + uri)
-    if scheme == "dbfs":  # mounted on the workers
-        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
-    if scheme not in SCHEMES:
-        raise ValueError(f"tasks can't write to {uri}: spark.checkpoint.dir has to be of one of {', '.join(SCHEMES)} or dbfs")
-    if scheme == "file":
-        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, arrow_schema, load, numbered, opened, pick, place, small_batches
+from ..sources.stores import opened
+from .common import Scratch, arrow_schema, load, numbered, pick, place, small_batches
 
 #: Words and ids of one automaton; bytes of text that pass the automata at a time.
 MOST, BLOCK = 200_000, 16 << 20

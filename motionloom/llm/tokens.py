@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, load, opened, partitions, texts
+from ..sources.stores import opened
+from .common import Scratch, arrow_schema, load, partitions, texts
 
 # Fixed values of the public formats: magic numbers of the skippable frames and the seek table.
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -207,10 +208,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, files: int | None =
     scratch = Scratch(spark, "tokens")
     rows = texts(docs)
     if files is None:
-        size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
-        if int(size) > 1 << 60:  # Spark doesn't know
+        size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(str(size))
+        if size > 1 << 60:  # Spark doesn't know
             size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        files = max(partitions(spark), -(-int(size) // file_bytes))
+        files = max(partitions(spark), -(-size // file_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]  # both, so that rows of one doc_id or none are several ranges
     rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     ddl = "part int, path string, n_docs long, n_tokens long"
