@@ -271,3 +271,16 @@ def _sql(final: str, steps: dict[str, str] = STEPS) -> str:
 
 ORACLES = {name: _sql(final) for name, final in FINAL.items()}
 ORACLES |= {name: _sql(final, STEPS | {"cln": "SELECT * FROM arc"}) for name, final in ON_ARCS.items()}
+ORACLES["physics_reasons_short"] = _sql(FINAL["physics_reasons"], STEPS | {"uncut": STEPS["cln"], "cln": "SELECT * FROM uncut WHERE run_id % 3 <> 0 OR rn < 12 + run_id % 20"})
+#: Clips as videos of their own, with two bots a frame or a row of zeros, and a range of 8.
+TWO_BOTS = {
+    "spot": f"""SELECT *, CAST(row_number() OVER (PARTITION BY video_id, frame ORDER BY x, y, theta) AS INT) AS i
+            FROM (SELECT c.run_id * 10 + idx AS video_id, c.run_id, idx, CAST(c.frame - ceil((0.25e0 + idx * 0.625e0) * {FPS}) AS INT) AS frame, coalesce(f.x, 0) AS x, coalesce(f.y, 0) AS y, coalesce(f.theta, 0) AS theta
+                  FROM clip c JOIN e ON e.run_id = c.run_id AND e.frame = c.frame LEFT JOIN found_ f ON f.k = e.k AND f.p = e.frame % 6 AND e.event_type <> 'error')""",
+    "step_": STEPS["step_"].replace("80000", "128").replace("40000", "64"),
+}
+ORACLES["process_two"] = _sql(
+    f"""SELECT 'pog_' || run_id AS pog, CASE WHEN idx < 2 THEN 30 ELSE 40 END AS pwm, idx % 2 AS trial, round(frame / {FPS}, 6) AS time, round(x * {SCALE}, 6) AS x, round(y * {SCALE}, 6) AS y, theta, particle
+            FROM spot JOIN numbered USING (video_id, frame, i)""",
+    STEPS | TWO_BOTS,
+)

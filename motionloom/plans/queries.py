@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..config import Dynamics, Tracking
@@ -21,6 +23,9 @@ SMALL = Tracking(threshold=12, areas=(30, 90), perimeters=(20, 80), center=(8, 8
 
 #: Bounds that fit the shapes; halos are too large for the first ones.
 RANKS = Tracking(threshold=20, max_offset=6, areas=(15, 60), perimeters=(8, 40), fallback_area=(15, 150), fallback_perimeters=(8, 60), disc=5, n_bots=2)
+#: The same in an arena that holds all of them; steps are short.
+TWO = replace(RANKS, center=(16, 8), radius=40, search_range=8)
+SHORT = "run_id % 3 <> 0 OR rn < 12 + run_id % 20"
 
 
 def _clean(s, d):
@@ -194,6 +199,12 @@ def physics_reasons(s, d):
     return verbs.physics_or_reason(_clean(s, d)).select("run_id", "reason")
 
 
+def physics_reasons_short(s, d):
+    """The same where a third of the runs was cut short."""
+    rows = _clean(s, d).where(SHORT)
+    return verbs.physics_or_reason(rows).select("run_id", "reason")
+
+
 def trim(s, d):
     pogs = X.run_keys(s, d).select(F.concat(F.lit("pog_"), F.col("run_id").cast("string")).alias("pog"))
     return _r(verbs.trim(pogs, TENS), "pog", "pwm", "trial", "run_index")
@@ -205,6 +216,12 @@ def process(s, d):
     return _r(verbs.process(shots, X.background_images(s, d).limit(1), SMALL, CLIPS, flip=False), "pog", "pwm", "trial", "particle")
 
 
+def process_two(s, d):
+    """Recordings of two bots a frame, some frames without any, to linked tracking of their clips."""
+    shots = X.shapes(s, d).withColumn("video_id", F.concat(F.lit("pog_"), F.col("run_id").cast("string"))).drop("run_id")
+    return _r(verbs.process(shots, X.shapes_ground(s), TWO, CLIPS, flip=False), "pog", "pwm", "trial", "particle")
+
+
 def known_pogs(s, d):
     pogs = X.run_keys(s, d).select(F.concat(F.lit("pog_"), F.col("run_id").cast("string")).alias("pog"), "pwm", "trial")
     return runs.known_pogs(pogs, ["pog_0", "pog_3", "pog_7"])
@@ -395,7 +412,7 @@ QUERIES = {
     for f in (
         convert_units, px_roundtrip, skipped_flag, skipped_stats, trim_edges, discard_reason, interpolate, wall_cut, clean, clean_row_counts, link_single, append_detections, candidate_pairs, link_multi,
         skip_placeholder, track, mean_dt, diff_time, unwrap, gradient, omega_noise, msd_curve, v_msd, msd_mean_by_pwm, mid_window, circle_residuals, circle_kasa, circle_fit, circle_fit_walks, dft_peak,
-        omega_fft, omega_ucm, physics, physics_walks, physics_core, physics_reasons, trim, process, known_pogs, axis_limits, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
+        omega_fft, omega_ucm, physics, physics_walks, physics_core, physics_reasons, physics_reasons_short, trim, process, process_two, known_pogs, axis_limits, experiment_grid, assign_runs, interval_join, missing_runs, present_runs, run_names, frame_set, frames_in_set, img_flip_mask_subtract, img_binarize,
         img_angle, contour_measures, size_filter, find_contours, contour_stats, contour_boxes, contour_crops, threshold_fallback, fallback_ranks, contours_nested, debug_views, wrong_count, detect, plot_quantity, colour_scale, grid_cells,
         msd_fit_line, circle_polyline, arrows, trajectories,
     )
