@@ -7,15 +7,16 @@ Plan. Windows of `size` bytes are dealt out by content: a window's key is the le
 substrings, so equal windows have equal keys, and neighbouring windows mostly share one (a segment).
 (1) Texts are packed and dealt to parts by doc_id, once. Each part sends its distinct keys, a few bytes
 each, to buckets; a bucket sends back to each part the keys that several documents have. (2) Each
-part finds its segments under such keys. Of segments that are equal within the part, only those of
-the smallest doc_id go on; the others are removed there and then. Segments go, with their
+part finds its segments under such keys. Segments that several of its documents have are sorted
+as in (3), each once; what that finds is removed there and then, and only those of the smallest doc_id go on. Segments go, with their
 text, to buckets by key. (3) A bucket puts equal segments together and sorts the suffixes of all
-different segments whose key has several: suffixes smaller than their successors are sorted
+segments whose key several documents have, equal ones once: suffixes smaller than their successors are sorted
 directly, to a depth beyond `size`, the rest is induced by bucket scans; adjacent common prefixes
 give the intervals of equal windows, and the least doc_id of an interval keeps its bytes. (4) The
 parts cut what was found from their texts.
 So a passage that a third of all documents hold costs a row for each part, not for each document. What
-is equal is found by a hash and then compared byte for byte; texts that only share the hash go to the sort as different ones.
+is equal is found by a hash and then compared byte for byte, so that the sort sees it once; texts that only share the hash go to the
+sort as different ones. What is removed comes from the sort's intervals alone.
 The edges of such a passage differ in all documents: a key of more than HOT documents is split, each
 window going on by itself under a hash of all its bytes. That limit changes the plan and no result.
 A part sends a packed row to each bucket that it has keys for, so rows are as many as parts x buckets (a bucket for eight parts),
@@ -259,11 +260,33 @@ def least_owner(data: np.ndarray, length: np.ndarray, owner: np.ndarray, size: i
         equal[at] = text[order[at] + k] == text[order[at + 1] + k]
     at = np.flatnonzero(np.append(True, ~equal)) if len(order) else np.zeros(0, np.int64)
     least = np.minimum.reduceat(owner[number[order]], at) if len(order) else owner[:0]
-    out = np.zeros(len(text), owner.dtype)
+    out = np.full(len(text), np.iinfo(owner.dtype).max, owner.dtype)
     out[order] = np.repeat(least, np.diff(np.append(at, len(order))))
     return out[left >= size]
 
 
+def seen_before(data: np.ndarray, length: np.ndarray, least: np.ndarray, which: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the ranges that the suffix order finds in a smaller document. data: different segments, one after
+    another, with the least document of each; which, doc: the rows that have them, each with the number of its segment."""
+    if not len(length):
+        return (np.zeros(0, np.int64),) * 3
+    windows = length - size + 1
+    owner, bound = least_owner(data, length, least, size), np.repeat(least, windows)
+    number, base = np.repeat(np.arange(len(windows)), windows), np.cumsum(windows) - windows
+    later, out = doc > least[which], []
+    # all later rows of a segment lose the same, what its least document has; that one loses what smaller ones have
+    for hit, rows in ((owner <= bound, np.flatnonzero(later)), (owner < bound, np.flatnonzero(~later))):
+        at = np.flatnonzero(hit)
+        new = np.append(True, (np.diff(at) != 1) | (np.diff(number[at]) != 0))[: len(at)]
+        first, last, segment = at[new], at[np.append(new[1:], True)[: len(at)]], number[at[new]]
+        n = np.bincount(segment, minlength=len(windows))
+        each = n[which[rows]]
+        run = np.arange(each.sum()) + np.repeat((np.cumsum(n) - n)[which[rows]] - (np.cumsum(each) - each), each)
+        out.append((np.repeat(rows, each), (first - base[segment])[run], (last - base[segment])[run] + size))
+    rows, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+    return rows, first, last
+
+
 def _pack(batches):
     z = zstandard.ZstdCompressor(level=3)
     for batch in batches:
@@ -348,10 +371,13 @@ def _segments(size: int, buckets: int, schema: pa.Schema):
             order = np.lexsort((owner, content, key))
             same = np.append(False, (key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1]))[: len(order)]
             new = ~as_before(part.data, first[order], length[order], same)
-            least = np.repeat(owner[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
-            late = owner[order] > least
-            gone = order[late]
-            d, a, b = runs_of(doc[gone], first[gone] - part.offsets[doc[gone]], first[gone] + length[gone] - part.offsets[doc[gone]])
+            which, least = np.cumsum(new) - 1, owner[order][new]
+            late = owner[order] > least[which]
+            again = np.unique(which[late])  # segments that several documents of the part have
+            reps, gone = order[new][again], order[late]
+            row, a, b = seen_before(bytes_of(part.data, first[reps], length[reps]), length[reps], least[again], np.searchsorted(again, which[late]), owner[gone], size)
+            at = first[gone] - part.offsets[doc[gone]]
+            d, a, b = runs_of(doc[gone][row], at[row] + a, at[row] + b)
             number = left["part"][0].as_py()
             rows.append((None, number, pack_numbers(ids[d]), pack_numbers(a), pack_numbers(b), None, None))
             order = order[~late]
@@ -386,28 +412,13 @@ def _matches(size: int, schema: pa.Schema):
         new = ~as_before(data, starts[order], length[order], np.append(False, (k[1:] == k[:-1]) & (c[1:] == c[:-1])))
         at = np.flatnonzero(new)
         which = np.cumsum(new) - 1  # the number of its text
-        least = d[at]
-        key_new = np.append(True, k[at][1:] != k[at][:-1])
-        key_of = np.cumsum(key_new) - 1
-        several = np.bincount(key_of)[key_of] > 1
-        # texts that are alone under their key: later documents lose all of it
-        gone = ~several[which] & (d > least[which])
-        out = [(part[order[gone]], d[gone], first[order[gone]], first[order[gone]] + length[order[gone]])]
-        some = np.flatnonzero(several)
-        if len(some):
-            s = order[at[some]]
-            windows = length[s] - size + 1
-            owner = least_owner(bytes_of(data, starts[s], length[s]), length[s], least[some], size)
-            base = np.zeros(len(at), np.int64)
-            base[some] = np.cumsum(windows) - windows
-            rows = np.flatnonzero(several[which])  # every document with one of these texts
-            n = length[order[rows]] - size + 1
-            who = np.repeat(rows, n)
-            step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-            hit = owner[base[which[who]] + step] < d[who]
-            who, step = order[who[hit]], step[hit]
-            out.append((part[who], doc[who], first[who] + step, first[who] + step + size))
-        part, doc, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+        key_of = np.cumsum(np.append(True, k[1:] != k[:-1])[: len(k)]) - 1
+        rows = np.flatnonzero(np.bincount(key_of)[key_of] > 1)  # what is alone under its key has no equal
+        some = np.unique(which[rows])
+        s = order[at[some]]
+        row, a, b = seen_before(bytes_of(data, starts[s], length[s]), length[s], d[at[some]], np.searchsorted(some, which[rows]), d[rows], size)
+        who = order[rows[row]]
+        part, doc, first, last = part[who], doc[who], first[who] + a, first[who] + b
         by = np.argsort(part, kind="stable")
         part, doc, first, last = part[by], doc[by], first[by], last[by]
         rows = []
