@@ -9,9 +9,10 @@ most significant slice downward, rows are selected as long as no more than k are
 that tie at the boundary are resolved by exact score and vec_id.
 
 Plan. Rows are packed into blocks of `cells` components by a hash, queries into blocks that are as large as
-leaves each core some pairs, 8,192 queries at most; each pair of a query block and a row block is one task's work, and
-gives k rows a query, which meet in a window by query. The stated query set against all rows is the work that was
-asked for; what is sent is blocks of packed bytes, rows x query blocks. Repeats of one vector are put
+leaves each core some pairs, 8,192 queries at most. Row blocks are taken in chunks, as many to a chunk as leaves each core some, 256 at
+most: a query block meets the row blocks of a chunk one after another in one task, which keeps the k best of each query so far. So
+k rows a query and chunk meet in a window by query: queries x k x (row blocks / 256) from about 256 x 8 row blocks a core on. The stated query set
+against all rows is the work that was asked for; what is sent is blocks of packed bytes, rows x query blocks. Repeats of one vector are put
 together first, and only k of them go on, as a list holds no more.
 
 Defined results. Vectors that are null or hold null or non-finite components take no part, nor do
@@ -37,6 +38,8 @@ from .common import Scratch, arrow_schema, load, partitions, pick
 CELLS, LEAST, MOST, LARGE = 1 << 21, 64, 8192, 2**31
 #: Bytes of a score that doesn't fit a long.
 WIDE = 300
+#: Row blocks that one task takes for a query block, at most.
+CHUNK = 256
 
 
 class SlicedBlock:
@@ -149,26 +152,47 @@ def _unpack(width: int, ids: bytes, rows: bytes, dims: int) -> tuple[np.ndarray,
     return ids, v.reshape(len(ids), dims)
 
 
+def best(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest of two lists of vec_ids and scores, ties to the smaller vec_id."""
+    ids, scores = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(ids, kind="stable")
+    order = order[np.argsort(-scores[order], kind="stable")][:k]
+    return ids[order], scores[order]
+
+
+def _rows(asks: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
+    """The lists of these queries as rows; `wide` has the scores that a long doesn't hold, in bytes that sort like them."""
+    ids, scores, wide = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for vec, score in lists:
+        if score.dtype == object:
+            far = [not -(2**63) < x < 2**63 - 1 for x in score]
+            wide += [(x + 2 ** (8 * WIDE - 1)).to_bytes(WIDE, "big") if f else None for x, f in zip(score, far, strict=True)]
+            score = np.array([max(-(2**63), min(2**63 - 1, x)) for x in score], np.int64)
+        else:
+            wide += [None] * len(score)
+        ids.append(vec)
+        scores.append(score)
+    asks = np.repeat(asks, [len(vec) for vec, _ in lists])
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (asks, np.concatenate(ids), np.concatenate(scores))), pa.array(wide, pa.binary())], schema=schema)
+
+
 def _search(k: int, schema: pa.Schema):
+    """Pairs of a row block and a query block, those of one chunk in turn, to the k best rows of each query in the chunk."""
+
     def run(batches):
-        last, block = None, None
+        now, asks, queries, lists = None, None, None, []
         for batch in batches:
-            for dims, part, width, ids, rows, q_width, q_ids, q_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last != (dims, part):
-                    last, block = (dims, part), SlicedBlock(*_unpack(width, ids, rows, dims))
-                asks, vecs, scores, wide = [], [], [], []
-                for own, query in zip(*_unpack(q_width, q_ids, q_rows, dims), strict=True):
-                    vec, score = block.top(query, int(own), k)
-                    asks.append(np.full(len(vec), own))
-                    vecs.append(vec)
-                    if score.dtype == object:
-                        far = [not -(2**63) < x < 2**63 - 1 for x in score]
-                        wide += [(x + 2 ** (8 * WIDE - 1)).to_bytes(WIDE, "big") if f else None for x, f in zip(score, far, strict=True)]
-                        score = np.array([max(-(2**63), min(2**63 - 1, x)) for x in score], np.int64)
-                    else:
-                        wide += [None] * len(score)
-                    scores.append(score)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in (asks, vecs, scores)), pa.array(wide, pa.binary())], schema=schema)
+            for dims, chunk, q, width, ids, rows, q_width, q_ids, q_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (dims, chunk, q):
+                    if now:
+                        yield _rows(asks, lists, schema)
+                    now = (dims, chunk, q)
+                    asks, queries = _unpack(q_width, q_ids, q_rows, dims)
+                    lists = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(asks)
+                block = SlicedBlock(*_unpack(width, ids, rows, dims))
+                lists = [best(old, block.top(query, int(own), k), k) for old, own, query in zip(lists, asks, queries, strict=True)]
+        if now:
+            yield _rows(asks, lists, schema)
 
     return run
 
@@ -204,10 +228,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = CELL
     asked_packed = packed(asking, of_asking, "queries")
     asked = asked_packed.select("dims", F.col("part").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("width", "ids", "rows")))
     scratch.only(rows, asked_packed)
-    # each row block meets each query block under a key of its own, so pairs spread over tasks
-    each_q = rows.join(asked.groupBy("dims").agg(F.max("q").alias("last")), "dims").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
-    each_part = asked.join(rows.groupBy("dims").agg(F.max("part").alias("last")), "dims").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
-    pairs = each_q.join(each_part.hint("merge"), ["dims", "part", "q"]).select("dims", "part", "width", "ids", "rows", "q_width", "q_ids", "q_rows")
+    # each chunk of row blocks meets each query block under a key of its own, so pairs spread over tasks
+    counts = rows.groupBy("dims").agg(F.max("part").alias("last_part")).join(asked.groupBy("dims").agg(F.max("q").alias("last_q")), "dims")
+    fair = F.floor((F.col("last_part") + 1) * (F.col("last_q") + 1) / (8 * partitions(vectors.sparkSession)))
+    counts = counts.withColumn("chunk_size", F.least(F.greatest(fair, F.lit(1)), F.lit(CHUNK)))
+    from_0 = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    each_q = rows.join(counts, "dims").select("dims", F.floor(F.col("part") / F.col("chunk_size")).alias("chunk"), from_0(F.col("last_q")).alias("q"), "width", "ids", "rows")
+    each_chunk = asked.join(counts, "dims").select(*asked.columns, from_0(F.floor(F.col("last_part") / F.col("chunk_size"))).alias("chunk"))
+    # rows of one key come one after another out of a merge join
+    pairs = each_q.join(each_chunk.hint("merge"), ["dims", "chunk", "q"]).select("dims", "chunk", "q", "width", "ids", "rows", "q_width", "q_ids", "q_rows")
     ddl = "query_id long, vec_id long, score long, wide binary"
     found = pairs.mapInArrow(_search(k, arrow_schema(ddl)), ddl)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
