@@ -12,7 +12,8 @@ and writes one file of about `file_bytes`, so the number of files grows with the
 back is a task for each file. A task that runs again writes the same bytes under the same name.
 
 The tokenizer drops white space, so the ids of a text are those of its parts between spaces, each
-encoded by the library once and then held in a bounded cache; a text with the beginning of a special token is encoded as a whole.
+encoded by the library once and then held in a cache bounded in entries and in their length; a text with the beginning of a special token
+is encoded as a whole and not kept. A task encodes about a megabyte of texts, or one longer text, at a time.
 
 Defined results. A text of any length is one frame, made in one task that holds its ids. Null and empty texts have the end id alone. Null doc_ids come first; rows of one
 doc_id follow each other in order of the text's crc32, and each is a document of its own. An empty
@@ -38,12 +39,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.stores import opened
-from .common import Scratch, arrow_schema, load, partitions, texts
+from .common import STEP, Scratch, arrow_schema, binary, load, partitions, steps, texts
 
 # Fixed values of the public formats: magic numbers of the skippable frames and the seek table.
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Entries of the cache of encoded parts, and bytes of a file's part of the table.
-CACHE, FILE_BYTES = 500_000, 128 << 20
+#: Entries of the cache of encoded parts, characters of the longest part that is kept, and bytes of a file's part of the table.
+CACHE, KEPT, FILE_BYTES = 500_000, 64, 128 << 20
 
 
 def spaced(data: bytes) -> bytes:
@@ -87,29 +88,48 @@ class Encoder:
         self.ends = np.zeros(max(self.tokenizer.get_vocab_size(), 1), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words into the cache: those of Latin letters, which the tokenizer doesn't split, many at a time."""
-        plain = [w for w in words if w.isalpha() and max(w) < "\u0250" and "\u0130" not in w] if self.ends.any() else []
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.type)
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words: those of Latin letters, which the tokenizer doesn't split, many at a time."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha() and (w.isascii() or (max(w) < "\u0250" and "\u0130" not in w))] if self.ends.any() else []
+        for some in batched(plain):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.type)
             last = (np.flatnonzero(self.ends[ids]) + 1) * self.type.itemsize
             if len(last) == len(some) and last[-1] == ids.nbytes:
                 raw, ends = ids.tobytes(), last.tolist()
-                self.cache.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        rest = [w for w in words if w not in self.cache]
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
+                out.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for some in batched([w for w in words if w not in out]):
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[w] = array(self.code, e.ids).tobytes()
+                out[w] = array(self.code, e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache = {"": b""}
         cache = self.cache
         parts = [parts_of(t) for t in texts]
-        self.learn(list({c for p in parts for c in p if c not in cache}))
-        return [b"".join([*map(cache.__getitem__, p), self.end]) for p in parts]
+        new = self.learn(list(set().union(*parts).difference(cache)))
+        cache.update(new)
+        out = [b"".join([*map(cache.__getitem__, p), self.end]) for p in parts]
+        for w in new:
+            if len(w) > KEPT:
+                del cache[w]
+        return out
+
+
+def batched(words: list[str], most: int = 4096):
+    """Runs of words, so many and about a megabyte of them at most; a longer word is a run of its own."""
+    i = 0
+    while i < len(words):
+        size = 0
+        for j in range(i, min(len(words), i + most)):
+            size += len(words[j])
+            if size > STEP and j > i:
+                break
+        else:
+            j = min(len(words), i + most)
+        yield words[i:j]
+        i = j
 
 
 @lru_cache(maxsize=1)
@@ -136,8 +156,8 @@ def _write(folder: str, tokenizer: str, end: int, schema: pa.Schema):
                 encoder = encoder_of(tokenizer, end)
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 out = store.open_output_stream(temp)
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
+            for i, j in steps(binary(batch, "text")[1]):
+                some = batch.slice(i, j - i)
                 for raw in encoder.encode([t or b"" for t in some.column(1).to_pylist()]):
                     frame = z.compress(raw)
                     out.write(frame)
