@@ -13,7 +13,9 @@ back is a task for each file. A task that runs again writes the same bytes under
 
 The tokenizer drops white space, so the ids of a text are those of its parts between spaces, each
 encoded by the library once and then held in a cache bounded in entries and in their length; a text with the beginning of a special token
-is encoded as a whole and not kept. A task encodes about a megabyte of texts, or one longer text, at a time.
+is encoded as a whole and not kept, and so is every text if the tokenizer has other rules. A task encodes about a megabyte of texts, or one
+longer text, at a time: Arrow splits it and finds its different words, words of Latin letters go to the library's model without the
+normalizer and the pre-tokenizer, which would only lower them, and the words' ids are dealt out by Arrow.
 
 Defined results. A text of any length is one frame, made in one task that holds its ids. Null and empty texts have the end id alone. Null doc_ids come first; rows of one
 doc_id follow each other in order of the text's crc32, and each is a document of its own. An empty
@@ -22,16 +24,19 @@ table gives no file and no rows. Other columns play no part.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,31 +50,54 @@ from .common import STEP, Scratch, arrow_schema, binary, load, partitions, steps
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Entries of the cache of encoded parts, characters of the longest part that is kept, and bytes of a file's part of the table.
 CACHE, KEPT, FILE_BYTES = 500_000, 64, 128 << 20
+#: Normalizer and pre-tokenizer of the tokenizer whose texts can be divided into words.
+RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 def spaced(data: bytes) -> bytes:
-    """The text with a space between an ASCII letter or digit and one of .,!? after it, where the tokenizer splits
-    anyway: words then meet the cache without what follows them."""
+    """The text with a space wherever Latin letters, digits and ASCII punctuation other than ' meet, as the tokenizer splits
+    there anyway: words then meet the cache without what is around them."""
     a = np.frombuffer(data, np.uint8)
-    at = np.flatnonzero(_STOP[a[1:]] & _ALNUM[a[:-1]]) + 1
+    kind = _KIND[a]
+    lead = np.flatnonzero((a[:-1] >= 0xC3) & (a[:-1] <= 0xC8))  # U+00C0 to U+023F: letters but for the signs of product and quotient; a capital I with dot ends in a mark once lowered
+    pair = a[lead].astype(np.uint16) << 8 | a[lead + 1]
+    lead = lead[(pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)]
+    kind[lead] = kind[lead + 1] = 1
+    at = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
     return np.insert(a, at, 32).tobytes() if len(at) else data
 
 
-_STOP, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
-_STOP[list(b".,!?")] = True
-_ALNUM[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
+_KIND = np.array([1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 if 32 < c < 127 and c != 39 else 0 for c in range(128)] + [0] * 128, np.uint8)
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\r", b"abcdefghijklmnopqrstuvwxyz   ")
 
 
-def parts_of(data: bytes) -> list[str]:
-    """Stretches of a text whose ids, one after another, are those of the text. The tokenizer composes characters,
-    lowers them and drops white space; lowering A-Z first changes nothing where neither form has anything to compose."""
-    text = data.decode("utf-8", "replace")
-    if "<|" in text:  # a special token may begin here
-        return [text]
-    low = spaced(data).lower().decode("utf-8", "replace")
-    if not (text.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low))):
-        low = text
-    return low.replace("\n", " ").split(" ")
+def lowered(data: bytes) -> bytes | None:
+    """The text with a-z for A-Z and spaces for line ends and tabs, or None where that could change its ids: the tokenizer composes
+    characters before it lowers them, so neither form may have anything to compose; a special token may begin with <|."""
+    if b"<|" in data:
+        return None
+    low = data.translate(_LOWER)
+    try:
+        return low if data.isascii() or all(is_normalized("NFC", t.decode()) for t in (data, low)) else None
+    except UnicodeDecodeError:
+        return None
+
+
+def split(texts: list[bytes]) -> tuple[list[str], pa.Array]:
+    """The different stretches between spaces of lowered texts, and which of them each stretch is; a line end follows each text."""
+    data = spaced(b" \n ".join(texts) + b" \n")
+    one = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data))
+    words = pc.split_pattern(one, " ").values.dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices
 
 
 class Encoder:
@@ -78,44 +106,62 @@ class Encoder:
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.end = np.array([end], self.type).tobytes()
-        self.cache: dict[str, bytes] = {"": b""}
-        # ids that end a word, if the vocabulary marks them: words encoded together can then be told apart
-        self.ends = np.zeros(max(self.tokenizer.get_vocab_size(), 1), bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        # other tokenizers than those that lower, split and mark as here get every text whole
+        self.divides = (rules["normalizer"], rules["pre_tokenizer"]) == RULES and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        # a line end is no part of a divided text and stands for the end of one
+        self.fixed = {"": b"", "\n": self.end} if self.divides else {}
+        self.cache: dict[str, bytes] = dict(self.fixed)
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # letters below U+0250, lowered, as the vocabulary spells their bytes
+        self.bytes = {c: level.pre_tokenize_str(chr(c).lower())[0][0] for c in range(0x250) if chr(c).isalpha()}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words: those of Latin letters, which the tokenizer doesn't split, many at a time."""
+        """Ids of words. Those of Latin letters, which the tokenizer lowers letter by letter and doesn't split, go to its model at once."""
         out: dict[str, bytes] = {}
-        plain = [w for w in words if w.isalpha() and (w.isascii() or (max(w) < "\u0250" and "\u0130" not in w))] if self.ends.any() else []
-        for some in batched(plain):
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.type)
-            last = (np.flatnonzero(self.ends[ids]) + 1) * self.type.itemsize
-            if len(last) == len(some) and last[-1] == ids.nbytes:
-                raw, ends = ids.tobytes(), last.tolist()
-                out.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        for some in batched([w for w in words if w not in out]):
+        tokenize, number, code, rest = self.model.tokenize, attrgetter("id"), self.code, []
+        for w in words:
+            if self.divides and w.isalpha() and (w.isascii() or (max(w) < "\u0250" and "\u0130" not in w)):
+                out[w] = array(code, [*map(number, tokenize(w.lower() if w.isascii() else w.translate(self.bytes)))]).tobytes()
+            else:
+                rest.append(w)
+        for some in batched(rest):
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                out[w] = array(self.code, e.ids).tobytes()
+                out[w] = array(code, e.ids).tobytes()
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
         cache = self.cache
-        parts = [parts_of(t) for t in texts]
-        new = self.learn(list(set().union(*parts).difference(cache)))
+        low = [lowered(t) if self.divides else None for t in texts]
+        words, which = split([t for t in low if t is not None])
+        odd = [self.parts(t) for t, x in zip(texts, low, strict=True) if x is None]
+        new = self.learn(list(set(words).union(*odd).difference(cache)))
         cache.update(new)
-        out = [b"".join([*map(cache.__getitem__, p), self.end]) for p in parts]
+        ids = pa.array([*map(cache.__getitem__, words)], pa.large_binary()).take(which)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.flatnonzero(which.to_numpy() == words.index("\n")) + 1].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        plain, other = map(slice, [0, *ends], ends), iter(odd)
+        out = [b"".join([*map(cache.__getitem__, next(other)), self.end]) if t is None else raw[next(plain)].tobytes() for t in low]
         for w in new:
             if len(w) > KEPT:
                 del cache[w]
+        if len(cache) > CACHE:  # begin anew, with words of this step
+            self.cache = self.fixed | {w: cache[w] for w in words[: CACHE // 4] if w in cache}
         return out
 
+    def parts(self, data: bytes) -> list[str]:
+        """A text that isn't lowered: between its spaces, or whole where a special token may begin or the tokenizer is another."""
+        text = data.decode("utf-8", "replace")
+        return text.replace("\n", " ").split(" ") if self.divides and "<|" not in text else [text]
+
 
 def batched(words: list[str], most: int = 4096):
     """Runs of words, so many and about a megabyte of them at most; a longer word is a run of its own."""
